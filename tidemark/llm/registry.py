@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_bpe": op4_bpe}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
