@@ -115,3 +115,38 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def shingle_set(text: str, size: int = 5) -> np.ndarray:
     """The distinct word shingles of a text as sorted 64-bit hashes (int64)."""
     return np.unique(gram_hashes(word_hashes(text), size).view(np.int64))
+
+
+class SharedFiles:
+    """Files in a shared folder (a URI of any store that pyarrow knows), each whole or not there: written under a temporary name, then renamed."""
+
+    def __init__(self, folder: str):
+        from pyarrow.fs import FileSystem
+
+        self.folder = folder
+        self.fs, self.root = FileSystem.from_uri(folder)
+        self.fs.create_dir(self.root, recursive=True)
+
+    def put(self, name: str, parts: list[bytes]) -> str:
+        temporary = f"{self.root}/_temporary-{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(temporary) as out:
+            for part in parts:
+                out.write(part)
+        self.fs.move(temporary, f"{self.root}/{name}")
+        return f"{self.folder}/{name}"
+
+
+def open_shared(uri: str):
+    """A seekable binary file by its URI."""
+    from pyarrow.fs import FileSystem
+
+    fs, path = FileSystem.from_uri(uri)
+    return fs.open_input_file(path)
+
+
+def arrow_rows(rows: list[tuple], schema):
+    """A record batch of tuples."""
+    import pyarrow as pa
+
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
