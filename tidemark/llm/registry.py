@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tidemark.llm.token_tables import op9_token_tables
+from tidemark.llm.warc import OP6_SQL, op6_warc
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_bpe": op4_bpe}
-ORACLES = {"op1_exact_dedup": OP1_SQL}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op9_token_tables": op9_token_tables}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL}
