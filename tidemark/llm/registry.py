@@ -5,8 +5,9 @@ from __future__ import annotations
 from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidemark.llm.language_id import op3_language_id
+from tidemark.llm.quality import op5_quality
 from tidemark.llm.token_tables import op9_token_tables
 from tidemark.llm.warc import OP6_SQL, op6_warc
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_language_id": op3_language_id, "op4_bpe": op4_bpe, "op6_warc": op6_warc, "op9_token_tables": op9_token_tables}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_language_id": op3_language_id, "op4_bpe": op4_bpe, "op5_quality": op5_quality, "op6_warc": op6_warc, "op9_token_tables": op9_token_tables}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL}
