@@ -75,14 +75,25 @@ def _powers(n: int) -> np.ndarray:
 _POW = _powers(256)
 
 
-def word_hashes(text: str, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash for each word ([^\\x20\\x09-\\x0D]+, A-Z lowered if asked) of a whole text, in order, as uint64.
+#: ASCII signs that loose_words() leaves out.
+SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+
+
+def loose_words(text: str) -> np.ndarray:
+    """Word hashes of a text in lower case without ASCII signs; words of signs alone vanish."""
+    return word_hashes(text.lower(), lower=False, drop=SIGNS)
+
+
+def word_hashes(text: str, lower: bool = True, drop: bytes = b"") -> np.ndarray:
+    """A 64-bit hash for each word ([^\\x20\\x09-\\x0D]+, A-Z lowered if asked) of a whole text, in order, as uint64. drop: bytes to leave out.
 
     bytes.split() and bytes.lower() know ASCII only, as the contracts ask; bytes of other characters are never white space.
     """
     raw = text.encode("utf-8", "surrogatepass")
     if lower:
         raw = raw.lower()
+    if drop:
+        raw = raw.translate(None, drop)
     words = raw.split()
     if not words:
         return np.empty(0, np.uint64)
