@@ -36,10 +36,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df, written to the shared folder and read again: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of plans that are done
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_written(df: DataFrame | None) -> None:
