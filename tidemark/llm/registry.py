@@ -8,9 +8,10 @@ from tidemark.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tidemark.llm.language_id import op3_language_id
 from tidemark.llm.line_dedup import op2_line_dedup
 from tidemark.llm.ngram_join import op10_ngram_join
+from tidemark.llm.passages import op7_passages
 from tidemark.llm.quality import op5_quality
 from tidemark.llm.token_tables import op9_token_tables
 from tidemark.llm.warc import OP6_SQL, op6_warc
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "op4_bpe": op4_bpe, "op5_quality": op5_quality, "op6_warc": op6_warc, "op8_decontamination": op8_decontamination, "op9_token_tables": op9_token_tables, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "op4_bpe": op4_bpe, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_passages": op7_passages, "op8_decontamination": op8_decontamination, "op9_token_tables": op9_token_tables, "op10_ngram_join": op10_ngram_join}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL}
