@@ -13,6 +13,7 @@ table gives an empty result; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from tidemark.llm.common import table, texts
 #: with them, so the order among these does not matter).
 PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Trie nodes and words that a task keeps at most before it begins anew; results do not depend on them.
-MAX_NODES, MAX_WORDS = 600_000, 300_000
+MAX_NODES, MAX_WORDS = 1_200_000, 500_000
 NEVER = 1 << 60
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
@@ -110,42 +111,48 @@ class ByteBpe:
             self.edges[token, side] = found
         return found
 
-    def grow(self, words: list[bytes]) -> list[list[int]]:
-        """Insert words, in sorted order so that the walk is depth first, and give the node path of each."""
-        child, last, ids, longest = self.child, self.last, self.ids, self.longest
-        paths, path, before = [], [0], b""
-        for word in words:
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
+    def learn(self, words: set[str]) -> None:
+        """Insert new words into the trie and read off their ids. In sorted order the walk is depth first: it keeps the node path of the
+        word before and goes on from the prefix that both share."""
+        child, last, ids, bytes_of, stable, longest = self.child, self.last, self.ids, self.bytes_of, self.stable, self.longest
+        path, before = [0], b""
+        for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            shared, most = 0, min(len(before), len(raw))
+            while shared < most and before[shared] == raw[shared]:
                 shared += 1
             del path[shared + 1 :]
             node = path[-1]
-            for depth in range(shared, len(word)):
-                step = node * 256 + word[depth]
-                node = child.get(step)
-                if node is None:
-                    node = child[step] = len(last)
+            for depth in range(shared, len(raw)):
+                step = node * 256 + raw[depth]
+                following = child.get(step)
+                if following is None:
                     end = depth + 1
-                    for start in range(max(0, end - longest), end):
-                        token = ids.get(word[start:end])
-                        if token is not None and (start == 0 or self.stands(last[path[start]], token)):
-                            break
+                    # Where the last token of the prefix begins comes first: most often that token grows.
+                    grown = depth - len(bytes_of[last[node]]) if depth else 0
+                    token = ids.get(raw[grown:end])
+                    if token is None or grown and not self.stands(last[path[grown]], token):
+                        for start in range(max(0, end - longest), end):
+                            token = ids.get(raw[start:end])
+                            if token is not None:
+                                if start == 0:
+                                    break
+                                pair = (last[path[start]], token)
+                                if (ok := stable.get(pair)) is None:
+                                    ok = self.stands(*pair)
+                                if ok:
+                                    break
+                    following = child[step] = len(last)
                     last.append(token)
+                node = following
                 path.append(node)
-            paths.append(path.copy())
-            before = word
-        return paths
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are new."""
-        new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in words)
-        for (raw, word), path in zip(new, self.grow([r for r, _ in new]), strict=True):
+            before = raw
             at, back = len(raw), []
             while at:
-                token = self.last[path[at]]
+                token = last[path[at]]
                 back.append(token)
-                at -= len(self.bytes_of[token])
-            self.words[word] = np.array(back[::-1], "<u4").tobytes()
+                at -= len(bytes_of[token])
+            back.reverse()
+            self.words[word] = struct.pack(f"<{len(back)}I", *back)
 
     def pieces(self, text: str) -> list[str | int]:
         """Words, and the ids of special tokens."""
@@ -181,8 +188,8 @@ def loaded(path: str) -> ByteBpe:
     return _LOADED[path]
 
 
-def bpe_round_trip(docs: DataFrame, path: str, rows_at_once: int = 200) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded text for each row of docs(doc_id, text).
+def bpe_round_trip(docs: DataFrame, path: str, rows_at_once: int = 200, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded text for each row of docs(doc_id, text), and, if asked, text.
 
     A map over the scan, without a shuffle. Each task keeps the trie of the words it has met, within fixed bounds.
     """
@@ -193,12 +200,10 @@ def bpe_round_trip(docs: DataFrame, path: str, rows_at_once: int = 200) -> DataF
             for at in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(at, rows_at_once)
                 ids = bpe.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, part.column(1)] if keep_text else columns, names=["doc_id", "n_tokens", "ids", "decoded", "text"][: 4 + keep_text])
 
-    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{SCHEMA}, text string" if keep_text else SCHEMA)
 
 
 def default_path(name: str) -> str:
