@@ -90,6 +90,11 @@ def compounded(value: str) -> Column:
     return F.when(F.min(growth).over(w) <= 0, 0.0).otherwise(F.exp(F.sum(F.log(F.when(growth > 0, growth))).over(w)))
 
 
+def product(value: Column) -> Column:
+    """Aggregate product of 1 + value; 0 once everything is lost."""
+    return F.when(F.min(1 + value) <= 0, 0.0).otherwise(F.exp(F.sum(F.log(F.when(value > -1, 1 + value)))))
+
+
 def orders(curve: DataFrame) -> DataFrame:
     before = F.coalesce(F.lag("position").over(over_time(*KEYS)), F.lit(0))
     order = F.when(F.col("entry") == 1, "BUY").when((F.col("exit") == 1) | (F.col("forced_exit") == 1), "SELL").otherwise("HOLD")
@@ -103,7 +108,7 @@ def trades(curve: DataFrame) -> DataFrame:
     held = F.col("position") == 1
     out = part.groupBy(*KEYS, "trade_id").agg(
         F.min("Date").alias("entry_date"), F.max("Date").alias("exit_date"), F.count_if(held).alias("holding_bars"),
-        F.exp(F.sum(F.when(held & (F.col("gross_return") > -1), F.log1p("gross_return")))).alias("_g"), F.exp(F.sum(F.when(F.col("net_return") > -1, F.log1p("net_return")))).alias("_n"),
+        product(F.when(held, F.col("gross_return"))).alias("_g"), product(F.col("net_return")).alias("_n"),
         F.max("exit").alias("closed"),
     )
     return out.select(*KEYS, "trade_id", "entry_date", "exit_date", "holding_bars", (F.col("_g") - 1).alias("gross_return"), (F.col("_n") - 1).alias("net_return"), F.when(F.col("closed") == 1, "signal").otherwise("end_of_data").alias("exit_reason"))

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import full, last_rows, over_time, percentile, ratio
 
-W = over_time()
 
 
 def returns(bars: DataFrame) -> DataFrame:
-    before = F.lag("Close").over(W)
+    before = F.lag("Close").over(over_time())
     return bars.withColumns({"ret": ratio(F.col("Close"), before) - 1, "logret": F.log(ratio(F.col("Close"), before))})
 
 
@@ -37,14 +36,14 @@ def volatility(bars: DataFrame, n: int = 20, sds: float = 2.0) -> DataFrame:
 
 
 def true_range(bars: DataFrame) -> DataFrame:
-    before = F.lag("Close").over(W)
+    before = F.lag("Close").over(over_time())
     return bars.withColumn("TR", F.greatest(F.col("High") - F.col("Low"), F.abs(F.col("High") - before), F.abs(F.col("Low") - before)))
 
 
 def money_flow(bars: DataFrame, n: int = 14) -> DataFrame:
     """Money-flow index: 100 - 100 / (1 + inflow / outflow) of typical price times volume."""
     out = bars.withColumn("tp", (F.col("High") + F.col("Low") + F.col("Close")) / 3)
-    out = out.withColumn("_up", F.signum(F.col("tp") - F.lag("tp").over(W)))
+    out = out.withColumn("_up", F.signum(F.col("tp") - F.lag("tp").over(over_time())))
     flow = F.col("tp") * F.col("Volume")
     out = out.withColumns({"_in": F.when(F.col("_up") > 0, flow).otherwise(0.0), "_out": F.when(F.col("_up") < 0, flow).otherwise(0.0)})
     up, down = F.sum("_in").over(last_rows(n)), F.sum("_out").over(last_rows(n))
@@ -59,7 +58,7 @@ def chaikin(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def volume_features(bars: DataFrame, n: int = 20) -> DataFrame:
-    out = bars.withColumn("_signed", F.coalesce(F.signum(F.col("Close") - F.lag("Close").over(W)), F.lit(0.0)) * F.col("Volume"))
+    out = bars.withColumn("_signed", F.coalesce(F.signum(F.col("Close") - F.lag("Close").over(over_time())), F.lit(0.0)) * F.col("Volume"))
     out = out.withColumn("_tpv", (F.col("High") + F.col("Low") + F.col("Close")) / 3 * F.col("Volume"))
     total = F.sum("Volume").over(last_rows(n))
     vwap = ratio(full(F.sum("_tpv"), F.col("_tpv"), n), total)
@@ -67,7 +66,7 @@ def volume_features(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def lags(bars: DataFrame, value: str = "logret", k: int = 5) -> DataFrame:
-    return bars.withColumns({f"{value}_lag_{i}": F.lag(value, i).over(W) for i in range(1, k + 1)})
+    return bars.withColumns({f"{value}_lag_{i}": F.lag(value, i).over(over_time()) for i in range(1, k + 1)})
 
 
 def calendar_features(bars: DataFrame) -> DataFrame:
@@ -98,7 +97,7 @@ def stochastic(bars: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
 def relative_momentum(bars: DataFrame, market: DataFrame, n: int = 60) -> DataFrame:
     """n-row momentum of the name and of market(Date, market_ret), compounded over the name's own rows; and their difference."""
     out = bars.join(market, "Date", "left").withColumn("_m", F.log1p(F.coalesce("market_ret", F.lit(0.0))))
-    out = out.withColumns({"mom": ratio(F.col("Close"), F.lag("Close", n).over(W)) - 1, "market_mom": F.when(F.count("_m").over(last_rows(n)) >= n, F.expm1(F.sum("_m").over(last_rows(n))))})
+    out = out.withColumns({"mom": ratio(F.col("Close"), F.lag("Close", n).over(over_time())) - 1, "market_mom": F.when(F.count("_m").over(last_rows(n)) >= n, F.expm1(F.sum("_m").over(last_rows(n))))})
     return out.withColumn("rel_mom", F.col("mom") - F.col("market_mom")).drop("_m")
 
 
@@ -115,7 +114,7 @@ def causal_columns(bars: DataFrame, h: int = 5, n: int = 63, least: int = 5) ->
     """Forward h-row log return and its date; median turnover and volatility over the past n rows."""
     out = returns(bars).withColumn("_turnover", F.col("Close") * F.col("Volume"))
     return out.withColumns(
-        {"target": F.log(ratio(F.lead("Close", h).over(W), F.col("Close"))), "target_date": F.lead("Date", h).over(W), "liq_log": F.log1p(full(percentile(F.col("_turnover"), 0.5), F.col("_turnover"), n, least=least)), "vol": full(F.stddev_samp("logret"), F.col("logret"), n, least=least)}
+        {"target": F.log(ratio(F.lead("Close", h).over(over_time()), F.col("Close"))), "target_date": F.lead("Date", h).over(over_time()), "liq_log": F.log1p(full(percentile(F.col("_turnover"), 0.5), F.col("_turnover"), n, least=least)), "vol": full(F.stddev_samp("logret"), F.col("logret"), n, least=least)}
     ).drop("_turnover")
 
 
@@ -123,13 +122,13 @@ def targets(bars: DataFrame, mode: str = "log_return", horizons: tuple[int, ...]
     """One target a horizon: price, return or log_return."""
     if bad := [h for h in horizons if h <= 0]:
         raise ValueError(f"horizons must be positive: {bad}")
-    later = {h: F.lead("Close", h).over(W) for h in horizons}
+    later = {h: F.lead("Close", h).over(over_time()) for h in horizons}
     form = {"price": lambda x: x, "return": lambda x: ratio(x, F.col("Close")) - 1, "log_return": lambda x: F.log(ratio(x, F.col("Close")))}[mode]
     return bars.withColumns({f"target_{h}": form(x) for h, x in later.items()})
 
 
 def drift_features(bars: DataFrame) -> DataFrame:
-    return returns(bars).withColumns({"range_rel": ratio(F.col("High") - F.col("Low"), F.col("Close")), "dlog_volume": F.log1p("Volume") - F.log1p(F.lag("Volume").over(W))})
+    return returns(bars).withColumns({"range_rel": ratio(F.col("High") - F.col("Low"), F.col("Close")), "dlog_volume": F.log1p("Volume") - F.log1p(F.lag("Volume").over(over_time()))})
 
 
 def sequences(df: DataFrame, columns: list[str], steps: int) -> DataFrame:
