@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from tidemark.llm.common import arrow_rows, cut, drop_written, mix, shingle_set, table, texts
 from tidemark.llm.components import components
 
-SIZE, SHORT, CHUNK, BLOCK = 5, 16, 1024, 64
+SIZE, SHORT, CHUNK, BLOCK = 5, 16, 4096, 64
 #: Similarity as a fraction, so that the test is exact in integers.
 NUM, DEN = 80, 100
 #: Least list elements of a set, and their share of it.
@@ -137,9 +137,19 @@ def entries(docs: DataFrame, size: int) -> DataFrame:
 
 
 def list_relations(index: DataFrame) -> DataFrame:
-    """From entries sorted by element: the pairs of short lists, and (node, element) of long ones as (a, b, long)."""
+    """The pairs of short lists, and (node, element) of long ones as (a, b, long).
+
+    The entries of a list meet in one task, sorted; those already known to be in a long list only pass through, wherever.
+    """
+    place = F.when(F.col("kind") == 2, F.col("node")).otherwise(F.col("element"))
+    index = index.repartition(place).sortWithinPartitions("element", "node", "kind")
 
     def done(element: np.ndarray, node: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        through = kind == 2
+        passed = element[through], node[through]
+        element, node, kind = element[~through], node[~through], kind[~through]
+        if not len(element):
+            return pa.RecordBatch.from_arrays([pa.array(passed[1]), pa.array(passed[0]), pa.array(np.ones(len(passed[0]), bool))], schema=PAIRS)
         keep = np.concatenate(([True], (element[1:] != element[:-1]) | (node[1:] != node[:-1]) | (kind[1:] != kind[:-1])))
         element, node, kind = element[keep], node[keep], kind[keep]
         start = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
@@ -147,7 +157,8 @@ def list_relations(index: DataFrame) -> DataFrame:
         marked = np.add.reduceat(kind == 1, start) > 0
         long = marked | (count > SHORT)
         is_long = np.repeat(long, count) & (kind == 0)
-        out_a, out_b, out_long = [node[is_long]], [element[is_long]], [np.ones(int(is_long.sum()), bool)]
+        out_a, out_b = [passed[1], node[is_long]], [passed[0], element[is_long]]
+        out_long = [np.ones(len(out_a[0]) + len(out_a[1]), bool)]
         for k in range(2, SHORT + 1):
             at = start[(count == k) & ~long]
             if len(at):
@@ -281,10 +292,8 @@ def similar_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     known = cut(nodes(docs, size), "nodes")
     # one document stands for each node; rows without an id stand in only through rows that have one
     stands = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    index = entries(docs, size)
-    index = cut(index, "entries")
-    relations = cut(list_relations(index.where("kind < 2").repartition("element").sortWithinPartitions("element", "node", "kind")), "relations")
-    long = index.where("kind = 2").select("node", "element").union(relations.where("long").select(F.col("a").alias("node"), F.col("b").alias("element")))
+    relations = cut(list_relations(entries(docs, size)), "relations")
+    long = relations.where("long").select(F.col("a").alias("node"), F.col("b").alias("element"))
     sizes = stands.select("node", "n")
 
     def with_need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +326,7 @@ def similar_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     named = cut(named, "named")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     result = known.join(named.join(smallest, "component").select("node", "component_id"), "node", "left")
-    for done in (index, relations, facts, inside, links):
+    for done in (relations, facts, inside, links):
         drop_written(done)
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
