@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 import zlib
@@ -37,8 +38,11 @@ MAGIC = b"TMSSTBL1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index at, index bytes, filter at, filter bytes, documents, tokens, id bytes, magic
 RESTART, BLOCK_BYTES, SHARD_BYTES = 16, 64 << 10, 32 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: White-space runs and pieces that a task remembers at most before it forgets them; results do not depend on it.
-MAX_KNOWN = 400_000
+#: Pieces that a task remembers at most before it forgets them; results do not depend on it.
+MAX_PIECES = 800_000
+#: Lower-case text that has none of these takes the quicker form of the pre-tokenizer's pattern, equal for what is left of Latin-1.
+ODD = re.compile(r"[^\t\n\r\x20-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\xff]")
+LATIN = re.compile(r"[a-z\xb5\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|\d|[^\sa-z0-9\xb5\xdf-\xf6\xf8-\xff]+")
 
 
 def _varint(n: int) -> bytes:
@@ -198,9 +202,9 @@ class ShardReader:
 class WordTokenizer:
     """The tokenizers library, asked once for each distinct piece.
 
-    The vocabulary's pre-tokenizer never joins across ASCII white space nor across its own pieces, and its normaliser (composition,
-    white space, lower case) works on each piece alone; so a text's ids are those of its pieces, one after another. Files of another
-    shape go to the library text by text.
+    The vocabulary's normaliser (composition, white space, lower case) changes nothing in a piece that is normalised, and its
+    pre-tokenizer cuts a piece no further; so a text's ids are those of its pieces, one after another. Files of another shape go to the
+    library text by text.
     """
 
     def __init__(self, path: str):
@@ -222,38 +226,31 @@ class WordTokenizer:
         if self.by_piece:
             self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.forget()
-
-    def forget(self) -> None:
-        self.chunks: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def library(self, strings: list[str]) -> list[bytes]:
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def pieces(self, chunk: str) -> list[str] | None:
-        """The pieces of a run without white space; None if only the library can tell."""
-        if "<|" in chunk and any(s in chunk for s in self.special):
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, normalised; None if only the library can tell, for a special token's string."""
+        if "<|" in text and any(s in text for s in self.special):
             return None
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return self.pattern.findall(chunk.lower())
+        low = text.lower()
+        if not ODD.search(low):
+            return LATIN.findall(low)
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.library(batch)
-        if len(self.chunks) > MAX_KNOWN or len(self.parts) > MAX_KNOWN:
-            self.forget()
-        cut_up = [t.encode("utf-8", "surrogatepass").split() for t in batch]
-        chunks, parts = self.chunks, self.parts
-        new = [c for c in set().union(*cut_up) if c not in chunks]
-        pieces = [self.pieces(c.decode("utf-8", "replace")) for c in new]
-        ask = list({p for found in pieces for p in found or () if p not in parts})
-        parts.update(zip(ask, self.library(ask), strict=True))
-        odd = [c for c, found in zip(new, pieces, strict=True) if found is None]
-        chunks.update(zip(odd, self.library([c.decode() for c in odd]), strict=True))
-        chunks.update((c, b"".join(map(parts.__getitem__, found))) for c, found in zip(new, pieces, strict=True) if found is not None)
-        return [b"".join(map(chunks.__getitem__, words)) for words in cut_up]
+        if len(self.parts) > MAX_PIECES:
+            self.parts.clear()
+        parts = self.parts
+        found = [self.pieces(t) for t in batch]
+        new = [p for p in set().union(*[f for f in found if f is not None]) if p not in parts]
+        parts.update(zip(new, self.library(new), strict=True))
+        whole = iter(self.library([t for t, f in zip(batch, found, strict=True) if f is None]))
+        return [next(whole) if f is None else b"".join(map(parts.__getitem__, f)) for f in found]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
