@@ -87,3 +87,13 @@ def test_buckets_match_equal_share_cuts(spark):
         got = spark.createDataFrame(pdf).withColumn("b", xsection.bucket("v", 5, "k")).toPandas().sort_values("symbol")["b"].tolist()
         want = (pd.qcut(pdf["v"].rank(method="first"), 5, labels=False) + 1).tolist()
         assert got == want
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) - set(e.queries()))"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0 and done.stdout.strip().endswith("set()"), done.stderr

@@ -58,10 +58,13 @@ def regime_context(bars: DataFrame) -> DataFrame:
     return out.withColumn("regime", label).drop("_n", "_s", "_l")
 
 
-@F.pandas_udf("double")
-def normal_cdf(x: pd.Series) -> pd.Series:
-    """The one function that Spark lacks; it sees a row a series."""
-    return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))), na_action="ignore")
+def normal_cdf(x: Column) -> Column:
+    """The one function that Spark lacks, as a pandas UDF; it sees a row a series."""
+
+    def cdf(v: pd.Series) -> pd.Series:
+        return v.map(lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2))), na_action="ignore")
+
+    return F.pandas_udf(cdf, "double")(x)
 
 
 def deflated_sharpe(curve: DataFrame, trials: int) -> DataFrame:
