@@ -34,24 +34,24 @@ READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes
 
 
 def revisits(pages: DataFrame, least: int = MIN_REVISIT, salts: int = SALTS) -> DataFrame:
-    """page_id, url, html (null as empty), refers_to (null for responses). Equal payloads meet by SHA-256; hot ones are salted."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumns({"digest": F.coalesce(F.sha2(F.encode("html", "UTF-8"), 256), F.lit("")), "salt": F.pmod(F.xxhash64("page_id"), F.lit(salts))})
-    large = rows.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull())
-    first = large.groupBy("digest", "salt").agg(F.min("page_id").alias("own"), F.count(F.lit(1)).alias("n"))
+    """page_id, digest, refers_to of the records that revisit another. Payloads meet by SHA-256, hot ones salted; no payload is shuffled."""
+    rows = pages.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", F.coalesce(F.sha2(F.encode("html", "UTF-8"), 256), F.lit("")).alias("digest"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))
+    first = rows.groupBy("digest", "salt").agg(F.min("page_id").alias("own"), F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("digest")
-    first = first.select("digest", "salt", F.min("own").over(whole).alias("first_id"), F.sum("n").over(whole).alias("n")).where("n > 1").drop("n")
-    out = rows.join(first, ["digest", "salt"], "left")
-    return out.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    first = first.select("digest", "salt", F.min("own").over(whole).alias("refers_to"), F.sum("n").over(whole).alias("n")).where("n > 1").drop("n")
+    return rows.join(first, ["digest", "salt"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
 
 
-def record(page_id: int | None, url: str | None, html: str, refers_to: int | None, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, html: str, known: dict[str, int], date: str) -> bytes:
+    """A gzip member; known: by digest, the page that this page revisits with that payload."""
     payload = html.encode("utf-8", "replace")
     digest = hashlib.sha256(payload).hexdigest()
+    refers_to = known.get(digest)
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
@@ -66,7 +66,10 @@ def record(page_id: int | None, url: str | None, html: str, refers_to: int | Non
 
 
 def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, least: int = MIN_REVISIT) -> DataFrame:
-    """Write archives under folder; the manifest, one row a file. A task holds one file's compressed records at most."""
+    """Write archives under folder; the manifest, one row a file. A task holds one file's compressed records at most.
+
+    Payloads are shuffled once, by range of page_id. What a page revisits comes as a small row of its own, sorted before the page's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, files, rows = TaskContext.get().partitionId(), SharedFiles(folder), []
@@ -85,9 +88,15 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
             ids.clear()
             size = 0
 
+        now, known = None, {}  # of one page_id: what a payload's digest refers to
         for batch in batches:
             for row in batch.to_pylist():
-                held.append(record(row["page_id"], row["url"], row["html"], row["refers_to"], date))
+                if row["page_id"] != now:
+                    now, known = row["page_id"], {}
+                if row["html"] is None:
+                    known[row["digest"]] = row["refers_to"]
+                    continue
+                held.append(record(row["page_id"], row["url"], row["html"], known, date))
                 ids.append(row["page_id"])
                 size += len(held[-1])
                 if size >= file_bytes:
@@ -96,7 +105,10 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
             commit()
         yield arrow_rows(rows, MANIFEST)
 
-    ordered = revisits(pages, least).repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
+    notes = revisits(rows, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    both = notes.union(rows.select("page_id", "url", "html", F.lit(None).cast("string"), F.lit(None).cast("long")))
+    ordered = both.repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("html").isNotNull(), "url", "html")
     return cut(ordered.mapInArrow(run, from_arrow_schema(MANIFEST)), "warc-manifest")
 
 
