@@ -144,6 +144,14 @@ def test_ngram_join(spark, edge_docs, monkeypatch):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs).collect()} == got
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    from tests.llm.conftest import prose
+
+    a, b = prose(70, 60).split(), prose(71, 60).split()
+    docs = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"]))], "doc_id long, text string")
+    assert rows(ngram_join.similar_components(docs), "doc_id", "n_shingles", "component_id") == [(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1)]
+
+
 def test_ngram_join_needs_no_more_than_is_shared():
     for n in [*range(1, 400), 1000, 5000]:
         for m in {-(-80 * n // 100), n, 100 * n // 80}:

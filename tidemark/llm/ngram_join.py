@@ -269,7 +269,7 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
 
 
 def chosen_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id, elements of about the documents in ids(id): those whose bit is set, others by chance."""
+    """doc_id, set_node, elements of about the documents in ids(id): those whose bit is set, others by chance."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +281,11 @@ def chosen_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             keep = np.flatnonzero(bits[(mix(ids_.astype(np.int64).view(np.uint64)) & np.uint64(len(bits) - 1)).astype(np.int64)])
             for at in range(0, len(keep), 500):
                 some = batch.take(pa.array(keep[at : at + 500]))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, size).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["doc_id", "elements"])
+                sets = [shingle_set(t, size) for t in some.column(1).to_pylist()]
+                made = [pa.array([node_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *made], names=["doc_id", "set_node", "elements"])
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, elements binary")
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, set_node long, elements binary")
 
 
 def similar_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -315,8 +317,8 @@ def similar_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     count = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     inside = cut(inside.join(count, "cluster").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int")), "clusters")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    sets = chosen_sets(docs, inside.select(F.col("rep").alias("id")), size).dropDuplicates(["doc_id"])
-    members = inside.where("rep is not null").join(sets, F.col("rep") == F.col("doc_id")).select("cluster", "node", "chunks", own.alias("side"), "elements")
+    sets = chosen_sets(docs, inside.select(F.col("rep").alias("id")), size).dropDuplicates(["doc_id", "set_node"])  # rows may repeat a doc_id
+    members = inside.where("rep is not null").join(sets, (F.col("rep") == F.col("doc_id")) & (F.col("node") == F.col("set_node"))).select("cluster", "node", "chunks", own.alias("side"), "elements")
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     members = members.select(F.xxhash64("cluster", F.least("side", "other"), F.greatest("side", "other")).alias("task"), "side", "node", "elements")
     links = cut(cluster_links(members), "links")
