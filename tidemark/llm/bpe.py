@@ -28,7 +28,7 @@ from tidemark.llm.common import table, texts
 #: with them, so the order among these does not matter).
 PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Trie nodes and words that a task keeps at most before it begins anew; results do not depend on them.
-MAX_NODES, MAX_WORDS = 1_200_000, 500_000
+MAX_NODES, MAX_WORDS = 700_000, 300_000
 NEVER = 1 << 60
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
@@ -79,7 +79,7 @@ class ByteBpe:
         merges if its rank is below that of the next merge on either side; of equal ranks the one further left comes first.
         """
         if (ok := self.stable.get((a, b))) is None:
-            if len(self.stable) > 1_000_000:
+            if len(self.stable) > 300_000:
                 self.stable.clear()
             left, right = self.edge(a, 1), self.edge(b, 0)
             i, j, ok = len(left) - 1, len(right) - 1, True
