@@ -251,6 +251,38 @@ def test_chains_beat_any_other(spark):
         assert all(x[a] < x[b] and y[a] < y[b] for a, b in itertools.pairwise(best))
 
 
+def test_chains_of_several_passages():
+    """A long passage's end is no better predecessor than a near seed: against the best score of any predecessor in reach."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        x, y, want, at, other = [], [], [], 0, 0
+        for n in [60, *rng.integers(4, 8, rng.integers(1, 3)).tolist()]:
+            step = rng.integers(4, 12, n)
+            want.append((len(x), len(x) + n))
+            x += (at + np.cumsum(step)).tolist()
+            y += (other + np.cumsum(step)).tolist()
+            at, other = x[-1] + int(rng.integers(61, 300)), y[-1] + int(rng.integers(61, 300))
+        x, y = np.array(x), np.array(y)
+        got = passages.chains(x, y)
+        assert sorted((int(p[0]), int(p[-1]) + 1) for p in got) == want
+        k = rng.permutation(len(x))[:50]
+        x, y = x[k], y[k] + rng.integers(-3, 4, 50)
+        best = {}
+        for j in np.lexsort((y, x)):
+            best[j] = passages.K + max([0, *(best[i] - passages.GAP * (x[j] - x[i] + y[j] - y[i]) for i in best if 0 < x[j] - x[i] <= passages.REACH and 0 < y[j] - y[i] <= passages.REACH)])
+        path = max(passages.chains(x, y), key=len, default=[])
+        score = len(path) * passages.K - passages.GAP * sum(x[b] - x[a] + y[b] - y[a] for a, b in itertools.pairwise(path))
+        assert len(path) == 0 or score <= max(best.values()) + 1e-9
+
+
+def test_second_passage_of_a_pair(spark):
+    words = lambda seed, n: " ".join(f"v{seed}x{i}" for i in range(n))
+    one, two, three = words(1, 400), words(2, 60), words(3, 70)
+    docs = [(1, " ".join([one, words(4, 90), two, words(5, 80), three])), (2, " ".join([one, words(6, 100), two, words(7, 75), three]))]
+    got = rows(passages.passages(spark.createDataFrame(docs, "doc_id long, text string")), "start", "end", "source_start", "source_end")
+    assert got == [(0, 400, 0, 400), (500, 560, 490, 550), (635, 705, 630, 700)]
+
+
 def test_language_id(spark, edge_docs, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = language_id.language_id(docs, language_id.learn_profiles(docs.where("doc_id % 2 = 0"))).join(docs, "doc_id").where("doc_id % 2 = 1").toPandas()
