@@ -283,6 +283,33 @@ def test_second_passage_of_a_pair(spark):
     assert got == [(0, 400, 0, 400), (500, 560, 490, 550), (635, 705, 630, 700)]
 
 
+def test_passage_with_parts_quoted_earlier(spark):
+    """A passage's parts stand alone in earlier documents: it is still found in the first that has it whole."""
+    words = lambda seed, n: [f"u{seed}x{i}" for i in range(n)]
+    docs, want = [], {}
+    for case in range(60):
+        sizes = [(26, 26), (30, 30), (40, 40), (20, 20, 20)][case % 4]
+        whole, at, base = words(case, sum(sizes)), 0, case * 10
+        for k, n in enumerate(sizes):
+            docs.append((base + k, " ".join([*words(1000 + base + k, 30), *whole[at : at + n], *words(3000 + base + k, 30)])))
+            at += n
+        docs += [(base + k, " ".join([*words(5000 + base + k, 40 + k), *whole, *words(7000 + base + k, 35)])) for k in (7, 8)]
+        want[base + 8] = (base + 7, 48, 48 + len(whole), 47, 47 + len(whole), len(whole))
+    got = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["source_id"], r["start"], r["end"], r["source_start"], r["source_end"], r["same_words"]) for r in got} == want
+
+
+def test_spans_do_not_depend_on_place():
+    rng = np.random.default_rng(7)
+    run = rng.integers(0, 1 << 63, 70).astype(np.uint64)
+    found = []
+    for n in (5, 3000):
+        words = np.concatenate((rng.integers(0, 1 << 63, n).astype(np.uint64), run, rng.integers(0, 1 << 63, 40).astype(np.uint64)))
+        pos = passages.minimizers(words)[1]
+        found.append({(int(h), int(w)) for h, p, w in zip(*passages.spans(words, pos, np.ones(len(pos), bool)), strict=True) if n <= p and p + w + passages.K <= n + 70})
+    assert {h for h, w in found[0] & found[1] if w >= passages.SPANS[1]} and any(w < passages.SPANS[1] for _, w in found[0] & found[1])
+
+
 def test_language_id(spark, edge_docs, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = language_id.language_id(docs, language_id.learn_profiles(docs.where("doc_id % 2 = 0"))).join(docs, "doc_id").where("doc_id % 2 = 1").toPandas()
