@@ -204,6 +204,38 @@ def test_line_dedup_large_buckets(spark, monkeypatch):
     assert got == {k: int(up[k] != k) for k in range(12)}
 
 
+def test_line_dedup_settled_lines(spark, monkeypatch):
+    """Lines of one SimHash of which only neighbours in length are similar: each such path is one group, whoever leads."""
+    monkeypatch.setattr(line_dedup, "BUCKET", 1)
+    docs = []
+    for case in range(12):
+        base = " ".join(f"k{case}w{i}" for i in range(40))
+        for n in (1000, 1180, 1400, 1660):
+            docs.append((len(docs), base + " pad" * ((n - len(base)) // 4)))
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: int(i % 4 > 0) for i, _ in docs}
+
+
+def test_sub_keys_meet(spark):
+    """SimHashes at most 3 bits apart that share a key share one of its blocks, too."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    pairs = []
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << 64, dtype=np.uint64))
+        b = a ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 4), False))
+        pairs.append(tuple(v - (1 << 64) if v >> 63 else v for v in (a, b)))
+    df = spark.createDataFrame(pairs, "a long, b long")
+
+    def keys(sim):
+        return F.transform(line_dedup.block_keys(sim), lambda k: F.struct(k.alias("key"), line_dedup.sub_keys(k, sim).alias("subs")))
+
+    for r in df.select(keys(F.col("a")).alias("a"), keys(F.col("b")).alias("b")).collect():
+        shared = [(set(x["subs"]), set(y["subs"])) for x, y in zip(r["a"], r["b"], strict=True) if x["key"] == y["key"]]
+        assert shared and all(x & y for x, y in shared)
+
+
 def test_masks_find_every_window():
     n, span = decontaminate.WINDOW, max(m[-1] for m in decontaminate.MASKS) + 1
     for wrong in itertools.combinations(range(n), 2):
