@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,11 @@ from tidemark.llm.common import table, texts
 #: The byte-level pre-tokenizer's pattern, a fixed value of the format; letters come first, being the most frequent (no other part begins
 #: with them, so the order among these does not matter).
 PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Trie nodes and words that a task keeps at most before it begins anew; results do not depend on them.
-MAX_NODES, MAX_WORDS = 700_000, 300_000
+#: Trie nodes that a task keeps at most before it begins a new trie; words that each of its two generations holds at most (the older one goes
+#: when the younger is full); and the bytes of a word from which it is walked without entering the trie. Results do not depend on them.
+MAX_NODES, MAX_WORDS, LONG_WORD = 600_000, 150_000, 256
+#: Characters that are split into words at once, but for a longer text.
+AT_ONCE = 400_000
 NEVER = 1 << 60
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
@@ -41,7 +45,7 @@ def byte_symbols() -> dict[str, int]:
 
 
 class ByteBpe:
-    """A byte-level BPE vocabulary and a trie of the words seen so far."""
+    """A byte-level BPE vocabulary."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -60,17 +64,40 @@ class ByteBpe:
             a, b = (as_bytes(x) for x in (m if isinstance(m, list) else m.split(" ")))
             self.rank[self.ids[a], self.ids[b]] = k
             self.made.setdefault(self.ids[a + b], (self.ids[a], self.ids[b], k))
-        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.longest = max(map(len, self.ids))
         self.pattern = regex.compile(PATTERN)
         self.splits = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+
+    def pieces(self, text: str) -> list[str | int]:
+        """Words, and the ids of special tokens."""
+        if not any(t in text for t in self.special):
+            return self.pattern.findall(text)
+        out, at = [], 0
+        for m in self.splits.finditer(text):
+            out += self.pattern.findall(text[at : m.start()])
+            out.append(self.special[m[0]])
+            at = m.end()
+        return out + self.pattern.findall(text[at:])
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids; bytes that are not UTF-8 become U+FFFD."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+class Encoder:
+    """The trie and the words of one task; both go with the task."""
+
+    def __init__(self, bpe: ByteBpe):
+        self.bpe, self.ids, self.rank, self.made, self.bytes_of, self.longest = bpe, bpe.ids, bpe.rank, bpe.made, bpe.bytes_of, bpe.longest
+        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.stable: dict[tuple[int, int], bool] = {}
-        self.forget()
+        self.special: dict[str | int, bytes] = {i: np.array([i], "<u4").tobytes() for i in bpe.special.values()}
+        self.words, self.older = dict(self.special), {}
+        self.plant()
 
-    def forget(self) -> None:
+    def plant(self) -> None:
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
         self.last: list[int] = [-1]  # of each node, the token that ends its encoding
-        self.words: dict[str | int, bytes] = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
 
     def stands(self, a: int, b: int) -> bool:
         """Whether token b stays as it is after token a: no merge across their border comes before the merges inside them.
@@ -111,74 +138,84 @@ class ByteBpe:
             self.edges[token, side] = found
         return found
 
+    def grow(self, raw: bytes, depth: int, before: list[int]) -> int:
+        """The last token of raw[: depth + 1]; before: those of its shorter prefixes, by length."""
+        ids, bytes_of, end = self.ids, self.bytes_of, depth + 1
+        # Where the last token of the prefix begins comes first: most often that token grows.
+        grown = depth - len(bytes_of[before[depth]]) if depth else 0
+        token = ids.get(raw[grown:end])
+        if token is not None and (not grown or self.stands(before[grown], token)):
+            return token
+        stable = self.stable
+        for start in range(max(0, end - self.longest), end):
+            token = ids.get(raw[start:end])
+            if token is not None:
+                if start == 0:
+                    break
+                pair = (before[start], token)
+                if (ok := stable.get(pair)) is None:
+                    ok = self.stands(*pair)
+                if ok:
+                    break
+        return token
+
     def learn(self, words: set[str]) -> None:
-        """Insert new words into the trie and read off their ids. In sorted order the walk is depth first: it keeps the node path of the
-        word before and goes on from the prefix that both share."""
-        child, last, ids, bytes_of, stable, longest = self.child, self.last, self.ids, self.bytes_of, self.stable, self.longest
-        path, before = [0], b""
+        """Insert new words into the trie and read off their ids. In sorted order the walk is depth first: it keeps the path of the word
+        before (nodes and their last tokens) and goes on from the prefix that both share. A very long word shares next to nothing: its
+        states are kept for its own walk only."""
+        bytes_of = self.bytes_of
+        path, states, before = [0], [-1], b""
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
-            shared, most = 0, min(len(before), len(raw))
-            while shared < most and before[shared] == raw[shared]:
-                shared += 1
-            del path[shared + 1 :]
-            node = path[-1]
-            for depth in range(shared, len(raw)):
-                step = node * 256 + raw[depth]
-                following = child.get(step)
-                if following is None:
-                    end = depth + 1
-                    # Where the last token of the prefix begins comes first: most often that token grows.
-                    grown = depth - len(bytes_of[last[node]]) if depth else 0
-                    token = ids.get(raw[grown:end])
-                    if token is None or grown and not self.stands(last[path[grown]], token):
-                        for start in range(max(0, end - longest), end):
-                            token = ids.get(raw[start:end])
-                            if token is not None:
-                                if start == 0:
-                                    break
-                                pair = (last[path[start]], token)
-                                if (ok := stable.get(pair)) is None:
-                                    ok = self.stands(*pair)
-                                if ok:
-                                    break
-                    following = child[step] = len(last)
-                    last.append(token)
-                node = following
-                path.append(node)
-            before = raw
+            if len(self.last) > MAX_NODES:
+                self.plant()
+                path, states, before = [0], [-1], b""
+            if len(raw) >= LONG_WORD:
+                own = [-1]
+                for depth in range(len(raw)):
+                    own.append(self.grow(raw, depth, own))
+            else:
+                child, last = self.child, self.last
+                shared, most = 0, min(len(before), len(raw))
+                while shared < most and before[shared] == raw[shared]:
+                    shared += 1
+                del path[shared + 1 :], states[shared + 1 :]
+                node = path[-1]
+                for depth in range(shared, len(raw)):
+                    step = node * 256 + raw[depth]
+                    following = child.get(step)
+                    if following is None:
+                        following = child[step] = len(last)
+                        last.append(self.grow(raw, depth, states))
+                    node = following
+                    path.append(node)
+                    states.append(last[node])
+                before, own = raw, states
             at, back = len(raw), []
             while at:
-                token = last[path[at]]
+                token = own[at]
                 back.append(token)
                 at -= len(bytes_of[token])
             back.reverse()
             self.words[word] = struct.pack(f"<{len(back)}I", *back)
 
-    def pieces(self, text: str) -> list[str | int]:
-        """Words, and the ids of special tokens."""
-        if not any(t in text for t in self.special):
-            return self.pattern.findall(text)
-        out, at = [], 0
-        for m in self.splits.finditer(text):
-            out += self.pattern.findall(text[at : m.start()])
-            out.append(self.special[m[0]])
-            at = m.end()
-        return out + self.pattern.findall(text[at:])
-
-    def encode(self, batch: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.last) > MAX_NODES or len(self.words) > MAX_WORDS:
-            self.forget()
-        cut = [self.pieces(t) for t in batch]
-        known = self.words
-        self.learn({w for w in set().union(*cut) if w not in known})
+        if len(self.words) > MAX_WORDS:
+            self.words, self.older = dict(self.special), self.words
+        cut = [self.bpe.pieces(t) for t in texts]
+        known, older = self.words, self.older
+        new = set()
+        for w in set().union(*cut):
+            if w not in known:
+                if (ids := older.get(w)) is not None:
+                    known[w] = ids
+                else:
+                    new.add(w)
+        self.learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-
 
+#: Vocabularies (tables of fixed size), by path; tries belong to tasks.
 _LOADED: dict[str, ByteBpe] = {}
 
 
@@ -188,20 +225,33 @@ def loaded(path: str) -> ByteBpe:
     return _LOADED[path]
 
 
+def few_at_once(batches: Iterator[pa.RecordBatch], rows: int, chars: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, each of at most so many rows and bytes of text (column 1), or of one row."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        start = held = 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > start and (i - start == rows or held + size > chars):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def bpe_round_trip(docs: DataFrame, path: str, rows_at_once: int = 200, keep_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded text for each row of docs(doc_id, text), and, if asked, text.
 
-    A map over the scan, without a shuffle. Each task keeps the trie of the words it has met, within fixed bounds.
+    A map over the scan, without a shuffle. Each task keeps the trie of the words it has met, within fixed bounds, and drops it at its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(at, rows_at_once)
-                ids = bpe.encode(part.column(1).to_pylist())
-                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, part.column(1)] if keep_text else columns, names=["doc_id", "n_tokens", "ids", "decoded", "text"][: 4 + keep_text])
+        encoder = Encoder(bpe)
+        for part in few_at_once(batches, rows_at_once):
+            ids = encoder.encode(part.column(1).to_pylist())
+            columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, part.column(1)] if keep_text else columns, names=["doc_id", "n_tokens", "ids", "decoded", "text"][: 4 + keep_text])
 
     return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{SCHEMA}, text string" if keep_text else SCHEMA)
 

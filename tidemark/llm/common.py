@@ -27,9 +27,12 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's shared folder (spark.checkpoint.dir); a temporary folder of our own only where it is unset."""
+    """A new path under the cluster's shared folder (spark.checkpoint.dir). Only local mode, where driver and executors share one disk, may leave
+    it unset and gets a temporary folder; a cluster without it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault(spark.sparkContext.applicationId, None)
     if not base:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _OWN[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -26,6 +26,8 @@ from tidemark.llm.common import arrow_rows, table, texts
 
 #: Longest n-gram (1 to 3: a code point takes 21 of 63 bits), profile length, and about how many rows of each language are learned from.
 GRAM, TOP, LEARN_ROWS = 3, 300, 20_000
+#: Characters whose n-grams are in memory at once while profiles are learned (a longer text stands alone), and rows taken at once.
+HELD_CHARS, ROWS = 500_000, 256
 UNKNOWN = "und"
 COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -73,6 +75,14 @@ def profile(text: str, top: int = TOP) -> np.ndarray:
     return codes[np.lexsort((codes, -n))][:top]
 
 
+def row_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of two columns, few of them as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 def learn_profiles(docs: DataFrame, top: int = TOP, rows: int = LEARN_ROWS) -> dict[str, list[int]]:
     """Profiles by language from docs(text, lang): a sample of about `rows` rows a language, by hash of the row's content.
 
@@ -85,15 +95,23 @@ def learn_profiles(docs: DataFrame, top: int = TOP, rows: int = LEARN_ROWS) -> d
     draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     limit = F.create_map([x for k, v in share.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
 
+    def sent(by: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, codes in by.items():
+            if codes:
+                code, n = counted(np.concatenate(codes))
+                langs = pa.array([lang]).take(pa.array(np.zeros(len(code), np.int64)))
+                yield pa.RecordBatch.from_arrays([langs, pa.array(code), pa.array(n)], schema=COUNTS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).extend(grams(text))
-            for lang, codes in by.items():
-                if codes:
-                    code, n = counted(np.concatenate(codes))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(code), np.int64))), pa.array(code), pa.array(n)], schema=COUNTS)
+        by: dict[str, list[np.ndarray]] = {}
+        held = 0
+        for lang, text in row_pairs(batches):
+            by.setdefault(lang, []).extend(grams(text))
+            held += len(text)
+            if held >= HELD_CHARS:
+                yield from sent(by)
+                by, held = {}, 0
+        yield from sent(by)
 
     total = docs.where(draw < limit).mapInArrow(run, from_arrow_schema(COUNTS)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -111,20 +129,22 @@ def language_id(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP)
         ranks = np.full((len(every) + 1, len(names)), top, np.int32)
         for j, k in enumerate(names):
             ranks[np.searchsorted(every, profiles[k]), j] = np.arange(len(profiles[k]))
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = profile(text, top)
-                if not len(own) or not names:
-                    rows.append((doc_id, UNKNOWN, 0.0))
-                    continue
+        rows = []
+        for doc_id, text in row_pairs(batches):
+            own = profile(text, top)
+            if not len(own) or not names:
+                rows.append((doc_id, UNKNOWN, 0.0))
+            else:
                 at = np.searchsorted(every, own)
                 at[(at == len(every)) | (every[np.minimum(at, len(every) - 1)] != own)] = len(every)
                 theirs = ranks[at]
                 apart = np.where(theirs == top, top, np.abs(theirs - np.arange(len(own))[:, None])).sum(0)
                 best = int(apart.argmin())
                 rows.append((doc_id, names[best], 1 - float(apart[best]) / (top * len(own))))
-            yield arrow_rows(rows, OUT)
+            if len(rows) == 5000:
+                yield arrow_rows(rows, OUT)
+                rows = []
+        yield arrow_rows(rows, OUT)
 
     return texts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, from_arrow_schema(OUT))
 
