@@ -1,12 +1,14 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are sorted by page_id over ranges; a file rolls when its compressed records reach a size; each record is a gzip member of its
-own, with headers and digests made anew from the payload. A file is written under a temporary name and renamed when whole, and counts
-only through its row in the manifest, so a task that runs twice does no harm.
+Records are sorted by page_id over ranges, whose bounds come from exact sums of payload bytes; a file rolls at the end of a range or when its
+compressed records reach a size; each record is a gzip member of its own, with headers and digests made anew from the payload. So the
+same pages give the same files, names and bytes, however many tasks there are. A file is written under a temporary name and renamed
+when whole, and counts only through its row in the manifest, so a task that runs twice does no harm.
 
 Defined results: a null html is an empty payload; of records with equal payloads of at least MIN_REVISIT bytes, that with the smallest
 page_id is the response (every row of that page_id, if rows repeat) and the others revisit it; records without a page_id are responses;
-a null url becomes urn:page:<page_id>; control characters and spaces in a url are percent-encoded; an empty table gives no files; other
+texts of any length are one record each, which a task holds whole; rows that repeat a page_id stand in order of url and payload; a null url
+becomes urn:page:<page_id>; control characters and spaces in a url are percent-encoded; an empty table gives no files; other
 columns are not read.
 """
 
@@ -19,15 +21,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tidemark.llm.common import SharedFiles, arrow_rows, cut, open_shared, shared_folder, table
+from tidemark.llm.common import SharedFiles, arrow_rows, cut, drop_written, open_shared, shared_folder, table
 
 MIN_REVISIT, FILE_BYTES, SALTS = 100, 64 << 20, 64
+#: Payload bytes of a part (a range of page_id): a PARTS-th of all, but for these bounds.
+PARTS, LEAST_PART, MOST_PART = 64, 1 << 20, 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("records", "bytes", "first_id", "last_id"))])
 READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -43,6 +48,41 @@ def revisits(pages: DataFrame, least: int = MIN_REVISIT, salts: int = SALTS) ->
     return rows.join(first, ["digest", "salt"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
+def part_of(bounds: list[int]):
+    """A function of page_id: the number of its range, null standing before the first one. bounds: where the next range begins."""
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).astype("int64"), "right")).astype("int32"))
+
+    return part
+
+
+def range_bounds(rows: DataFrame) -> list[int]:
+    """Bounds of ranges of page_id with about equally many payload bytes. A range that holds over twice a part's bytes is cut into equal
+    widths, again and again, down to one page_id; one number a range comes to the driver."""
+    sizes = cut(rows.select("page_id", F.octet_length("html").cast("long").alias("bytes")), "sizes")
+    all_of = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+    if all_of[0] is None:
+        drop_written(sizes)
+        return []
+    low, high, target = int(all_of[0]), int(all_of[1]) + 1, min(MOST_PART, max(LEAST_PART, int(all_of[2]) // PARTS))
+    bounds, held = [], {0: int(all_of[2])}
+    while True:
+        edges = [low, *bounds, high]
+        more = set()
+        for i, n in held.items():
+            width, pieces = edges[i + 1] - edges[i], min(4096, -(-n // target))
+            if n > 2 * target and width > 1:
+                more.update(edges[i] + width * k // pieces for k in range(1, pieces))
+        if not more - set(edges):
+            drop_written(sizes)
+            return bounds
+        bounds = sorted(more.union(bounds) - {low, high})
+        found = sizes.where("page_id is not null").groupBy(part_of(bounds)("page_id").alias("part")).agg(F.sum("bytes").alias("n"))
+        held = {r["part"]: int(r["n"]) for r in found.where(F.col("n") > 2 * target).collect()}
+
+
 def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
 
@@ -72,25 +112,29 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, files, rows = TaskContext.get().partitionId(), SharedFiles(folder), []
+        part, seq, files, rows = 0, 0, SharedFiles(folder), []
         held: list[bytes] = []
         ids: list[int | None] = []
         size = 0
 
         def commit() -> None:
-            nonlocal size
-            name = f"part-{part:05d}-{len(rows):05d}.warc.gz"
+            nonlocal size, seq
+            name = f"part-{part:05d}-{seq:05d}.warc.gz"
             info = f"format: WARC File Format 1.1\r\nname: {name}\r\n".encode()
             head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(None, name)}\r\nWARC-Date: {date}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
             top = gzip.compress(head.encode() + info + b"\r\n\r\n", 6, mtime=0)
-            rows.append((part, len(rows), files.put(name, [top, *held]), len(held), size + len(top), ids[0], ids[-1]))
+            rows.append((part, seq, files.put(name, [top, *held]), len(held), size + len(top), ids[0], ids[-1]))
             held.clear()
             ids.clear()
-            size = 0
+            size, seq = 0, seq + 1
 
         now, known = None, {}  # of one page_id: what a payload's digest refers to
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist()):
+                if row["part"] != part:
+                    if held:
+                        commit()
+                    part, seq = row["part"], 0
                 if row["page_id"] != now:
                     now, known = row["page_id"], {}
                 if row["html"] is None:
@@ -108,7 +152,8 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     notes = revisits(rows, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
     both = notes.union(rows.select("page_id", "url", "html", F.lit(None).cast("string"), F.lit(None).cast("long")))
-    ordered = both.repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("html").isNotNull(), "url", "html")
+    both = both.withColumn("part", part_of(range_bounds(rows))("page_id"))
+    ordered = both.repartition("part").sortWithinPartitions("part", "page_id", F.col("html").isNotNull(), "url", "html")
     return cut(ordered.mapInArrow(run, from_arrow_schema(MANIFEST)), "warc-manifest")
 
 
