@@ -4,11 +4,13 @@ A mask keeps some word positions of a span and ignores the rest, so its hash sur
 documents are hashed under the same masks and joined on the hash; around each hit the aligned words are compared, and a hit stands where
 a window of WINDOW words (the whole item where it is shorter) has at least SIMILAR of its words in common.
 
-MASKS find every window of 13 words with up to 2 substitutions, wherever these fall (tests/llm checks all placements). An item shorter
-than the longest mask is also hashed whole, so it is found where it stands unchanged.
+MASKS find every window of 13 words with up to 2 substitutions, wherever these fall. An item of fewer words has masks of its own length,
+one more than the substitutions that SIMILAR allows it, no two of which keep the same position: one of them is left untouched. tests/llm
+checks all placements for every length.
 
 Words are runs without ASCII white space, in lower case and without ASCII signs. Defined results: a null or empty text or item has no words and matches nothing;
-rows that repeat a doc_id count as one document; a null doc_id or item_id is a value like any other; texts of any length count whole;
+rows that repeat a doc_id count as one document; a null doc_id or item_id is a value like any other; windows that share equally many words
+all count, so ties change nothing; texts of any length count whole;
 empty tables give an empty result; other columns are not read.
 """
 
@@ -32,6 +34,14 @@ SEEDS = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()),
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_start", pa.int32()), ("doc_end", pa.int32()), ("item_start", pa.int32()), ("item_end", pa.int32()), ("same", pa.int32()), ("words", pa.int32())])
 
 
+def masks_of(n: int, window: int = WINDOW, similar: float = SIMILAR, masks: tuple = MASKS) -> tuple:
+    """The masks of an item of n words: every k-th position from each of k beginnings where it is shorter than a window."""
+    if n >= window:
+        return masks
+    k = n - int(np.ceil(similar * n - 1e-9)) + 1
+    return tuple(dict.fromkeys(tuple(range(0, n - first, k)) for first in range(k)))
+
+
 def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     """The hash under a mask at each position where its span fits."""
     n = len(words) - mask[-1]
@@ -47,9 +57,9 @@ def _filter_places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
 
 
-def seeds(rows: DataFrame, key: str, masks: tuple, reach: int, only=None) -> DataFrame:
-    """id, hash, at, and the word hashes around each seed (`before` of them before it); only: a broadcast filter of hashes."""
-    span = max(m[-1] for m in masks) + 1
+def seeds(rows: DataFrame, key: str, masks, reach: int, only=None) -> DataFrame:
+    """id, hash, at, and the word hashes around each seed (`before` of them before it); masks: a function of the number of words;
+    only: a broadcast filter of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.unpackbits(np.frombuffer(only.value, np.uint8), bitorder="little") if only is not None else None
@@ -57,8 +67,8 @@ def seeds(rows: DataFrame, key: str, masks: tuple, reach: int, only=None) -> Dat
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = loose_words(text)
-                for mask in masks:
-                    hashes = seed_hashes(words, mask)
+                for mask in masks(len(words)):
+                    hashes, span = seed_hashes(words, mask), mask[-1] + 1
                     where = np.arange(len(hashes)) if keep is None else np.flatnonzero(keep[_filter_places(hashes, len(keep))].all(0))
                     for at in where.tolist():
                         start = max(0, at - reach)
@@ -94,17 +104,17 @@ def overlaps(docs: DataFrame, tests: DataFrame, masks: tuple = MASKS, window: in
     they are small, by its own threshold, and splits skewed ones otherwise.
     """
     spark = docs.sparkSession
-    longest = max(m[-1] for m in masks) + 1
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(loose_words(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["n"])
 
-    short = tests.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lengths, "n long").where(f"n between 1 and {longest - 1}").distinct().collect()
-    masks = tuple(masks) + tuple(tuple(range(r["n"])) for r in sorted(short))
-    wanted = seeds(tests, "item_id", masks, window)
+    short = tests.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lengths, "n long").where(f"n between 1 and {window - 1}").distinct().collect()  # a window's length of rows at most
+    each = {n: masks_of(n, window, similar, masks) for n in range(1, window + 1)}
+    every = tuple(dict.fromkeys([*masks, *(m for r in short for m in each[r["n"]])]))
+    wanted = seeds(tests, "item_id", lambda n: each.get(min(n, window), ()), window)
     only = spark.sparkContext.broadcast(hash_filter(wanted))
-    found = seeds(docs, "doc_id", masks, window, only)
+    found = seeds(docs, "doc_id", lambda n: every, window, only)
     pairs = found.select([F.col(c).alias(f"d_{c}") for c in found.columns]).join(wanted, F.col("d_hash") == F.col("hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +146,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, masks: tuple = MASKS, window: in
 
 def decontaminate(docs: DataFrame, tests: DataFrame) -> DataFrame:
     """docs without those that overlap a test item; all columns of docs."""
-    hit = overlaps(docs, tests).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    hit = overlaps(docs, tests).select(F.struct("doc_id").alias("hit")).distinct().alias("found")
+    return docs.alias("docs").join(hit, F.col("docs.doc_id").eqNullSafe(F.col("found.hit.doc_id")), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
