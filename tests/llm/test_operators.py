@@ -41,16 +41,19 @@ def test_sql_twin(spark, name):
 
 
 @pytest.mark.parametrize("weak", [False, True])
-def test_exact_dedup(edge_docs, weak):
+def test_exact_dedup(spark, edge_docs, weak):
     from pyspark.sql import functions as F
 
+    same = spark.createDataFrame([(301, "q r"), (301, "q  r"), (301, "q  r"), (301, " qr "), (302, "qr"), (None, "q r s t")], "doc_id long, text string")
+    edge_docs = edge_docs.select("doc_id", "text").union(same)
     groups = collections.defaultdict(list)
     for i, t in texts_of(edge_docs):
         groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i is None, i or 0, i))
     want = []
     for norm, members in groups.items():
         keep = min(members)[-1]
-        want += [(m[-1], keep, len(members), m[-1] == keep, hashlib.sha256(norm.encode()).hexdigest()) for m in members]
+        stays = members.index(min(members))
+        want += [(m[-1], keep, len(members), k == stays, hashlib.sha256(norm.encode()).hexdigest()) for k, m in enumerate(members)]
     digest = {"digest": lambda c: F.pmod(F.crc32(F.encode(c, "UTF-8")), F.lit(3))} if weak else {}
     assert rows(exact_dedup.exact_dedup(edge_docs, **digest), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
 
@@ -107,6 +110,24 @@ def test_warc(spark):
     assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got], key=repr) == sorted(want, key=repr)
 
 
+def test_warc_files_repeat(spark):
+    """The same pages in other partitions give the same files; ranges of very uneven ids are cut by bytes."""
+    data = [(k if k % 3 else k << 40, f"u{k}", ("z" * (k % 700)) + str(k) * 900) for k in range(900)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    found = []
+    for some in (pages.repartition(7), pages.coalesce(1)):
+        manifest = warc.write_warc(some, shared_folder(spark, "w"), file_bytes=3000).collect()
+        files = {}
+        for r in manifest:
+            with warc.open_shared(r["path"]) as f:
+                files[r["path"].rsplit("/", 1)[1]] = f.read()
+        found.append(files)
+        ordered = sorted(manifest, key=lambda r: (r["part"], r["seq"]))
+        assert all(a["last_id"] <= b["first_id"] for a, b in itertools.pairwise(ordered))
+        assert max(r["part"] for r in manifest) > 1 and sum(r["records"] for r in manifest) == len(data)
+    assert found[0] == found[1] and len(found[0]) > 3
+
+
 def shingles(text):
     w = text.encode().lower().split()
     k = min(5, len(w))
@@ -160,87 +181,29 @@ def test_ngram_join_needs_no_more_than_is_shared():
             assert max(1, least) >= ngram_join.need(np.array([n]))[0]
 
 
-def brute_lines(docs):
-    """Equal lines only: the first occurrence of a line of five words or more stays."""
-    first = {}
-    for i, t in docs:
-        for p, line in enumerate(t.split("\n")):
-            norm = re.sub(r"\s+", " ", line.lower()).strip(" ")
-            if len(norm.split(" ")) >= line_dedup.MIN_WORDS:
-                first[norm] = min(first.get(norm, (i, p)), (i, p))
-    out = {}
-    for i, t in docs:
-        out[i] = "\n".join(line for p, line in enumerate(t.split("\n")) if first.get(re.sub(r"\s+", " ", line.lower()).strip(" "), (i, p)) == (i, p))
-    return out
-
-
-def test_line_dedup(spark):
-    from tests.llm.conftest import prose
-
-    long = prose(7, 400)
-    almost = long[:-3] + "xyz"
-    docs = [(1, prose(1, 12) + "\nshort line\n" + prose(2, 9)), (2, "short line\n" + prose(2, 9).upper() + "\n" + prose(3, 8)), (3, None), (4, ""), (5, prose(1, 12)), (6, "a  b c\td e\n\na b c d e")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, pos int")).collect()}
-    assert {k: v or "" for k, v in got.items()} == brute_lines([(i, t or "") for i, t in docs])
-    fuzzy = spark.createDataFrame([(1, long), (2, almost + "\nkept here because it is another line"), (3, long + "\n" + prose(9, 30))], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(fuzzy).collect()}
-    assert got == {1: long, 2: "kept here because it is another line", 3: prose(9, 30)}
-
-
-def test_line_dedup_large_buckets(spark, monkeypatch):
-    from tests.llm.conftest import prose
-
-    monkeypatch.setattr(line_dedup, "BUCKET", 3)
-    base = prose(11, 300)
-    docs = spark.createDataFrame([(k, base.replace("quiet", "quiet", 1)[:-2] + f"{k:02d}") for k in range(12)], "doc_id long, text string")
-    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(docs).collect()}
-    sims = {r["id"]: r["sim"] for r in line_dedup.simhashes(line_dedup.lines(docs)).collect()}
-    ids = {r["doc_id"]: r["id"] for r in line_dedup.lines(docs).collect()}
-    up = {k: k for k in range(12)}
-    for _ in range(12):
-        for i, j in itertools.combinations(range(12), 2):
-            if bin((sims[ids[i]] ^ sims[ids[j]]) & (1 << 64) - 1).count("1") <= 3:
-                up[i] = up[j] = min(up[i], up[j])
-    assert got == {k: int(up[k] != k) for k in range(12)}
-
-
-def test_line_dedup_settled_lines(spark, monkeypatch):
-    """Lines of one SimHash of which only neighbours in length are similar: each such path is one group, whoever leads."""
-    monkeypatch.setattr(line_dedup, "BUCKET", 1)
-    docs = []
-    for case in range(12):
-        base = " ".join(f"k{case}w{i}" for i in range(40))
-        for n in (1000, 1180, 1400, 1660):
-            docs.append((len(docs), base + " pad" * ((n - len(base)) // 4)))
-    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {i: int(i % 4 > 0) for i, _ in docs}
-
-
-def test_sub_keys_meet(spark):
-    """SimHashes at most 3 bits apart that share a key share one of its blocks, too."""
-    from pyspark.sql import functions as F
-
-    rng = np.random.default_rng(9)
-    pairs = []
-    for _ in range(300):
-        a = int(rng.integers(0, 1 << 64, dtype=np.uint64))
-        b = a ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 4), False))
-        pairs.append(tuple(v - (1 << 64) if v >> 63 else v for v in (a, b)))
-    df = spark.createDataFrame(pairs, "a long, b long")
-
-    def keys(sim):
-        return F.transform(line_dedup.block_keys(sim), lambda k: F.struct(k.alias("key"), line_dedup.sub_keys(k, sim).alias("subs")))
-
-    for r in df.select(keys(F.col("a")).alias("a"), keys(F.col("b")).alias("b")).collect():
-        shared = [(set(x["subs"]), set(y["subs"])) for x, y in zip(r["a"], r["b"], strict=True) if x["key"] == y["key"]]
-        assert shared and all(x & y for x, y in shared)
-
-
 def test_masks_find_every_window():
-    n, span = decontaminate.WINDOW, max(m[-1] for m in decontaminate.MASKS) + 1
-    for wrong in itertools.combinations(range(n), 2):
-        assert any(not {s + o for o in m} & set(wrong) for m in decontaminate.MASKS for s in range(n - m[-1]))
-    assert span <= n
+    """All placements of the substitutions that SIMILAR allows, for every length of item."""
+    for n in range(1, decontaminate.WINDOW + 1):
+        masks, most = decontaminate.masks_of(n), int(n * (1 - decontaminate.SIMILAR) + 1e-9)
+        assert all(m[0] == 0 and m[-1] < n for m in masks)
+        for wrong in itertools.combinations(range(n), most):
+            assert any(not {s + o for o in m} & set(wrong) for m in masks for s in range(n - m[-1]))
+
+
+def test_decontaminate_short_items(spark):
+    """Every placement of one or two changed words in items of 1 to 12 words, against the rule itself."""
+    items, docs, want = [], [], set()
+    for n in range(1, 13):
+        words = [f"s{n}q{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for count in range(4):
+            for wrong in itertools.combinations(range(n), count):
+                doc = len(docs)
+                docs.append((doc, " ".join(["before", *(f"z{doc}" if k in wrong else w for k, w in enumerate(words)), "after"])))
+                if n - count >= decontaminate.SIMILAR * n - 1e-9:
+                    want.add((doc, n))
+    hits = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in hits.collect()} == want
 
 
 def test_decontaminate(spark, edge_docs):
@@ -253,9 +216,10 @@ def test_decontaminate(spark, edge_docs):
     docs = [(1, "before it " + item.upper() + " after"), (2, prose(22, 30) + " " + " ".join(changed) + "."), (3, prose(23, 60)), (4, "x alpha, beta gamma y"), (5, None), (None, item), (6, " ".join(item.split()[:8]))]
     hits = decontaminate.overlaps(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, hash int"), tests)
     assert sorted({(r["doc_id"], r["item_id"]) for r in hits.collect()}, key=repr) == sorted([(1, 1), (2, 1), (4, 4), (None, 1)], key=repr)
-    kept = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), tests)
-    assert rows(kept, "doc_id") == [(3,), (5,), (6,)]
+    kept = decontaminate.decontaminate(spark.createDataFrame([(*d, 7, 1) for d in docs], "doc_id long, text string, _hit int, hit int"), tests)
+    assert rows(kept, "doc_id", "_hit", "hit") == [(3, 7, 1), (5, 7, 1), (6, 7, 1)]
     assert decontaminate.overlaps(edge_docs, tests.where("false")).count() == 0
+    assert decontaminate.overlaps(edge_docs.where("false"), tests).count() == 0
 
 
 def test_passages(spark, edge_docs):
