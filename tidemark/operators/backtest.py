@@ -44,25 +44,39 @@ def regime_multiplier(regime: Column) -> Column:
     return F.when(regime > 0, 0.85).when(regime < 0, 1.25).otherwise(1.0)
 
 
-def recommendation(decision: Column, expected: Column, strong: float) -> Column:
-    return F.when(decision == "BUY", "BUY").when(decision == "EXIT", "SELL").when((decision == "NO_TRADE") & (expected < -strong), "SELL").when(decision == "HOLD", "HOLD").otherwise("NEUTRAL")
+def recommendation(decision: Column, expected: Column, threshold: Column) -> Column:
+    """BUY on entry, SELL on exit or on a forecast far below zero without a position, else HOLD."""
+    falls = (decision == "NO_TRADE") & (expected < -F.abs(threshold))
+    return F.when(decision == "BUY", "BUY").when((decision == "EXIT") | falls, "SELL").otherwise("HOLD")
 
 
 def quality_block(df: DataFrame) -> DataFrame:
-    """Hard gate on the model's metrics: why it may not trade."""
-    reason = F.when(F.col("is_benchmark"), "benchmark_only").when(F.col("dir_acc") < 52, "low_direction_accuracy").when(F.col("rmse_ratio") > 1.05, "worse_than_benchmark").when(F.col("composite") < 50, "low_composite")
+    """Hard gate on the model's metrics: why it may not trade, null if it may."""
+    rules = (F.col("dir_acc") < 52, "quality_dir_acc"), (F.col("rmse_ratio") > 1.05, "quality_rmse"), (F.col("composite") < 50, "quality_composite")
+    reason = F.when(F.col("is_benchmark"), "benchmark_only")
+    for bad, name in rules:
+        reason = reason.when(bad, name)
     return df.withColumn("block_reason", reason)
 
 
+def blocked(df: DataFrame) -> DataFrame:
+    """Rows of a blocked model: no trade anywhere, with the reason as risk state."""
+    stop = F.col("block_reason").isNotNull()
+    return df.withColumns({
+        "decision": F.when(stop, "NO_TRADE").otherwise(F.col("decision")), "position": F.when(stop, 0).otherwise(F.col("position")),
+        "risk_state": F.when(stop, F.col("block_reason")).otherwise(F.col("risk_state")),
+    })
+
+
 def soft_gate(df: DataFrame) -> DataFrame:
-    """The largest threshold multiplier that a weak metric asks for, with all reasons."""
-    weak = [("dir_acc", 52, 50, True), ("composite", 50, 40, True), ("rmse_ratio", 1.0, 1.05, False)]
-    steps, reasons = [], []
-    for name, mild, hard, below in weak:
-        c = F.col(name)
-        is_hard, is_mild = (c < hard, c < mild) if below else (c > hard, c > mild)
-        steps.append(F.when(is_hard, 1.75).when(is_mild, 1.25).otherwise(1.0))
-        reasons.append(F.when(is_mild, F.lit(f"weak_{name}")))
+    """The largest threshold multiplier that a weak metric asks for (1.25, or 1.75 where it is far off), with all reasons."""
+    weak = {
+        "dir_acc": (F.col("dir_acc") < 52, F.col("dir_acc") < 48),
+        "rmse_ratio": (F.col("rmse_ratio") > 1.05, F.col("rmse_ratio") >= 1.10),
+        "composite": (F.col("composite") < 50, F.col("composite") < 45),
+    }
+    steps = [F.when(mild & far, 1.75).when(mild, 1.25).otherwise(1.0) for mild, far in weak.values()]
+    reasons = [F.when(mild, F.lit(f"weak_{name}")) for name, (mild, _) in weak.items()]
     return df.withColumns({"threshold_multiplier": F.greatest(*steps), "gate_reasons": F.array_compact(F.array(*reasons))})
 
 

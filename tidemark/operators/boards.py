@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import full, last_rows, over_time
 from tidemark.operators.features import drift_features
+from tidemark.operators.selection import trend_tendency
 from tidemark.operators.xsection import composite_icir, peer_confidence
 
 
@@ -31,31 +32,66 @@ def json_series(rows: DataFrame, text: str, dates: tuple[str, ...] = ("Tarih", "
 
 
 def drift_tiers(bars: DataFrame, recent: int = 30, before: int = 252, bins: int = 3) -> DataFrame:
-    """Per symbol the largest stability index of the drift features, last rows against those before, and its tier."""
+    """Per symbol the largest stability index of the drift features, the last rows against those before, with its tier and, where there is
+    none, the reason."""
     names = ["logret", "range_rel", "dlog_volume"]
-    w = Window.partitionBy("symbol").orderBy(F.desc("Date"))
-    rows = drift_features(bars).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= recent + before)
-    long = rows.select("symbol", (F.col("_k") <= recent).alias("new"), F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names])).alias("x")).select("symbol", "new", "x.*").where("value is not null")
+    whole = Window.partitionBy("symbol")
+    rows = drift_features(bars).withColumns({"_k": F.row_number().over(whole.orderBy(F.desc("Date"))), "_n": F.count(F.lit(1)).over(whole)})
+    short = F.when(F.col("_n") < recent + before // 4, "insufficient_history").when(F.col("_n") < 2 * recent, "insufficient_train_window")
+    state = bars.select("symbol").distinct().join(rows.groupBy("symbol").agg(F.max("_n").alias("_n")), "symbol", "left")
+    state = state.select("symbol", F.when(F.col("_n").isNull(), "insufficient_history").otherwise(short).alias("reason"))
+    rows = rows.where((F.col("_k") <= recent + before) & short.isNull())
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names])
+    long = rows.select("symbol", (F.col("_k") <= recent).alias("new"), F.explode(pairs).alias("x")).select("symbol", "new", "x.*")
     size = Window.partitionBy("symbol", "feature")
-    low, high = F.min("value").over(size) - 1e-9, F.max("value").over(size) + 1e-9
-    placed = long.withColumn("bin", F.least(F.lit(bins), F.floor((F.col("value") - low) / (high - low) * bins).cast("int") + 1))
+    low, high = F.min("value").over(size), F.max("value").over(size)
+    place = F.floor((F.col("value") - low) / F.nullif(high - low, F.lit(0.0)) * bins).cast("int") + 1
+    placed = long.withColumn("bin", F.least(F.lit(bins), F.coalesce(place, F.lit(1))))
     counts = placed.groupBy("symbol", "feature", "bin").agg(F.count_if("new").alias("h"), F.count_if(~F.col("new")).alias("t"))
     every = counts.select("symbol", "feature").distinct().withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins)))).join(counts, ["symbol", "feature", "bin"], "left")
-    t, h = (F.greatest(F.coalesce(c, F.lit(0)) / F.sum(c).over(size), F.lit(1e-4)) for c in ("t", "h"))
-    found = every.withColumn("part", (h - t) * F.log(h / t)).groupBy("symbol", "feature").agg(F.sum("part").alias("psi"))
-    out = found.groupBy("symbol").agg(F.max("psi").alias("psi_max"))
-    return out.withColumn("tier", F.when(F.col("psi_max").isNull(), "unavailable").when(F.col("psi_max") < 0.1, "stable").when(F.col("psi_max") < 0.25, "moderate").otherwise("major"))
+    t, h = (F.when(F.coalesce(c, F.lit(0)) > 0, F.col(c) / F.sum(c).over(size)).otherwise(1e-4) for c in ("t", "h"))
+    found = every.withColumn("part", (h - t) * F.log(h / t)).groupBy("symbol", "feature").agg(F.greatest(F.lit(0.0), F.sum("part")).alias("psi"))
+    out = state.join(found.groupBy("symbol").agg(F.max("psi").alias("psi_max")), "symbol", "left")
+    tier = F.when(F.col("psi_max").isNull(), "unavailable").when(F.col("psi_max") < 0.1, "stable").when(F.col("psi_max") < 0.25, "moderate_drift").otherwise("major_drift")
+    return out.withColumn("tier", tier)
 
 
 def regime_context(bars: DataFrame) -> DataFrame:
-    """Bull, bear, sideways or uncertain from two means and the normalised slope of the last 20 closes."""
-    close = F.col("Close")
+    """Bull, bear, sideways or uncertain from the close against its 50- and 200-row means and from the slope of the last 20 closes over their
+    mean; without 200 rows from the shorter mean and the slope alone."""
+    close, slope = F.col("Close"), F.col("slope")
     n = F.row_number().over(over_time()).cast("double")
     out = bars.withColumns({"_n": n, "_s": full(F.avg("Close"), close, 50), "_l": full(F.avg("Close"), close, 200)})
-    slope = F.when(F.count("Close").over(last_rows(20)) >= 20, F.regr_slope("Close", "_n").over(last_rows(20)) / close)
-    out = out.withColumn("slope", slope)
-    label = F.when(F.col("_l").isNull(), "uncertain").when((close > F.col("_s")) & (F.col("_s") > F.col("_l")) & (F.col("slope") > 0), "bull").when((close < F.col("_s")) & (F.col("_s") < F.col("_l")) & (F.col("slope") < 0), "bear").otherwise("sideways")
-    return out.withColumn("regime", label).drop("_n", "_s", "_l")
+    w = last_rows(20)
+    out = out.withColumn("slope", F.when(F.count("Close").over(w) >= 20, F.regr_slope("Close", "_n").over(w) / (F.avg("Close").over(w) + 1e-9)))
+    s, long = F.col("_s"), F.col("_l")
+    brief = F.when((close > s) & (slope > 0), "bull").when((close <= s) & (slope < 0), "bear").otherwise("uncertain")
+    whole = F.when((close > s) & (close > long) & (s > long) & (slope > 0), "bull").when((close <= s) & (close <= long) & (s <= long) & (slope < 0), "bear")
+    whole = whole.when(F.abs(slope) < 0.001, "sideways").otherwise("uncertain")
+    return out.withColumn("regime", F.when(s.isNull(), "uncertain").when(long.isNull(), brief).otherwise(whole)).drop("_n", "_s", "_l")
+
+
+def strength_against(bars: DataFrame, index: DataFrame, rows: int = 60, least: int = 5, limit: float = 0.02) -> DataFrame:
+    """Whether a symbol's return over its last `rows` rows is above or below the index's over its own; inline where either has few rows.
+    index(Date, index_close): one row a date; each is told as of the symbol's newest date."""
+
+    def last_of(df: DataFrame, value: str, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("Date"))
+        kept = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= rows)
+        found = kept.groupBy(*keys).agg((F.max_by(value, "Date") / F.min_by(value, "Date") - 1).alias(f"{value}_return"), F.count(F.lit(1)).alias(f"{value}_rows"))
+        return found
+
+    both = last_of(bars, "Close", "symbol").crossJoin(F.broadcast(last_of(index, "index_close")))  # one row
+    gap = F.col("Close_return") - F.col("index_close_return")
+    enough = F.least("Close_rows", "index_close_rows") >= least
+    label = F.when(enough & (gap > limit), "outperforming").when(enough & (gap < -limit), "underperforming").otherwise("inline")
+    return both.select("symbol", gap.alias("return_gap"), label.alias("relative_strength"))
+
+
+def alignment(regime: Column, direction: Column) -> Column:
+    """Whether a forecast goes with the market's regime."""
+    up, down = direction > 0, direction < 0
+    return F.when(((regime == "bull") & up) | ((regime == "bear") & down), "aligned").when(((regime == "bull") & down) | ((regime == "bear") & up), "misaligned").otherwise("neutral")
 
 
 def normal_cdf(x: Column) -> Column:
@@ -68,17 +104,33 @@ def normal_cdf(x: Column) -> Column:
 
 
 def deflated_sharpe(curve: DataFrame, trials: int) -> DataFrame:
-    """Per series: daily Sharpe less what the best of so many trials shows by chance, and the probability that it is above that."""
+    """Per series: annual Sharpe less what the best of so many trials shows by chance, in standard errors of a Sharpe, and the percentage of a
+    normal distribution below what is left; 0 under three rows."""
     r = F.col("net_return")
-    out = curve.groupBy("symbol", "model").agg(F.count(F.lit(1)).alias("n"), (F.avg(r) / F.nullif(F.stddev_pop(r), F.lit(0.0))).alias("sr"))
-    luck = math.sqrt(2 * math.log(max(trials, 2)))
-    gap = F.col("sr") - luck / F.sqrt("n")
-    return out.withColumn("deflated", gap).withColumn("probability", normal_cdf(gap * F.sqrt(F.col("n") - 1)))
-
-
-def diagnosis(summary: DataFrame, min_trades: int = 8) -> DataFrame:
-    found = F.array_compact(F.array(F.when(F.col("total_return") < F.col("buyhold_return"), F.lit("underperform_buyhold")), F.when(F.col("trade_count") < min_trades, F.lit("insufficient_trades")), F.when(F.coalesce(F.col("sharpe"), F.lit(0.0)) <= 0, F.lit("model_signal_weak"))))
-    return summary.withColumn("diagnosis", F.when(F.size(found) == 0, "ok").otherwise(F.concat_ws("|", found)))
+    sr = F.coalesce(F.avg(r) / F.nullif(F.stddev_pop(r), F.lit(0.0)) * math.sqrt(252), F.lit(0.0))
+    out = curve.groupBy("symbol", "model").agg(F.count(r).alias("n"), sr.alias("sr"))
+    error = F.sqrt(F.greatest(F.lit(1e-12), (1 + 0.5 * F.col("sr") * F.col("sr")) / F.col("n")))
+    luck = math.sqrt(2 * math.log(trials)) if trials > 1 else 0.0
+    few = F.col("n") < 3
+    out = out.withColumns({"error": error, "deflated": F.when(few, 0.0).otherwise(F.col("sr") - luck * error)})
+    return out.withColumn("score", F.when(few, 0.0).otherwise(100 * normal_cdf(F.col("deflated") / F.col("error"))))
+
+
+def diagnosis(summary: DataFrame, min_trades: int = 6) -> DataFrame:
+    """Labels of what is wrong with a backtest, joined by commas, or ok. Optional columns: rejected (the calibration found no trial), and
+    current_trades, current_net, alternative_trades, alternative_net (the same model under its own and under laxer gates)."""
+    found = [
+        F.when(F.col("total_return") <= F.col("buyhold_return"), F.lit("underperform_buyhold")),
+        F.when(F.col("trade_count") < min_trades, F.lit("insufficient_trades")),
+        F.when(F.col("sharpe") <= 0, F.lit("model_signal_weak")),
+    ]
+    if "rejected" in summary.columns:
+        found.append(F.when(F.col("rejected"), F.lit("rejected_no_trade")))
+    if "alternative_trades" in summary.columns:
+        better = F.col("current_net").isNull() | (F.col("alternative_net") > F.col("current_net"))
+        found.append(F.when((F.col("alternative_trades") > F.col("current_trades")) & better, F.lit("gate_too_strict")))
+    labels = F.array_compact(F.array(*found))
+    return summary.withColumn("diagnosis", F.when(F.size(labels) == 0, "ok").otherwise(F.concat_ws(",", labels)))
 
 
 def gate_diagnostics(rows: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -95,12 +147,13 @@ def sector_summary(board: DataFrame) -> DataFrame:
 
 
 def peer_table(scores: DataFrame, segments: DataFrame, ic_by: dict[str, DataFrame], weights: dict[str, float], floor: float) -> DataFrame:
-    """Scores with segments, blended segment ICIR, gates and confidence. ic_by: column of segments to segment_ic() rows."""
+    """Scores (with `stale`) with segments, blended segment ICIR, gates, confidence and trend. ic_by: column of segments to segment_ic() rows."""
     out = scores.join(segments, "symbol", "left")
     for column, table in ic_by.items():
         out = out.join(table.select(F.col("segment").alias(column), F.col("icir").alias(f"icir_{column}")), column, "left")
     out = composite_icir(out, {f"icir_{c}": w for c, w in weights.items()})
-    return peer_confidence(out.withColumns({"tradable": F.coalesce(F.col("liq_med") >= floor, F.lit(False)), "stale": F.lit(False)}))
+    out = peer_confidence(out.withColumn("tradable", F.coalesce(F.col("liq_med") >= floor, F.lit(False))))
+    return trend_tendency(out)
 
 
 def residual_quantiles(train: DataFrame, test: DataFrame, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:

@@ -128,7 +128,11 @@ def targets(bars: DataFrame, mode: str = "log_return", horizons: tuple[int, ...]
 
 
 def drift_features(bars: DataFrame) -> DataFrame:
-    return returns(bars).withColumns({"range_rel": ratio(F.col("High") - F.col("Low"), F.col("Close")), "dlog_volume": F.log1p("Volume") - F.log1p(F.lag("Volume").over(over_time()))})
+    """Return, range and change of the log of a non-zero volume; rows that lack one of them are dropped."""
+    logged = F.log(F.nullif(F.col("Volume").cast("double"), F.lit(0.0)))
+    out = returns(bars).withColumns({"range_rel": ratio(F.col("High") - F.col("Low"), F.col("Close")), "_v": logged})
+    out = out.withColumn("dlog_volume", F.col("_v") - F.lag("_v").over(over_time())).drop("_v")
+    return out.where("logret is not null and range_rel is not null and dlog_volume is not null")
 
 
 def sequences(df: DataFrame, columns: list[str], steps: int) -> DataFrame:

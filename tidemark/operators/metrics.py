@@ -22,14 +22,18 @@ def sortino(r: Column, rf: float = 0.0) -> Column:
 
 
 def forecast_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
-    """Errors, direction (equal signs, 0 with 0 counts), hit rate of non-neutral rows, neutral rate and Sharpe of sign(pred) * y."""
-    e, p, y = F.col("y_pred") - F.col("y_true"), F.col("y_pred"), F.col("y_true")
+    """Errors of predicted returns as prices (against Close) and as returns; MAPE as a share; direction (equal signs, 0 with 0 counts), hit
+    rate of the rows with a direction and neutral rate in percent; Sharpe of sign(pred) * y."""
+    p, y, close = F.col("y_pred"), F.col("y_true"), F.col("Close")
+    e = p - y
+    true = F.when(close * (1 + y) == 0, 1e-10).otherwise(close * (1 + y))
     same = (F.signum(p) == F.signum(y)).cast("double")
+    won = F.when(p != 0, (F.signum(p) * y > 0).cast("double"))
     return predictions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        (100 * F.avg(F.abs(e / F.nullif(y, F.lit(0.0))))).alias("mape"), (100 * F.avg(same)).alias("dir_acc"),
-        F.avg(F.when(p != 0, same)).alias("hit_rate"), F.avg((p == 0).cast("double")).alias("neutral_rate"),
-        sharpe(F.signum(p) * y).alias("sharpe"), sharpe(y).alias("buyhold_sharpe"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(close * e)).alias("mae"), F.sqrt(F.avg(F.pow(close * e, 2))).alias("rmse"),
+        F.avg(F.abs((true - close * (1 + p)) / true)).alias("mape"), F.avg(F.abs(e)).alias("return_mae"), F.sqrt(F.avg(e * e)).alias("return_rmse"),
+        (100 * F.avg(same)).alias("dir_acc"), F.coalesce(100 * F.avg(won), F.lit(0.0)).alias("hit_rate"),
+        (100 * F.avg((p == 0).cast("double"))).alias("neutral_rate"), sharpe(F.signum(p) * y).alias("sharpe"), sharpe(y).alias("buyhold_sharpe"),
     )
 
 
@@ -46,8 +50,8 @@ def quantile_metrics(predictions: DataFrame, low: float, high: float, *keys: str
 
 
 def drawdown(curve: DataFrame, equity: str = "net_equity") -> DataFrame:
-    """Deepest fall from a running peak, by series."""
-    return curve.withColumn("_peak", F.greatest(F.lit(1.0), F.max(equity).over(running(*KEYS)))).groupBy(*KEYS).agg(F.min(F.col(equity) / F.col("_peak") - 1).alias("max_drawdown"))
+    """Deepest fall from the running maximum of the curve itself, by series."""
+    return curve.withColumn("_peak", F.greatest(F.max(equity).over(running(*KEYS)), F.lit(1e-12))).groupBy(*KEYS).agg(F.min(F.col(equity) / F.col("_peak") - 1).alias("max_drawdown"))
 
 
 def tail_risk(curve: DataFrame, share: float = 0.05) -> DataFrame:
@@ -60,7 +64,10 @@ def backtest_summary(curve: DataFrame, trade_log: DataFrame) -> DataFrame:
     """One row a series: returns, risk, exposure, costs and trades."""
     r = F.col("net_return")
     last = lambda c: F.max_by(c, "Date")
-    main = curve.groupBy(*KEYS).agg(
+    # one pass over the curve: the peak is a window column, the tail a sorted array of each series' worst returns
+    peak = F.greatest(F.max("net_equity").over(running(*KEYS)), F.lit(1e-12))
+    main = curve.withColumn("_fall", F.col("net_equity") / peak - 1).groupBy(*KEYS).agg(
+        F.min("_fall").alias("max_drawdown"), F.percentile("net_return", F.lit(0.05)).alias("var"), F.collect_list("net_return").alias("_returns"),
         F.count(F.lit(1)).alias("bars"), (last("net_equity") - 1).alias("total_return"), (last("buyhold_equity") - 1).alias("buyhold_return"),
         (F.stddev_pop(r) * YEAR**0.5).alias("volatility"), sharpe(r).alias("sharpe"), sortino(r).alias("sortino"),
         F.avg("position").alias("exposure"), F.sum(F.col("entry") + F.col("exit") + F.col("forced_exit")).alias("turnover"),
@@ -69,7 +76,9 @@ def backtest_summary(curve: DataFrame, trade_log: DataFrame) -> DataFrame:
         (F.avg(r - F.col("realized_return")) / F.nullif(F.stddev_pop(r - F.col("realized_return")), F.lit(0.0)) * YEAR**0.5).alias("information_ratio"),
     )
     main = main.withColumn("cagr", F.when(F.col("total_return") > -1, F.pow(1 + F.col("total_return"), YEAR / F.col("bars")) - 1))
-    out = main.join(drawdown(curve), list(KEYS)).join(tail_risk(curve), list(KEYS)).join(trade_stats(trade_log), list(KEYS), "left")
+    below = F.filter("_returns", lambda x: x <= F.col("var"))
+    main = main.withColumn("cvar", F.aggregate(below, F.lit(0.0), lambda t, x: t + x) / F.size(below)).drop("_returns")
+    out = main.join(trade_stats(trade_log), list(KEYS), "left")
     return out.withColumns({"calmar": F.col("cagr") / F.nullif(F.abs("max_drawdown"), F.lit(0.0)), "recovery_factor": F.col("total_return") / F.nullif(F.abs("max_drawdown"), F.lit(0.0))}).fillna(0, ["trade_count"])
 
 

@@ -11,23 +11,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import percentile
+from tidemark.operators.backtest import recommendation
 
-WEIGHTS = {"direction": 0.30, "error": 0.25, "sharpe": 0.20, "stability": 0.15, "hit": 0.10}
+#: Fixed values of the score, and of the calibrated trend (chance of a rise and mean return by quintile).
+WEIGHTS = {"error": 0.30, "relative_direction": 0.25, "direction": 0.20, "hit": 0.15, "sharpe": 0.10}
+QUINTILE_PROB_UP = (0.435, 0.487, 0.509, 0.519, 0.541)
+QUINTILE_EXPECTED_RETURN = (-0.0066, 0.0032, 0.0050, 0.0062, 0.0090)
 
 
 def composite(metrics: DataFrame) -> DataFrame:
-    """0 to 100 from direction, error against the benchmark, Sharpe excess (unknown: 50), stability and hits; 49 at most when worse than the benchmark."""
+    """0 to 100 from error and direction against the benchmark, direction, hits (both in percent) and Sharpe excess (unknown: 50), less a
+    penalty for neutral rows; 49 at most when worse than the benchmark or not eligible to lead (column `can_lead`, where there is one)."""
 
     def clip(c: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
 
+    ratio = F.greatest(F.coalesce("rmse_ratio", F.lit(1.0)), F.lit(1e-8))
     parts = {
-        "direction": clip((F.col("dir_acc") - 40) * 5), "error": clip((1.2 - F.col("rmse_ratio")) * 250), "sharpe": F.coalesce(50 + 50 * F.tanh(F.col("sharpe_excess")), F.lit(50.0)),
-        "stability": clip(50 + 50 * F.coalesce("stability_score", F.lit(0.0))), "hit": clip(100 * F.coalesce("hit_rate", F.lit(0.0))),
-    }
+        "error": F.least(F.lit(100.0), 100 / ratio),
+        "relative_direction": clip(50 + 4 * F.coalesce("dir_acc_gain", F.lit(0.0))),
+        "direction": clip(F.coalesce("dir_acc", F.lit(0.0))),
+        "hit": clip(F.coalesce("hit_rate", F.lit(0.0))),
+        "sharpe": F.coalesce((F.tanh(F.col("sharpe_excess") / 1.5) + 1) * 50, F.lit(50.0)),
+    }
     total = reduce(lambda a, b: a + b, [w * parts[k] for k, w in WEIGHTS.items()])
-    total = total * (1 - 0.5 * F.coalesce("neutral_rate", F.lit(0.0)))
-    return metrics.withColumn("composite", F.when(F.col("rmse_ratio") > 1, F.least(total, F.lit(49.0))).otherwise(total))
+    total = total - F.least(F.lit(15.0), 0.15 * F.coalesce("neutral_rate", F.lit(0.0)))
+    capped = ratio > 1
+    if "can_lead" in metrics.columns:
+        capped = capped | ~F.coalesce("can_lead", F.lit(True))
+    return metrics.withColumn("composite", F.round(F.greatest(F.lit(0.0), F.when(capped, F.least(total, F.lit(49.0))).otherwise(total)), 4))
 
 
 def eligibility(metrics: DataFrame, min_trades: int = 8) -> DataFrame:
@@ -60,11 +72,14 @@ def confidence(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"block": hard, "soft_reasons": soft}).withColumn("confidence", F.when(F.col("block").isNotNull(), "low").when(high, "high").otherwise("medium"))
 
 
-def trend_tendency(peers: DataFrame, up: list[float], expected: list[float]) -> DataFrame:
-    """Quintile of the percentile, its calibrated chance of a rise and expected return, and a band label."""
-    q = F.least(F.lit(5), F.floor(F.col("peer_percentile") / 20).cast("int") + 1)
-    band = F.when(F.col("peer_percentile") >= 80, "up").when(F.col("peer_percentile") <= 20, "down").otherwise("flat")
-    return peers.withColumns({"trend_label": band, "trend_prob_up": F.element_at(F.array(*[F.lit(x) for x in up]), q), "trend_expected_return": F.element_at(F.array(*[F.lit(x) for x in expected]), q)})
+def trend_tendency(peers: DataFrame, high: float = 70.0, low: float = 30.0, min_universe: int = 15) -> DataFrame:
+    """Quintile of the percentile, its calibrated chance of a rise and expected return, and a band label; none in a thin universe."""
+    p = F.col("peer_percentile")
+    known = (F.coalesce("universe_size", F.lit(0)) >= min_universe) & p.isNotNull()
+    q = F.greatest(F.lit(0), F.least(F.lit(4), F.floor(p / 20).cast("int")))
+    band = F.when(~known, "uncertain").when(p >= high, "up").when(p <= low, "down").otherwise("flat")
+    chance, expected = (F.when(known, F.get(F.array(*[F.lit(x) for x in fixed]), q)) for fixed in (QUINTILE_PROB_UP, QUINTILE_EXPECTED_RETURN))
+    return peers.withColumns({"trend_label": band, "trend_prob_up": chance, "trend_expected_return": expected})
 
 
 def codes(panel: DataFrame, column: str, out: str) -> DataFrame:
@@ -124,57 +139,162 @@ def sampled_grid(full: DataFrame, columns: list[str], cap: int, seed: int = 7) -
     return marked.withColumn("_c", cover).orderBy(F.desc("_c"), F.xxhash64("trial", F.lit(seed)), "trial").limit(cap).drop("_c", *[f"_f{i}" for i in range(len(columns))])
 
 
-def grid_trials(rows: DataFrame, trials: DataFrame, cost_bps: float = 15) -> DataFrame:
-    """Each trial (buy, sell) as a switch on every series: net return, trades and score by trial. The grid is the parallel axis."""
+def trial_runs(rows: DataFrame, trials: DataFrame, cost_bps: float = 15) -> DataFrame:
+    """Each trial (buy, sell) as a switch on every series, one row a trial and series: compounded net and buy-and-hold return, annual Sharpe,
+    drawdown of the curve, and entries. The grid is the parallel axis."""
     both = rows.crossJoin(F.broadcast(trials))  # a bounded grid
     keys = ["trial", "symbol", "model"]
     w = Window.partitionBy(*keys).orderBy("Date")
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("y_pred") > F.col("buy"), 1).when(F.col("y_pred") < -F.col("sell"), 0)
-    out = both.withColumn("_m", mark).withColumn("position", F.coalesce(F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    turn = F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0)))
-    out = out.withColumn("turn", turn).withColumn("net", F.col("position") * F.col("realized_return") - F.col("turn") * cost_bps / 1e4)
-    per = out.groupBy(*keys).agg(F.sum("net").alias("net_sum"), F.sum(F.col("realized_return")).alias("hold_sum"), F.sum("turn").alias("turns"), (F.avg("net") / F.nullif(F.stddev_pop("net"), F.lit(0.0))).alias("ratio"))
-    return per.groupBy("trial").agg(F.avg("net_sum").alias("net"), F.avg(F.col("net_sum") - F.col("hold_sum")).alias("excess"), F.sum("turns").alias("turns"), F.avg("ratio").alias("ratio"))
-
-
-def rank_trials(results: DataFrame, min_turns: int) -> DataFrame:
-    """Trials that turn often enough first, then by score."""
-    score = 0.35 * F.col("net") + 0.25 * F.col("excess") + 0.25 * F.coalesce("ratio", F.lit(0.0)) / 3
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("turns") >= min_turns), F.desc("score"), "trial")  # a row a trial
-    return results.withColumn("score", score).withColumn("place", F.row_number().over(w))
-
-
-PROFESSIONAL = "symbol string, model string, Date date, position int, decision string, reason string"
-
-
-def professional_signals(rows: DataFrame, entry: float, stop: float, take: float, min_hold: int, max_hold: int, cooldown: int) -> DataFrame:
-    """The path-dependent position machine: entry over a volatility-scaled threshold; stop loss and profit taking, which override the
-    shortest holding time; longest holding time; cooldown after an exit. rows(symbol, model, Date, y_pred, ret, rolling_vol). One series a group."""
+    out = both.withColumn("_m", mark).withColumn("position", F.coalesce(F.last("_m", ignorenulls=True).over(past), F.lit(0)))
+    before = F.coalesce(F.lag("position").over(w), F.lit(0))
+    closing = F.when(F.lead("Date").over(w).isNull(), F.col("position")).otherwise(0)
+    out = out.withColumns({"sides": F.abs(F.col("position") - before) + closing, "entry": F.greatest(F.col("position") - before, F.lit(0))})
+    out = out.withColumn("net", F.col("position") * F.col("realized_return") - F.col("sides") * cost_bps / 1e4)
+    grown = F.when(F.min(1 + F.col("net")).over(past) <= 0, 0.0).otherwise(F.exp(F.sum(F.log(F.when(F.col("net") > -1, 1 + F.col("net")))).over(past)))
+    out = out.withColumn("_equity", grown).withColumn("_fall", F.col("_equity") / F.greatest(F.max("_equity").over(past), F.lit(1e-12)) - 1)
+    sharpe = F.coalesce(F.avg("net") / F.nullif(F.stddev_pop("net"), F.lit(0.0)) * 252**0.5, F.lit(0.0))
+    held = F.col("realized_return")
+    hold = F.when(F.min(1 + held) <= 0, 0.0).otherwise(F.exp(F.sum(F.log(F.when(held > -1, 1 + held)))))
+    return out.groupBy(*keys).agg((F.max_by("_equity", "Date") - 1).alias("net_return"), (hold - 1).alias("buyhold_return"), sharpe.alias("sharpe"), F.min("_fall").alias("max_drawdown"), F.sum("entry").alias("trade_count"))
+
+
+def risk_adjusted_score(net: Column, excess: Column, sharpe: Column, drawdown: Column) -> Column:
+    return 0.35 * net + 0.25 * excess + 0.25 * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sharpe / 3)) + 0.15 * (1 + drawdown)
+
+
+def summarize_trials(runs: DataFrame, min_trades: int) -> DataFrame:
+    """One row a trial: means over its series, trades in all, and the risk-adjusted score."""
+    out = runs.groupBy("trial").agg(
+        F.count(F.lit(1)).alias("series"), F.avg("net_return").alias("net"), F.avg("buyhold_return").alias("hold"), F.avg(F.col("net_return") - F.col("buyhold_return")).alias("excess"),
+        F.avg("max_drawdown").alias("drawdown"), F.avg("sharpe").alias("sharpe"), F.sum("trade_count").alias("trades"), F.count_if(F.col("net_return") > F.col("buyhold_return")).alias("beats_hold"),
+    )
+    score = risk_adjusted_score(F.col("net"), F.col("excess"), F.col("sharpe"), F.col("drawdown"))
+    return out.withColumns({"score": score, "enough_trades": F.col("trades") >= min_trades})
+
+
+def confirm_trials(evaluated: DataFrame, min_trades: int, min_excess: float = 0.0, min_sharpe: float = 0.0) -> DataFrame:
+    """Out-of-sample summaries of trials with the reasons that reject them, joined by commas."""
+    rules = (F.col("excess") <= min_excess, "eval_excess_return_below_min"), (F.col("sharpe") <= min_sharpe, "eval_sharpe_below_min"), (F.col("trades") < min_trades, "eval_trade_count_below_min")
+    reasons = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in rules]))
+    names = {c: f"eval_{c}" for c in ("net", "hold", "excess", "sharpe", "drawdown", "trades")}
+    return evaluated.select("trial", *[F.col(c).alias(n) for c, n in names.items()], F.concat_ws(",", reasons).alias("reject_reason"), (F.size(reasons) == 0).alias("oos_passed"))
+
+
+def choose_trial(rows: DataFrame) -> DataFrame:
+    """Trials in order of choice: confirmed ones with enough trades and excess first, then those with enough trades, then those that traded."""
+    confirmed = F.col("enough_trades") & (F.col("excess") > 0) & F.coalesce("oos_passed", F.lit(False))
+    tier = F.when(confirmed, 0).when(F.col("enough_trades"), 1).when(F.col("trades") > 0, 2).otherwise(3)
+
+    def only(when: Column, c: str) -> Column:
+        return F.desc_nulls_last(F.when(when, F.col(c)))
+
+    t = F.col("_t")
+    order = [t, only(t == 2, "trades"), F.desc_nulls_last("score"), only(t == 0, "eval_excess"), only(t == 0, "eval_sharpe"), only(t == 0, "drawdown")]
+    order += [F.desc_nulls_last(c) for c in ("excess", "net", "drawdown", "trades")]
+    w = Window.partitionBy(F.lit(0)).orderBy(*order, "trial")  # a row a trial
+    return rows.withColumn("_t", tier).withColumns({"place": F.row_number().over(w), "choice": F.element_at(F.array(*[F.lit(x) for x in ("confirmed", "enough_trades", "traded", "none")]), F.col("_t") + 1)}).drop("_t")
+
+
+def should_expand(rows: DataFrame, complete: bool) -> DataFrame:
+    """One row: whether the grid is to be expanded, from the summaries and the first in order of choice."""
+    best = F.min_by(F.struct("enough_trades", "excess", "sharpe"), "place")
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("enough_trades").alias("valid"), best.alias("b"))
+    weak = (F.col("n") == 0) | F.lit(not complete) | ~F.col("b.enough_trades") | (F.col("b.excess") <= 0) | (F.col("b.sharpe") <= 0)
+    few = F.col("valid") < F.greatest(F.lit(1), F.ceil(F.col("n") * 0.15))
+    return one.select("n", "valid", (weak | few).alias("expand"))
+
+
+def quality_thresholds(folds: DataFrame, least_rows: int = 3) -> DataFrame:
+    """One row: direction floor (25 % quantile, 52 at least), error ceiling (75 % quantile, 1.05 at most), score floor (25 %, 30 at least);
+    the defaults 52, 1.05 and 50 where there are too few fold rows."""
+    q = {c: F.percentile(c, F.lit(share)) for c, share in (("dir_acc", 0.25), ("rmse_ratio", 0.75), ("composite", 0.25))}
+    n = F.count(F.lit(1))
+    enough = n >= least_rows
+    return folds.agg(
+        n.alias("fold_rows"), F.round(F.when(enough, F.greatest(F.lit(52.0), q["dir_acc"])).otherwise(52.0), 2).alias("min_dir_acc"),
+        F.round(F.when(enough, F.least(F.lit(1.05), q["rmse_ratio"])).otherwise(1.05), 4).alias("max_rmse_ratio"),
+        F.round(F.when(enough, F.greatest(F.lit(30.0), q["composite"])).otherwise(50.0), 4).alias("min_composite"),
+        F.when(enough, "applied").otherwise("skipped_insufficient_calibration_folds").alias("status"),
+    )
+
+
+#: Settings of the position machine: fixed default values.
+PROFESSIONAL = {
+    "entry_cost": 2.0, "exit_cost": 1.0, "entry_vol": 0.25, "exit_vol": 0.05, "min_hold": 3, "max_hold": 20, "take_vol": 1.5, "stop_vol": 1.0,
+    "cooldown": 2, "min_entry": 0.0, "quality": 1.0, "emergency_stop": True, "commission_bps": 10.0, "slippage_bps": 5.0,
+}
+
+
+def signal_thresholds(rows: DataFrame, volatility: DataFrame, **settings) -> DataFrame:
+    """rows(symbol, model, Date, y_pred, ret, rolling_vol, regime) with the entry and exit thresholds: costs or volatility, whichever is more,
+    times the quality, regime and volatility multipliers. volatility: symbol, model, Date, multiplier."""
+    c = PROFESSIONAL | settings
+    cost = (c["commission_bps"] + c["slippage_bps"]) / 1e4
+    out = rows.join(volatility.withColumnRenamed("multiplier", "volatility_multiplier"), ["symbol", "model", "Date"])
+    base = F.greatest(F.lit(cost * c["entry_cost"]), F.col("rolling_vol") * c["entry_vol"], F.lit(c["min_entry"]))
+    regime = F.when(F.col("regime") > 0, 0.85).when(F.col("regime") < 0, 1.25).otherwise(1.0)
+    out = out.withColumns({"base_entry_threshold": base, "regime_multiplier": regime})
+    out = out.withColumn("final_multiplier", F.lit(c["quality"]) * F.col("regime_multiplier") * F.col("volatility_multiplier"))
+    out = out.withColumn("entry_threshold", F.col("base_entry_threshold") * F.col("final_multiplier"))
+    out = out.withColumn("exit_threshold", F.greatest(F.lit(cost * c["exit_cost"]), F.col("rolling_vol") * c["exit_vol"]))
+    return out.withColumn("signal_strength", F.col("y_pred") / F.greatest("entry_threshold", F.lit(1e-12)))
+
+
+DECIDED = "decision string, risk_state string, position int, holding_bars int, trade_return double, take_profit double, stop_loss double, cooldown_remaining int"
+
+
+def professional_signals(rows: DataFrame, **settings) -> DataFrame:
+    """The path-dependent position machine over signal_thresholds(); one series a group, in date order.
+
+    A position gains what was observed after its entry. Checks while holding, in order: emergency stop, shortest holding time, profit
+    taking, stop loss, longest holding time, forecast under the exit threshold. After an exit the series waits.
+    """
+    c = PROFESSIONAL | settings
+    floor = (c["commission_bps"] + c["slippage_bps"]) / 1e4 * c["entry_cost"]
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("Date")
-        inside, gain, held, wait, out = False, 1.0, 0, 0, []
-        for p, r, v in zip(df["y_pred"], df["ret"].fillna(0.0), df["rolling_vol"], strict=True):
-            if inside:
-                gain, held = gain * (1 + r), held + 1
-                why = "stop_loss" if gain - 1 <= -stop else "take_profit" if gain - 1 >= take else "max_hold" if held >= max_hold else "signal" if held >= min_hold and p < -entry * v else None
-                if why:
-                    inside, wait = False, cooldown
-                    out.append((0, "EXIT", why))
+        df = df.sort_values("Date").reset_index(drop=True)
+        entered, gain, wait, out = None, 1.0, 0, []
+        columns = zip(df["y_pred"], df["ret"].fillna(0.0), df["rolling_vol"], df["entry_threshold"], df["exit_threshold"], strict=True)
+        for i, (expected, ret, vol, enter, leave) in enumerate(columns):
+            waiting, held, earned, take, stop = wait, 0, 0.0, None, None
+            if entered is not None:
+                gain *= 1 + ret
+                held, earned = i - entered, gain - 1
+                take, stop = max(c["take_vol"] * vol, floor), -max(c["stop_vol"] * vol, floor)
+                stopped = earned <= stop
+                if stopped and c["emergency_stop"]:
+                    state = "stop_loss"
+                elif held < c["min_hold"]:
+                    state = "min_hold"
+                elif earned >= take:
+                    state = "take_profit"
+                elif stopped:
+                    state = "stop_loss"
+                elif held >= c["max_hold"]:
+                    state = "max_hold"
                 else:
-                    out.append((1, "HOLD", "holding"))
+                    state = "weak_signal" if expected < leave else "in_position"
+                decision = "HOLD" if state in ("min_hold", "in_position") else "EXIT"
+                if decision == "EXIT":
+                    entered, wait = None, c["cooldown"]
             elif wait > 0:
-                wait -= 1
-                out.append((0, "NO_TRADE", "cooldown"))
-            elif p > entry * v:
-                inside, gain, held = True, 1.0, 0
-                out.append((1, "BUY", "signal"))
+                decision, state, wait = "NO_TRADE", "cooldown", wait - 1
+            elif expected > enter:
+                decision, state, entered, gain = "BUY", "entry_ok", i, 1.0
+                take, stop = max(c["take_vol"] * vol, floor), -max(c["stop_vol"] * vol, floor)
             else:
-                out.append((0, "NO_TRADE", "below_threshold"))
-        found = pd.DataFrame(out, columns=["position", "decision", "reason"])
-        return pd.concat([df[["symbol", "model", "Date"]].reset_index(drop=True), found.astype({"position": "int32"})], axis=1)
+                decision, state = "NO_TRADE", "below_threshold"
+            out.append((decision, state, int(entered is not None), held, earned, take, stop, waiting))
+        found = pd.DataFrame(out, columns=[x.split(" ")[0] for x in DECIDED.split(", ")])
+        found = found.astype({"position": "int32", "holding_bars": "int32", "cooldown_remaining": "int32", "take_profit": "float64", "stop_loss": "float64"})
+        return pd.concat([df, found], axis=1)
 
-    return rows.select("symbol", "model", "Date", "y_pred", "ret", "rolling_vol").groupBy("symbol", "model").applyInPandas(run, PROFESSIONAL)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = rows.groupBy("symbol", "model").applyInPandas(run, f"{schema}, {DECIDED}")
+    return out.withColumn("recommendation", recommendation(F.col("decision"), F.col("y_pred"), F.col("entry_threshold")))
 
 
 def expanding_volatility_multiplier(rows: DataFrame, window: int = 20) -> DataFrame:
@@ -219,16 +339,28 @@ def top_features(contributions: DataFrame, k: int, *keys: str) -> DataFrame:
     return out.where(F.col("place") <= k).withColumn("direction", F.when(F.col("mean") >= 0, "up").otherwise("down")).drop("mean")
 
 
-def bootstrap_sharpe(returns: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:
-    """95 % interval of each series' Sharpe over resamples: a row counts in a replicate as often as a seeded Poisson(1) draw says, so each
-    replicate is one pass of sums, without a join of draws."""
-    u = F.pmod(F.xxhash64("symbol", "model", "Date", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    limits = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)])
-    times = reduce(lambda a, b: a + b, [(u >= float(x)).cast("int") for x in limits])
-    reps = returns.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", times).where("k > 0")
-    r, k = F.col("net_return"), F.col("k")
-    per = reps.groupBy("symbol", "model", "rep").agg(F.sum(k).alias("n"), F.sum(k * r).alias("s"), F.sum(k * r * r).alias("q"))
-    mean = F.col("s") / F.col("n")
-    sharpe = mean / F.nullif(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))), F.lit(0.0)) * 252**0.5
+def bootstrap_sharpe(returns: DataFrame, replicates: int = 1000, seed: int = 7, at_once: int = 50) -> DataFrame:
+    """95 % interval of each series' Sharpe over resamples: a row counts in a replicate as often as a seeded Poisson(1) draw says.
+
+    A row stays one row: its draws of a block of replicates are the lanes of sums, block by block in one aggregate, so nothing is exploded
+    by the number of replicates before it is summed.
+    """
+    limits = [float(x) for x in np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)])]
+    r = F.col("net_return")
+
+    def times(rep: int) -> Column:
+        u = F.pmod(F.xxhash64("symbol", "model", "Date", F.lit(rep), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        return reduce(lambda a, b: a + b, [(u >= x).cast("double") for x in limits])
+
+    parts = []
+    for first in range(1, replicates + 1, at_once):
+        block = range(first, min(first + at_once, replicates + 1))
+        drawn = returns.select("symbol", "model", "net_return", *[times(k).alias(f"k{k}") for k in block])
+        sums = [F.struct(F.sum(f"k{k}").alias("n"), F.sum(F.col(f"k{k}") * r).alias("s"), F.sum(F.col(f"k{k}") * r * r).alias("q")) for k in block]
+        parts.append(drawn.groupBy("symbol", "model").agg(F.array(*sums).alias("x")))
+    per = reduce(lambda a, b: a.unionAll(b), parts).select("symbol", "model", F.explode("x").alias("x"))
+    mean = F.col("x.s") / F.nullif(F.col("x.n"), F.lit(0.0))
+    spread = F.sqrt(F.greatest(F.col("x.q") / F.nullif(F.col("x.n"), F.lit(0.0)) - mean * mean, F.lit(0.0)))
+    sharpe = F.coalesce(mean / F.nullif(spread, F.lit(0.0)) * 252**0.5, F.lit(0.0))
     band = F.percentile(sharpe, F.array(F.lit(0.025), F.lit(0.975)))
     return per.groupBy("symbol", "model").agg(band.alias("b")).select("symbol", "model", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))

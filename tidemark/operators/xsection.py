@@ -84,28 +84,36 @@ def segment_ic(predictions: DataFrame, segments: DataFrame, column: str, min_nam
     return size.join(found, "segment", "left").withColumn("n_days", F.coalesce("n_days", F.lit(0)))
 
 
-def peer_scores(predictions: DataFrame, min_universe: int = 10, high: float = 70.0, low: float = 30.0) -> DataFrame:
-    """Scores of one date: centred rank, percentile and label; the first row (by y_pred) of a symbol counts."""
-    one = Window.partitionBy("symbol").orderBy(F.desc("y_pred"))
-    rows = predictions.where(F.col("y_pred").isNotNull()).withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k").withColumn("_all", F.lit(1))
-    n = F.count(F.lit(1)).over(Window.partitionBy("_all"))
-    rank = average_rank("y_pred", "_all")
-    out = rows.withColumns({"universe_size": n, "peer_score": 2 * (rank - 0.5) / n - 1, "peer_percentile": 100 * rank / n})
-    label = F.when(F.col("universe_size") < min_universe, "unknown").when(F.col("peer_percentile") >= high, "outperform").when(F.col("peer_percentile") <= low, "underperform").otherwise("inline")
-    return out.withColumn("peer_label", label).drop("_all")
-
-
-def newest_date(panel: DataFrame) -> DataFrame:
-    last = panel.agg(F.max("Date").alias("_d"))
+def peer_scores(predictions: DataFrame, *keys: str, min_universe: int = 15, high: float = 70.0, low: float = 30.0) -> DataFrame:
+    """Scores within a date (and other keys, if given): centred rank, percentile and label; the first row (by y_pred) of a symbol counts."""
+    keys = keys or ("Date",)
+    one = Window.partitionBy(*keys, "symbol").orderBy(F.desc("y_pred"))
+    rows = predictions.where(F.col("y_pred").isNotNull()).withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    share = (average_rank("y_pred", *keys) - 0.5) / n
+    out = rows.withColumns({"universe_size": n, "peer_score": 2 * share - 1, "peer_percentile": 100 * share})
+    p = F.col("peer_percentile")
+    label = F.when(F.col("universe_size") < min_universe, "unknown").when(p >= high, "outperform").when(p <= low, "underperform").otherwise("inline")
+    return out.withColumn("peer_label", label)
+
+
+def newest_date(panel: DataFrame, least: int = 1) -> DataFrame:
+    """Rows of the newest date that has so many, or of the newest of the fullest dates if none has."""
+    last = panel.groupBy("Date").agg(F.least(F.count(F.lit(1)), F.lit(least)).alias("_n")).agg(F.max_by("Date", F.struct("_n", "Date")).alias("_d"))
     return panel.join(last, panel["Date"] == last["_d"], "left_semi")
 
 
-def peer_confidence(peers: DataFrame, min_universe: int = 10) -> DataFrame:
-    """Hard gates first, then the composite ICIR: 1.0 high, 0.5 medium, else low."""
-    reasons = F.array_compact(F.array(F.when(~F.col("tradable"), F.lit("not_tradable")), F.when(F.col("stale"), F.lit("stale")), F.when(F.col("universe_size") < min_universe, F.lit("thin_universe"))))
-    out = peers.withColumn("confidence_reasons", reasons)
+def peer_confidence(peers: DataFrame, min_universe: int = 15) -> DataFrame:
+    """Gates first, of which the first that fails gives low and a warning; then the composite ICIR: 1.0 high, 0.5 medium, else low, with a reason."""
+    thin = (F.col("universe_size") < min_universe) | (F.col("peer_label") == "unknown")
+    warning = F.when(~F.col("tradable"), "not_tradable").when(F.col("stale"), "stale").when(thin, "thin_universe").when(F.col("icir").isNull(), "icir_unknown")
     grade = F.when(F.col("icir") >= 1.0, "high").when(F.col("icir") >= 0.5, "medium").otherwise("low")
-    return out.withColumn("confidence_label", F.when(F.size("confidence_reasons") > 0, "low").when(F.col("icir").isNull(), "unknown").otherwise(grade))
+    out = peers.withColumn("_w", warning)
+    return out.withColumns({
+        "confidence_label": F.when(F.col("_w").isNotNull(), "low").otherwise(grade),
+        "confidence_reasons": F.when(F.col("_w").isNull(), F.array(F.concat(F.lit("icir_"), grade))).otherwise(F.array().cast("array<string>")),
+        "confidence_warnings": F.array_compact(F.array("_w")),
+    }).drop("_w")
 
 
 def composite_icir(peers: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -116,18 +124,31 @@ def composite_icir(peers: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def psi(rows: DataFrame, columns: list[str], split: str = "part", bins: int = 10) -> DataFrame:
-    """Population stability per feature between split = 'train' and 'holdout': equal-width bins over both, empty bins at 1e-4."""
-    long = rows.select(split, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(split, "x.feature", "x.value").where(F.col("value").isNotNull())
-    edges = long.groupBy("feature").agg((F.min("value") - 1e-9).alias("low"), (F.max("value") + 1e-9).alias("high"))
-    placed = long.join(F.broadcast(edges), "feature").withColumn("bin", F.least(F.lit(bins), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins).cast("int") + 1))
-    counts = placed.groupBy("feature", "bin").agg(F.sum((F.col(split) == "train").cast("long")).alias("t"), F.sum((F.col(split) == "holdout").cast("long")).alias("h"))
-    every = edges.select("feature", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")).join(counts, ["feature", "bin"], "left")
-    size = Window.partitionBy("feature")
-    share = every.withColumns({"nt": F.sum("t").over(size), "nh": F.sum("h").over(size)})
-    t, h = (F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.col(c) / F.col(n)).otherwise(1e-4) for c, n in (("t", "nt"), ("h", "nh")))
-    found = share.groupBy("feature").agg(F.sum((h - t) * F.log(h / t)).alias("psi"), F.max("nt").alias("nt"), F.max("nh").alias("nh"))
+    """Population stability per feature between split = 'train' and 'holdout': equal-width bins over both, empty bins at 1e-4.
+
+    The edges are one row of the wide table; bins are counted in the wide table, too, an array of counters a feature.
+    """
+    edges = rows.agg(*[f(c).cast("double").alias(f"_{c}_{n}") for c in columns for n, f in (("low", F.min), ("high", F.max))])
+    placed = rows.crossJoin(F.broadcast(edges))  # one row
+    counts = []
+    for c in columns:
+        low, high = F.col(f"_{c}_low") - 1e-9, F.col(f"_{c}_high") + 1e-9
+        place = F.floor((F.col(c).cast("double") - low) / (high - low) * bins).cast("int") + 1
+        b = F.when(F.col(c).isNotNull(), F.least(F.lit(bins), place))
+        for part in ("train", "holdout"):
+            counts.append(F.array(*[F.count_if((b == k) & (F.col(split) == part)) for k in range(1, bins + 1)]).alias(f"{c}_{part}"))
+    one = placed.agg(*counts)
+    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_train").alias("t"), F.col(f"{c}_holdout").alias("h")) for c in columns])).alias("x")).select("x.*")
+    total = {c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) for c in "th"}
+    long = long.select("feature", "t", "h", total["t"].alias("nt"), total["h"].alias("nh")).where("nt + nh > 0")
+
+    def share(x: Column, n: str) -> Column:
+        return F.when(x > 0, x / F.col(n)).otherwise(1e-4)
+
+    parts = F.zip_with("t", "h", lambda t, h: (share(h, "nh") - share(t, "nt")) * F.log(share(h, "nh") / share(t, "nt")))
+    found = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
     enough = (F.col("nt") >= 2 * bins) & (F.col("nh") >= 2 * bins)
-    return found.select("feature", F.when(enough, F.greatest(F.lit(0.0), F.col("psi"))).otherwise(0.0).alias("psi"))
+    return long.select("feature", F.when(enough, F.greatest(F.lit(0.0), found)).otherwise(0.0).alias("psi"))
 
 
 def quintile_grid(predictions: DataFrame, n: int = 5, min_names: int = 8) -> DataFrame:

@@ -48,10 +48,12 @@ def metrics(s, d):
     return M.forecast_metrics(model_rows(s, d), "symbol", "model")
 
 
-FORECAST = """count(*) AS n, avg(abs(y_pred - y_true)) AS mae, sqrt(avg((y_pred - y_true) ** 2)) AS rmse, 100 * avg(abs((y_pred - y_true) / nullif(y_true, 0))) AS mape, 100 * avg(CASE WHEN sign(y_pred) = sign(y_true) THEN 1.0 ELSE 0 END) AS dir_acc,
-avg(CASE WHEN y_pred <> 0 THEN CASE WHEN sign(y_pred) = sign(y_true) THEN 1.0 ELSE 0 END END) AS hit_rate, avg(CASE WHEN y_pred = 0 THEN 1.0 ELSE 0 END) AS neutral_rate,
+FORECAST = """count(*) AS n, avg(abs(c * (y_pred - y_true))) AS mae, sqrt(avg((c * (y_pred - y_true)) ** 2)) AS rmse,
+avg(abs((c * (1 + y_true) - c * (1 + y_pred)) / CASE WHEN c * (1 + y_true) = 0 THEN 1e-10 ELSE c * (1 + y_true) END)) AS mape,
+avg(abs(y_pred - y_true)) AS return_mae, sqrt(avg((y_pred - y_true) ** 2)) AS return_rmse, 100 * avg(CASE WHEN sign(y_pred) = sign(y_true) THEN 1.0 ELSE 0 END) AS dir_acc,
+coalesce(100 * avg(CASE WHEN y_pred <> 0 THEN CASE WHEN sign(y_pred) * y_true > 0 THEN 1.0 ELSE 0 END END), 0) AS hit_rate, 100 * avg(CASE WHEN y_pred = 0 THEN 1.0 ELSE 0 END) AS neutral_rate,
 avg(sign(y_pred) * y_true) / nullif(stddev_pop(sign(y_pred) * y_true), 0) * sqrt(252) AS sharpe, avg(y_true) / nullif(stddev_pop(y_true), 0) * sqrt(252) AS buyhold_sharpe"""
-NAMES = ("mae", "rmse", "mape", "dir_acc", "hit_rate", "neutral_rate", "sharpe", "buyhold_sharpe")
+NAMES = ("mae", "rmse", "mape", "return_mae", "return_rmse", "dir_acc", "hit_rate", "neutral_rate", "sharpe", "buyhold_sharpe")
 ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in NAMES)
 FOLD = "CAST(year(dt) AS INT)"
 
@@ -89,7 +91,7 @@ PLANS = {
     "h18_trades": (lambda s, d: rounded(trade_log(s, d)), f"WITH {TRADES} SELECT symbol, model, CAST(trade_id AS BIGINT) AS trade_id, entry_date, exit_date, holding_bars, round(gross_return, 6) AS gross_return, round(net_return, 6) AS net_return, exit_reason FROM log"),
     "e4_drawdown": (
         lambda s, d: rounded(M.drawdown(curve(s, d))),
-        f"WITH {POSITIONS}, pk AS (SELECT *, greatest(1.0, max(neq) OVER ({P} ROWS UNBOUNDED PRECEDING)) AS peak FROM eq) SELECT symbol, model, round(min(neq / peak - 1), 6) AS max_drawdown FROM pk GROUP BY 1, 2",
+        f"WITH {POSITIONS}, pk AS (SELECT *, greatest(1e-12, max(neq) OVER ({P} ROWS UNBOUNDED PRECEDING)) AS peak FROM eq) SELECT symbol, model, round(min(neq / peak - 1), 6) AS max_drawdown FROM pk GROUP BY 1, 2",
     ),
     "e5_tail_risk": (
         lambda s, d: rounded(M.tail_risk(curve(s, d))),
@@ -97,7 +99,7 @@ PLANS = {
     ),
     "e7_backtest_summary": (
         lambda s, d: rounded(M.backtest_summary(curve(s, d), trade_log(s, d)).select("symbol", "model", "bars", F.log(F.nullif(1 + F.col("total_return"), F.lit(0.0))).alias("log_total"), F.log(F.nullif(1 + F.col("buyhold_return"), F.lit(0.0))).alias("log_buyhold"), "volatility", "sharpe", "exposure", "turnover", "max_drawdown", "trade_count", "win_rate")),
-        f"""WITH {TRADES}, pk AS (SELECT *, greatest(1.0, max(neq) OVER ({P} ROWS UNBOUNDED PRECEDING)) AS peak FROM eq), lg AS (SELECT symbol, model, count(*) AS trade_count, avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0 END) AS win_rate FROM log GROUP BY 1, 2),
+        f"""WITH {TRADES}, pk AS (SELECT *, greatest(1e-12, max(neq) OVER ({P} ROWS UNBOUNDED PRECEDING)) AS peak FROM eq), lg AS (SELECT symbol, model, count(*) AS trade_count, avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0 END) AS win_rate FROM log GROUP BY 1, 2),
         m AS (SELECT symbol, model, count(*) AS bars, arg_max(neq, dt) - 1 AS total_return, arg_max(beq, dt) - 1 AS buyhold_return, stddev_pop(net) * sqrt(252) AS volatility, avg(net) / nullif(stddev_pop(net), 0) * sqrt(252) AS sharpe, avg(pos) AS exposure, CAST(sum(entry + xit + forced) AS BIGINT) AS turnover, min(neq / peak - 1) AS max_drawdown FROM pk GROUP BY 1, 2)
         SELECT symbol, model, bars, round(ln(nullif(1 + total_return, 0)), 6) AS log_total, round(ln(nullif(1 + buyhold_return, 0)), 6) AS log_buyhold, round(volatility, 6) AS volatility, round(sharpe, 6) AS sharpe, round(exposure, 6) AS exposure, turnover, round(max_drawdown, 6) AS max_drawdown, coalesce(trade_count, 0) AS trade_count, round(win_rate, 6) AS win_rate FROM m LEFT JOIN lg USING (symbol, model)""",
     ),
@@ -112,8 +114,9 @@ PLANS = {
         k AS (SELECT symbol, model, count(*) AS k FROM r WHERE lost = 1 GROUP BY symbol, model, run), a AS (SELECT DISTINCT symbol, model FROM log) SELECT a.symbol, a.model, coalesce(max(k), 0) AS max_losing_streak FROM a LEFT JOIN k USING (symbol, model) GROUP BY 1, 2""",
     ),
     "e14_against_benchmark": (
-        lambda s, d: rounded(M.against_benchmark(metrics(s, d).select("symbol", "model", "rmse", "mae", "dir_acc"), ["momentum"])),
-        f"""WITH {MODELS}, m AS (SELECT symbol, model, {FORECAST} FROM models GROUP BY 1, 2), b AS (SELECT symbol, model AS benchmark, rmse AS brmse, dir_acc AS bdir FROM m WHERE model = 'momentum')
+        lambda s, d: rounded(M.against_benchmark(metrics(s, d).select("symbol", "model", "rmse", "mae", "dir_acc"), ["momentum", "reversal"])),
+        f"""WITH {MODELS}, m AS (SELECT symbol, model, {FORECAST} FROM models GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY rmse, mae, dir_acc DESC, model) AS k FROM m),
+        b AS (SELECT symbol, model AS benchmark, rmse AS brmse, dir_acc AS bdir FROM k WHERE k = 1)
         SELECT m.symbol, model, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(dir_acc, 6) AS dir_acc, benchmark, round(brmse, 6) AS benchmark_rmse, round(bdir, 6) AS benchmark_dir_acc, round(rmse / nullif(brmse, 0), 6) AS rmse_ratio, round(dir_acc - bdir, 6) AS dir_acc_gain FROM m LEFT JOIN b USING (symbol)""",
     ),
     "e19_stability": (

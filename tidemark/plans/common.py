@@ -13,7 +13,6 @@ from tidemark.session import table
 from tidemark.sources.bars import table_bars
 
 
-
 #: Output columns that are dates; queries give them as ISO text, alike in Spark and in SQL.
 DATES = ("Date", "first_date", "last_date", "entry_date", "exit_date", "target_date")
 
@@ -39,9 +38,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with causal columns and a sector: the first part type of the symbol."""
-    parts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_type").alias("sector"))
-    return causal_columns(table_bars(spark, sf_dir)).join(parts, "symbol")
+    """Bars with causal columns and a sector."""
+    return causal_columns(table_bars(spark, sf_dir)).join(sectors(spark, sf_dir), "symbol")
+
+
+def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, sector: the most frequent part type of the brand, the first by name of equal ones."""
+    counts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol"), "p_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("symbol").agg(F.min_by("p_type", F.struct((-F.col("n")).alias("n"), "p_type")).alias("sector"))
 
 
 def prediction_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +70,13 @@ trades AS (
 ), rets AS (
   SELECT *, c / lag(c) OVER w - 1 AS ret, ln(c / lag(c) OVER w) AS logret FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)
 )"""
+SECTORS = """sectors AS (
+  SELECT symbol, sector FROM (SELECT p_brand AS symbol, p_type AS sector, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS k FROM part GROUP BY 1, 2) WHERE k = 1
+)"""
 PANEL = (
     BARS
-    + """, sectors AS (
-  SELECT p_brand AS symbol, min(p_type) AS sector FROM part GROUP BY p_brand
-), panel0 AS (
+    + f", {SECTORS}"
+    + """, panel0 AS (
   SELECT *, ln(lead(c, 5) OVER w / c) AS target, lead(dt, 5) OVER w AS target_date,
     CASE WHEN count(c * v) OVER r >= 5 THEN ln(1 + quantile_cont(c * v, 0.5) OVER r) END AS liq_log,
     CASE WHEN count(logret) OVER r >= 5 THEN stddev_samp(logret) OVER r END AS vol,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import xsection as X
+from tidemark.operators.selection import trend_tendency
 from tidemark.plans.common import PANEL, average_rank_sql, panel, prediction_panel, rounded
 
 NAMES = 8
@@ -38,10 +39,17 @@ def halves(s, d):
     return rounded(X.psi(p, ["liq_log", "vol", "target"]))
 
 
-def newest_scores(s, d):
-    return rounded(X.peer_scores(X.newest_date(prediction_panel(s, d)).select("symbol", "Date", "y_pred")))
+def daily_scores(s, d):
+    return rounded(X.peer_scores(prediction_panel(s, d).select("symbol", "Date", "y_pred")))
 
 
+def tendencies(s, d):
+    scores = X.peer_scores(prediction_panel(s, d).select("symbol", "Date", "y_pred"))
+    return rounded(trend_tendency(scores).select("symbol", "Date", "trend_label", "trend_prob_up", "trend_expected_return"))
+
+
+PEERS = f"""WITH {PANEL}, r AS (SELECT symbol, dt, y_pred, count(*) OVER (PARTITION BY dt) AS n, {average_rank_sql('y_pred', 'dt')} AS k FROM preds),
+p AS (SELECT *, 2 * (k - 0.5) / n - 1 AS score, 100 * (k - 0.5) / n AS pct FROM r)"""
 PSI_SQL = f"""WITH {PANEL}, long AS (SELECT CASE WHEN dt < DATE '1998-06-01' THEN 'train' ELSE 'holdout' END AS part, f.feature, f.value FROM panel, (VALUES (1)) x(i), LATERAL (SELECT unnest(['liq_log', 'vol', 'target']) AS feature, unnest([liq_log, vol, target]) AS value) f WHERE f.value IS NOT NULL),
 e AS (SELECT feature, min(value) - 1e-9 AS lo, max(value) + 1e-9 AS hi FROM long GROUP BY feature),
 c AS (SELECT feature, least(10, CAST(floor((value - lo) / (hi - lo) * 10) AS INT) + 1) AS bin, count(CASE WHEN part = 'train' THEN 1 END) AS t, count(CASE WHEN part = 'holdout' THEN 1 END) AS h FROM long JOIN e USING (feature) GROUP BY 1, 2),
@@ -94,10 +102,15 @@ PLANS = {
         SELECT coalesce(quintile, 'ALL') AS quintile, count(*) AS n, round(avg(CASE WHEN y_true > 0 THEN 1.0 ELSE 0 END), 6) AS share_up, round(avg(y_true), 6) AS mean_return FROM b GROUP BY ROLLUP (quintile)""",
     ),
     "d12_peer_scores": (
-        newest_scores,
-        f"""WITH {PANEL}, p AS (SELECT symbol, dt, y_pred FROM preds WHERE dt = (SELECT max(dt) FROM preds)), r AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY y_pred) + (count(*) OVER (PARTITION BY y_pred) - 1) / 2.0 AS k FROM p)
-        SELECT symbol, dt AS "Date", round(y_pred, 6) AS y_pred, n AS universe_size, round(2 * (k - 0.5) / n - 1, 6) AS peer_score, round(100 * k / n, 6) AS peer_percentile,
-          CASE WHEN n < 10 THEN 'unknown' WHEN 100 * k / n >= 70 THEN 'outperform' WHEN 100 * k / n <= 30 THEN 'underperform' ELSE 'inline' END AS peer_label FROM r""",
+        daily_scores,
+        f"""{PEERS} SELECT symbol, dt AS "Date", round(y_pred, 6) AS y_pred, n AS universe_size, round(score, 6) AS peer_score, round(pct, 6) AS peer_percentile,
+          CASE WHEN n < 15 THEN 'unknown' WHEN pct >= 70 THEN 'outperform' WHEN pct <= 30 THEN 'underperform' ELSE 'inline' END AS peer_label FROM p""",
+    ),
+    "d16_trend_tendency": (
+        tendencies,
+        f"""{PEERS}, q AS (SELECT *, n >= 15 AS known, CAST(least(4, floor(pct / 20)) AS INT) + 1 AS q FROM p)
+        SELECT symbol, dt AS "Date", CASE WHEN NOT known THEN 'uncertain' WHEN pct >= 70 THEN 'up' WHEN pct <= 30 THEN 'down' ELSE 'flat' END AS trend_label,
+          CASE WHEN known THEN [0.435, 0.487, 0.509, 0.519, 0.541][q]::DOUBLE END AS trend_prob_up, CASE WHEN known THEN [-0.0066, 0.0032, 0.0050, 0.0062, 0.0090][q]::DOUBLE END AS trend_expected_return FROM q""",
     ),
     "d18_psi": (halves, PSI_SQL),
 }

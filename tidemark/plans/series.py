@@ -25,6 +25,10 @@ def over(n: int) -> str:
     return f"OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
+DRIFT = """, drift0 AS (SELECT *, (h - l) / nullif(c, 0) AS range_rel, ln(nullif(v, 0)) - lag(ln(nullif(v, 0))) OVER (PARTITION BY symbol ORDER BY dt) AS dlog_volume FROM rets),
+drift AS (SELECT * FROM drift0 WHERE logret IS NOT NULL AND range_rel IS NOT NULL AND dlog_volume IS NOT NULL)"""
+
+
 def gated(agg: str, value: str, n: int) -> str:
     return f"CASE WHEN count({value}) {over(n)} >= {n} THEN {agg} {over(n)} END"
 
@@ -104,7 +108,7 @@ PLANS = {
         f'WITH {PANEL} SELECT symbol, dt AS "Date", round(target, 6) AS target, target_date, round(liq_log, 6) AS liq_log, round(vol, 6) AS vol, sector FROM panel',
     ),
     "c24_targets": (feature(X.targets, *[f"target_{h}" for h in (1, 3, 5, 10)]), rows_sql({f"target_{h}": f"ln(lead(c, {h}) OVER w / c)" for h in (1, 3, 5, 10)})),
-    "c25_drift_features": (feature(X.drift_features, "range_rel", "dlog_volume"), rows_sql({"range_rel": "(h - l) / c", "dlog_volume": "ln(1 + v) - ln(1 + lag(v) OVER w)"})),
+    "c25_drift_features": (feature(X.drift_features, "range_rel", "dlog_volume"), rows_sql({"range_rel": "range_rel", "dlog_volume": "dlog_volume"}, DRIFT, "drift")),
     "c32_sequences": (
         lambda s, d: rounded(X.sequences(X.returns(table_bars(s, d)).where("ret is not null"), ["ret"], 5).select("symbol", "Date", F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[0]).alias("sequence_sum"))),
         f"""WITH {BARS}, t AS (SELECT symbol, dt, sum(ret) {over(5)} AS z, count(*) {over(5)} AS k FROM rets WHERE ret IS NOT NULL) SELECT symbol, dt AS "Date", round(z, 6) AS sequence_sum FROM t WHERE k = 5""",
