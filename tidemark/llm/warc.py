@@ -32,7 +32,7 @@ from tidemark.llm.common import SharedFiles, arrow_rows, cut, drop_written, open
 
 MIN_REVISIT, FILE_BYTES, SALTS = 100, 64 << 20, 64
 #: Payload bytes of a part (a range of page_id): a PARTS-th of all, but for these bounds.
-PARTS, LEAST_PART, MOST_PART = 64, 1 << 20, 256 << 20
+PARTS, LEAST_PART, MOST_PART = 256, 1 << 20, 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("records", "bytes", "first_id", "last_id"))])
 READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
