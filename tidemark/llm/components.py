@@ -30,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         drop_written(low)
         labels = nearer
         if not moved:
+            drop_written(both)
             return labels.select("node", F.col("label").alias("component"))
