@@ -80,8 +80,12 @@ def oos(s, d):
     return X.ic_summary(X.daily_rank_ic(found, 8))
 
 
+def contributions_rows(s, d):
+    return L.linear_contributions(panel(s, d).where("vol is not null and ret is not null"), {"liq_log": 0.5, "vol": -2.0, "ret": 1.0})
+
+
 def contributions(s, d):
-    return L.top_features(L.linear_contributions(panel(s, d).where("vol is not null and ret is not null"), {"liq_log": 0.5, "vol": -2.0, "ret": 1.0}), 3)
+    return L.top_features(contributions_rows(s, d), 3)
 
 
 CLIP = "greatest(0.0, least(100.0, {}))"

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session in UTC with adaptive execution; sizes stay with the cluster's own settings unless given."""
+    """A session in UTC with adaptive execution; sizes stay with the cluster's own settings unless given. A local session that names no shared
+    folder (spark.checkpoint.dir) gets a temporary one; on a cluster the setting is the cluster's."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        builder = builder.config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
