@@ -37,11 +37,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there and a lost executor costs nothing."""
+def cut(df: DataFrame, name: str = "cut", **options: str) -> DataFrame:
+    """df, written to the shared folder (with options of the Parquet writer) and read again: lineage ends there and a lost executor costs
+    nothing."""
     spark, schema = df.sparkSession, df.schema
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of plans that are done
     return spark.read.schema(schema).parquet(path)
 
