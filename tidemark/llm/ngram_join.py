@@ -2,7 +2,9 @@
 
 1. A set's shingle hashes are its elements, in one global order (by hash). Equal sets are one node from the start.
 2. Index lists: each node enters the lists of its prefix, long enough that two linked sets share at least need() list elements. Lists are
-   kept apart by length: a short list (up to SHORT nodes) gives its pairs, which are counted; a long list gives none.
+   kept apart by length: a short list (up to SHORT nodes) gives its pairs, which are counted; a long list gives none. Entries hold the
+   size of their set and the position of the element in it. A list stands in order of size, and a pair is skipped if sizes or positions
+   leave too few elements before and after the shared one: a linked pair is so skipped in none of its lists.
 3. A pair is a candidate if its count, together with the elements of long lists it may share, reaches need(). Sets whose prefix lies in
    long lists to that extent are candidates of each other where they share a long list. No other pair can link. Candidates fall into
    clusters (components), most of them small.
@@ -44,7 +46,7 @@ AT_ONCE = 3_000_000
 
 NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
 #: kind 0: node is in the list of element; 1: the list is long; 2: node is in a list known to be long.
-ENTRIES = pa.schema([("element", pa.int64()), ("node", pa.int64()), ("kind", pa.int8())])
+ENTRIES = pa.schema([("element", pa.int64()), ("node", pa.int64()), ("kind", pa.int8()), ("n", pa.int32()), ("pos", pa.int32())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("long", pa.bool_())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -100,22 +102,24 @@ def nodes(docs: DataFrame, size: int) -> DataFrame:
 def entries(docs: DataFrame, size: int) -> DataFrame:
     """Index entries; equal sets of one task enter once, and lists that are long within the task are marked."""
 
-    def sent(elements: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
-        element = np.concatenate(elements)
-        node = np.repeat(np.array(owners, np.int64), [len(x) for x in elements])
+    def sent(elements: list[np.ndarray], owners: list[tuple[int, int]]) -> pa.RecordBatch:
+        element, lens = np.concatenate(elements), np.array([len(x) for x in elements])
+        node, n = (np.repeat(np.array([o[k] for o in owners], kind), lens) for k, kind in ((0, np.int64), (1, np.int32)))
+        pos = (np.arange(len(element)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
         order = np.argsort(element, kind="stable")
-        element, node = element[order], node[order]
+        element, node, n, pos = element[order], node[order], n[order], pos[order]
         start = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
         count = np.diff(np.append(start, len(element)))
         long = np.repeat(count > SHORT, count)
         marks = element[start[count > SHORT]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((element, marks))), pa.array(np.concatenate((node, np.zeros(len(marks), np.int64)))), pa.array(np.concatenate((np.where(long, 2, 0), np.ones(len(marks)))).astype(np.int8))], schema=ENTRIES
-        )
+        none = np.zeros(len(marks), np.int64)
+        kind = np.concatenate((np.where(long, 2, 0), none + 1)).astype(np.int8)
+        columns = [np.concatenate((element, marks)), np.concatenate((node, none)), kind, *(np.concatenate((x, none)).astype(np.int32) for x in (n, pos))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=ENTRIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        owners: list[int] = []
+        owners: list[tuple[int, int]] = []
         seen: set[int] = set()
         total = 0
         for batch in batches:
@@ -125,7 +129,7 @@ def entries(docs: DataFrame, size: int) -> DataFrame:
                     continue
                 seen.add(node)
                 held.append(own[: int(listed(np.int64(len(own))))])
-                owners.append(node)
+                owners.append((node, len(own)))
                 total += len(held[-1])
                 if total >= AT_ONCE:
                     yield sent(held, owners)
@@ -142,16 +146,16 @@ def list_relations(index: DataFrame) -> DataFrame:
     The entries of a list meet in one task, sorted; those already known to be in a long list only pass through, wherever.
     """
     place = F.when(F.col("kind") == 2, F.col("node")).otherwise(F.col("element"))
-    index = index.repartition(place).sortWithinPartitions("element", "node", "kind")
+    index = index.repartition(place).sortWithinPartitions("element", "n", "node", "kind")
 
-    def done(element: np.ndarray, node: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    def done(element: np.ndarray, node: np.ndarray, kind: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
         through = kind == 2
         passed = element[through], node[through]
-        element, node, kind = element[~through], node[~through], kind[~through]
+        element, node, kind, n, pos = (x[~through] for x in (element, node, kind, n, pos))
         if not len(element):
             return pa.RecordBatch.from_arrays([pa.array(passed[1]), pa.array(passed[0]), pa.array(np.ones(len(passed[0]), bool))], schema=PAIRS)
         keep = np.concatenate(([True], (element[1:] != element[:-1]) | (node[1:] != node[:-1]) | (kind[1:] != kind[:-1])))
-        element, node, kind = element[keep], node[keep], kind[keep]
+        element, node, kind, n, pos = (x[keep] for x in (element, node, kind, n, pos))
         start = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
         count = np.diff(np.append(start, len(element)))
         marked = np.add.reduceat(kind == 1, start) > 0
@@ -162,17 +166,21 @@ def list_relations(index: DataFrame) -> DataFrame:
         for k in range(2, SHORT + 1):
             at = start[(count == k) & ~long]
             if len(at):
-                rows = node[at[:, None] + np.arange(k)]
+                rows = at[:, None] + np.arange(k)
                 i, j = np.triu_indices(k, 1)
-                out_a.append(rows[:, i].ravel())
-                out_b.append(rows[:, j].ravel())
+                x, y = rows[:, i].ravel(), rows[:, j].ravel()  # sizes ascend
+                x, y = (v[DEN * n[x] >= NUM * n[y].astype(np.int64)] for v in (x, y))
+                most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
+                x, y = (v[(NUM + DEN) * most.astype(np.int64) >= NUM * (n[x].astype(np.int64) + n[y])] for v in (x, y))
+                out_a.append(np.minimum(node[x], node[y]))
+                out_b.append(np.maximum(node[x], node[y]))
                 out_long.append(np.zeros(len(out_a[-1]), bool))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_long)], schema=PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            part = [batch.column(i).to_numpy() for i in range(3)]
+            part = [batch.column(i).to_numpy() for i in range(5)]
             if rest is not None:
                 part = [np.concatenate(x) for x in zip(rest, part, strict=True)]
             if not len(part[0]):
