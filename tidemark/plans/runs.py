@@ -18,7 +18,7 @@ from tidemark.plans.backtests import FORECAST, POSITIONS
 from tidemark.plans.common import BARS, PANEL, SECTORS, model_rows, panel, rounded, sectors
 from tidemark.plans.selections import COLUMNS, SPLIT, contributions_rows, experiments, scored, scored_sql, signals
 from tidemark.plans.series import gated, over
-from tidemark.plans.serving import POINTS, points, resolved
+from tidemark.plans.serving import POINTS, RESOLVED, points, resolved
 from tidemark.session import table
 from tidemark.sources.bars import calendar, table_bars
 
@@ -286,7 +286,11 @@ PLANS = {
     ),
     "k12_history": (
         lambda s, d: rounded(R.history(resolved(s, d).withColumn("run", F.lit(1)), 1).select("symbol", "run", F.size("points").alias("n"), F.element_at("points", -1)["actual_close"].alias("last_actual"), "mae")),
-        None,
+        f"WITH {RESOLVED} SELECT symbol, 1 AS run, CAST(count(*) AS INT) AS n, round(arg_max(actual, horizon), 6) AS last_actual, round(avg(abs_error), 6) AS mae FROM res GROUP BY symbol",
+    ),
+    "k15_rolling_accuracy": (
+        lambda s, d: rounded(R.rolling_accuracy(resolved(s, d))),
+        f"""WITH {RESOLVED}, l AS (SELECT *, max(target_date) OVER (PARTITION BY symbol) AS l FROM res), g AS (SELECT symbol, count(*) AS n, 100 * avg(CASE WHEN up THEN 1.0 ELSE 0 END) AS dir_acc, avg(abs_error) AS mae FROM l WHERE date_diff('day', target_date, l) < 60 GROUP BY symbol)
+        SELECT symbol, n, round(dir_acc, 6) AS dir_acc, round(mae, 6) AS mae, dir_acc < 50 AS degraded FROM g""",
     ),
-    "k15_rolling_accuracy": (lambda s, d: rounded(R.rolling_accuracy(resolved(s, d))), None),
 }
