@@ -35,7 +35,7 @@ def tidy(df):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_twin(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     pd.testing.assert_frame_equal(tidy(QUERIES[name](spark, SF).toPandas()), tidy(c.execute(ORACLES[name]).df()), check_dtype=False)
 
