@@ -10,7 +10,7 @@ ranks within a task are counted while it runs, what other tasks hold before them
 
 Defined results: a null text counts as empty and gives one piece, the end id alone; texts of any length are encoded whole; rows that repeat a
 doc_id are packed each; pieces of equal length are alike, so which takes which place follows the order of the input's rows; an empty table gives
-an empty result; other columns are not read by token_pieces() and kept by pack(), which uses the names part, rank and before itself.
+an empty result; token_pieces() reads no other columns, pack() keeps all, whatever their names, but for given sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tidemark.llm.bpe import ByteBpe, default_path, few_at_once
 from tidemark.llm.common import cut, table, texts
 
-#: Active-set rounds, patterns that may enter in one, and the least gain (of the largest count) for which one enters.
-ROUNDS, ENTER, GAIN = 40, 64, 1e-6
-#: The weight of a length's misfit: its share of the sequence and this.
-FLOOR_WEIGHT = 0.05
+#: Active-set rounds and solutions in one, patterns that may enter in one, the least gain (of the largest count) for which one enters, and the
+#: part of the misfit that a round has to take away.
+ROUNDS, TURNS, ENTER, GAIN, LESS = 40, 8, 64, 1e-6, 1e-4
+#: How much more than a piece that is left a piece weighs that is not there.
+OVER = 8
+#: The weight of a length's misfit: its share of the sequence to this power, over the root of its count (so that a hot length rules nothing).
+POWER = 1.0
 #: More than any count of pieces of one length.
 MANY = 1 << 50
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -96,32 +99,38 @@ def exact_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def fit_patterns(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Patterns in use and how often each, as non-negative least squares of the counts by length (index 0 is ignored).
 
-    An active set in blocks: each round lets the patterns enter that gain most and share no length, solves for all in use, and takes out
-    those that would fall below zero until none does.
+    Using more of a length than there is weighs OVER times as much as leaving some, since only what is left can still be placed. An active set
+    in blocks: each round lets the patterns enter that gain most and share no length, solves for all in use with the weights that the misfit's
+    signs ask for, takes out those that would fall below zero, and goes on until neither changes.
     """
-    weight = np.arange(len(counts)) / (len(counts) - 1) + FLOOR_WEIGHT
-    weight[0] = 0
     scale = counts[1:].max(initial=0)
     if not len(patterns) or not scale:
         return np.empty(0, np.int64), np.empty(0)
     want = counts / scale
-    # squared length of a pattern's weighted column, in which a length that comes twice counts four times
-    same = (patterns[:, :-1] == patterns[:, 1:]) & (patterns[:, 1:] > 0)
-    norm = (weight[patterns] ** 2).sum(1) + 2 * (same * weight[patterns[:, 1:]] ** 2).sum(1)
-    norm += 2 * ((patterns[:, 0] == patterns[:, 2]) & (patterns[:, 0] > 0)) * weight[patterns[:, 0]] ** 2
+    want[0] = 0
+    plain = (np.arange(len(counts)) / (len(counts) - 1)) ** POWER / np.sqrt(np.maximum(counts, 1))
+
+    def fitted(used: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.bincount(patterns[used].ravel(), np.repeat(x, 3), len(counts))
+        out[0] = 0
+        return out
+
+    def weights(fit: np.ndarray) -> np.ndarray:
+        return np.where(fit > want, OVER, 1) * plain
+
+    # squared length of a pattern's column, in which a length that comes twice counts four times, and three times nine times
+    equal = (patterns[:, :2] == patterns[:, 1:]) & (patterns[:, 1:] > 0)
+    norm = (plain[patterns] ** 2).sum(1) + 2 * (equal * plain[patterns[:, 1:]] ** 2).sum(1) + 2 * equal.all(1) * plain[patterns[:, 0]] ** 2
     used, x, error = np.empty(0, np.int64), np.empty(0), np.inf
     best = (used, x)
     for _ in range(ROUNDS):
-        fit = np.zeros(len(counts))
-        np.add.at(fit, patterns[used].ravel(), np.repeat(x, 3))
-        left = weight * (want - fit)
-        left[0] = 0
-        now = float(left @ left)
-        if now < error * (1 - 1e-4):
-            error, best = now, (used, x)
-        elif len(used):
+        fit = fitted(used, x)
+        weight = weights(fit)
+        now = float(((weight * (want - fit)) ** 2).sum())
+        if now >= error * (1 - LESS):
             break
-        gain = (weight * left)[patterns].sum(1) / np.sqrt(norm)
+        error, best = now, (used, x)
+        gain = (weight**2 * (want - fit))[patterns].sum(1) / np.sqrt(norm)
         gain[used] = 0
         taken, entering = np.zeros(len(counts), bool), []
         for k in np.argsort(-gain, kind="stable")[: ENTER * 50].tolist():
@@ -131,20 +140,21 @@ def fit_patterns(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
                 entering.append(k)
                 taken[patterns[k]] = True
                 taken[0] = False
-        if not entering:
-            break
         used = np.append(used, np.array(entering, np.int64))
-        while len(used):
+        for turn in range(TURNS):
+            if not len(used):
+                break
             matrix = np.zeros((len(counts), len(used)))
             np.add.at(matrix, (patterns[used], np.arange(len(used))[:, None]), 1)
             matrix *= weight[:, None]
             gram = matrix.T @ matrix
             gram[np.diag_indices_from(gram)] += 1e-9
             x = np.linalg.solve(gram, matrix.T @ (weight * want))
-            if (x > 0).all():
+            stays = x > 0
+            used, x = used[stays], x[stays]
+            before, weight = weight, weights(fitted(used, x))
+            if stays.all() and (turn > TURNS // 2 or (before == weight).all()):
                 break
-            used = used[x > 0]
-            x = x[x > 0]
     return best[0], best[1] * scale
 
 
@@ -237,24 +247,25 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             seen[ordered[start]] += sizes
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int64)), pa.array(ranks)], names=[*batch.schema.names, "part", "rank"])
 
-    ranked = cut(pieces.mapInArrow(rank, with_longs(pieces, "part", "rank")), "pieces")
-    tally = ranked.groupBy("part", "length").agg(F.max("rank").alias("last"))
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    inner = pieces.select(F.struct(*columns).alias("own"), F.col("length").cast("long").alias("length"))
+    ranked = cut(inner.mapInArrow(rank, with_longs(inner, "part", "rank")), "pieces")
+    tally = ranked.groupBy("part", "length").agg((F.max("rank") + 1).alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
-    for r in tally.groupBy("length").agg(F.sum(F.col("last") + 1).alias("n")).collect():  # at most capacity rows
+    for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
         counts[r["length"]] = r["n"]
-    places, columns = Places(plan_sequences(counts)), pieces.columns
+    places = Places(plan_sequences(counts))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = tally.select(F.col("part").alias("_part"), F.col("length").alias("_length"), F.coalesce(F.sum(F.col("last") + 1).over(earlier), F.lit(0)).alias("before"))
-    joined = ranked.join(before, (F.col("part") == F.col("_part")) & (F.col("length") == F.col("_length"))).drop("_part", "_length")
+    before = tally.select(F.col("part").alias("_part"), F.col("length").alias("_length"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    joined = ranked.join(before, (F.col("part") == F.col("_part")) & (F.col("length") == F.col("_length"))).select("own", "length", "rank", "before")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [batch[c] for c in columns]
             if batch.num_rows:
                 sequence, offset = places(np.asarray(batch["length"]), np.asarray(batch["rank"]) + np.asarray(batch["before"]))
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([*batch["own"].flatten(), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
-    return joined.mapInArrow(place, with_longs(pieces, "sequence_id", "offset"))
+    return joined.mapInArrow(place, with_longs(pieces.select(*columns), "sequence_id", "offset"))
 
 
 def op12_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
