@@ -24,9 +24,10 @@ def round_to_tick(price: Column, how: str = "nearest") -> Column:
 
 
 def bounded(price: Column, before: Column, band: float = 0.10) -> Column:
-    """Within the daily band around the price before, on a tick."""
-    low, high = round_to_tick(before * (1 - band), "ceil"), round_to_tick(before * (1 + band), "floor")
-    return F.greatest(low, F.least(high, round_to_tick(price)))
+    """Within the daily band around the price before (itself on a tick), on a tick."""
+    base = round_to_tick(before)
+    low, high = round_to_tick(base * (1 - band), "ceil"), round_to_tick(base * (1 + band), "floor")
+    return F.greatest(low, F.least(high, round_to_tick(F.greatest(low, F.least(high, price)))))
 
 
 def trend_label(expected: Column, vol: Column, horizon: Column, cost: float = 0.0) -> Column:

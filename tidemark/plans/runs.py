@@ -258,9 +258,12 @@ PLANS = {
     ),
     "k3_bounded": (
         lambda s, d: rounded(model_rows(s, d).select("symbol", "model", "Date", K.bounded(F.col("Close") * (1 + F.col("y_pred")), F.col("Close")).alias("pred_close"))),
-        f"""WITH {MODELS}, b AS (SELECT symbol, model, dt, c * (1 + y_pred) AS p, c * (1 - 0.1) AS lo, c * (1 + 0.1) AS hi FROM models),
-        r AS (SELECT *, CAST({TICK.format('p')} AS DECIMAL(18, 6)) AS tp, CAST({TICK.format('lo')} AS DECIMAL(18, 6)) AS tl, CAST({TICK.format('hi')} AS DECIMAL(18, 6)) AS th FROM b)
-        SELECT symbol, model, dt AS "Date", round(greatest(ceil(CAST(lo AS DECIMAL(18, 6)) / tl) * tl, least(floor(CAST(hi AS DECIMAL(18, 6)) / th) * th, round(CAST(p AS DECIMAL(18, 6)) / tp) * tp))::DOUBLE, 6) AS pred_close FROM r""",
+        f"""WITH {MODELS}, a AS (SELECT symbol, model, dt, c * (1 + y_pred) AS p, c, CAST({TICK.format('c')} AS DECIMAL(18, 6)) AS tc FROM models),
+        b AS (SELECT *, (round(CAST(c AS DECIMAL(18, 6)) / tc) * tc)::DOUBLE AS base FROM a), l AS (SELECT *, base * (1 - 0.1) AS lo, base * (1 + 0.1) AS hi FROM b),
+        m AS (SELECT *, (ceil(CAST(lo AS DECIMAL(18, 6)) / CAST({TICK.format('lo')} AS DECIMAL(18, 6))) * CAST({TICK.format('lo')} AS DECIMAL(18, 6)))::DOUBLE AS low,
+          (floor(CAST(hi AS DECIMAL(18, 6)) / CAST({TICK.format('hi')} AS DECIMAL(18, 6))) * CAST({TICK.format('hi')} AS DECIMAL(18, 6)))::DOUBLE AS high FROM l),
+        r AS (SELECT *, greatest(low, least(high, p)) AS q FROM m), t AS (SELECT *, CAST({TICK.format('q')} AS DECIMAL(18, 6)) AS tq FROM r)
+        SELECT symbol, model, dt AS "Date", round(greatest(low, least(high, (round(CAST(q AS DECIMAL(18, 6)) / tq) * tq)::DOUBLE)), 6) AS pred_close FROM t""",
     ),
     "k4_trend_label": (
         lambda s, d: B.rolling_risk(model_rows(s, d)).select("symbol", "model", "Date", K.trend_label(F.col("y_pred"), F.col("rolling_vol"), F.lit(5), 0.003).alias("label")),
