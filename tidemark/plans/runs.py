@@ -90,6 +90,13 @@ x AS (SELECT c.symbol, c.model, fold AS run, composite, tr - bh AS excess, trade
 rb AS (SELECT *, CASE WHEN clone THEN 'benchmark' WHEN trade_band = 'band' AND excess > 0 AND composite >= 50 THEN 'reliable' WHEN excess > 0 THEN 'candidate' ELSE 'weak' END AS reliability FROM x)"""
 TICK = "CASE WHEN {0} < 20 THEN 0.01 WHEN {0} < 50 THEN 0.02 WHEN {0} < 100 THEN 0.05 WHEN {0} < 250 THEN 0.1 WHEN {0} < 500 THEN 0.25 WHEN {0} < 1000 THEN 0.5 WHEN {0} < 2500 THEN 1.0 ELSE 2.5 END"
 
+def on_tick(x: str, how: str) -> str:
+    """A price on its tick in SQL, in whole millionths."""
+    p, t = f"CAST(round({x} * 1000000) AS BIGINT)", f"CAST(round(1000000 * {TICK.format(x)}) AS BIGINT)"
+    steps = {"nearest": f"(2 * {p} + {t}) // (2 * {t})", "floor": f"{p} // {t}", "ceil": f"({p} + {t} - 1) // {t}"}[how]
+    return f"({steps} * {t} / 1000000.0)::DOUBLE"
+
+
 PLANS = {
     "b1_traded": (
         lambda s, d: rounded(Q.with_gaps(table_bars(s, d)).select("symbol", "Date", "gap")),
@@ -258,12 +265,10 @@ PLANS = {
     ),
     "k3_bounded": (
         lambda s, d: rounded(model_rows(s, d).select("symbol", "model", "Date", K.bounded(F.col("Close") * (1 + F.col("y_pred")), F.col("Close")).alias("pred_close"))),
-        f"""WITH {MODELS}, a AS (SELECT symbol, model, dt, c * (1 + y_pred) AS p, c, CAST({TICK.format('c')} AS DECIMAL(18, 6)) AS tc FROM models),
-        b AS (SELECT *, (round(CAST(c AS DECIMAL(18, 6)) / tc) * tc)::DOUBLE AS base FROM a), l AS (SELECT *, base * (1 - 0.1) AS lo, base * (1 + 0.1) AS hi FROM b),
-        m AS (SELECT *, (ceil(CAST(lo AS DECIMAL(18, 6)) / CAST({TICK.format('lo')} AS DECIMAL(18, 6))) * CAST({TICK.format('lo')} AS DECIMAL(18, 6)))::DOUBLE AS low,
-          (floor(CAST(hi AS DECIMAL(18, 6)) / CAST({TICK.format('hi')} AS DECIMAL(18, 6))) * CAST({TICK.format('hi')} AS DECIMAL(18, 6)))::DOUBLE AS high FROM l),
-        r AS (SELECT *, greatest(low, least(high, p)) AS q FROM m), t AS (SELECT *, CAST({TICK.format('q')} AS DECIMAL(18, 6)) AS tq FROM r)
-        SELECT symbol, model, dt AS "Date", round(greatest(low, least(high, (round(CAST(q AS DECIMAL(18, 6)) / tq) * tq)::DOUBLE)), 6) AS pred_close FROM t""",
+        f"""WITH {MODELS}, a AS (SELECT symbol, model, dt, c * (1 + y_pred) AS p, {on_tick("c", "nearest")} AS base FROM models),
+        b AS (SELECT *, base * 0.9::DOUBLE AS lo, base * 1.1::DOUBLE AS hi FROM a), m AS (SELECT *, {on_tick("lo", "ceil")} AS low, {on_tick("hi", "floor")} AS high FROM b),
+        r AS (SELECT *, greatest(low, least(high, p)) AS q FROM m)
+        SELECT symbol, model, dt AS "Date", round(greatest(low, least(high, {on_tick("q", "nearest")})), 6) AS pred_close FROM r""",
     ),
     "k4_trend_label": (
         lambda s, d: B.rolling_risk(model_rows(s, d)).select("symbol", "model", "Date", K.trend_label(F.col("y_pred"), F.col("rolling_vol"), F.lit(5), 0.003).alias("label")),
