@@ -1,4 +1,4 @@
-"""Tables of runs: leaderboard rows and summaries, forecasts by several members, live accuracy, shadow backtests, explanations."""
+"""Tables of runs: leaderboard rows and summaries, forecasts by several members, live accuracy, explanations."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.forecasts import bounded
 
-#: Gates of the shadow backtests: name and what a prediction must exceed to buy, and to stay.
-SHADOWS = (("simple", 0.05, 0.05), ("legacy", 0.0, 0.0), ("hard", 0.10, 0.02), ("soft", 0.0625, 0.05))
-#: Settings by policy: buy, sell, shortest holding, cooldown.
-POLICIES = (("V0", 0.05, 0.05, 0, 0), ("V1", 0.05, 0.02, 1, 0), ("V2", 0.10, 0.05, 2, 1), ("V3", 0.02, 0.02, 0, 0), ("V4", 0.10, 0.10, 3, 2))
-
 
 def universe_check(bars: DataFrame, universe: DataFrame, years: int = 10) -> DataFrame:
     """One row a listed symbol: whether it has bars, their first and last date, years of history, bucket, sector, and whether they reach
@@ -116,25 +111,6 @@ def stability_objective(folds: DataFrame) -> DataFrame:
     return folds.groupBy("symbol", "model").agg((-(F.avg("sharpe") - 0.5 * F.stddev_pop("sharpe"))).alias("objective"))
 
 
-def shadow_runs(rows: DataFrame, gates=SHADOWS) -> DataFrame:
-    """rows once for every gate, as models of that name: (symbol, model, gate, ...), ready for one backtest of all."""
-    table = F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(b).alias("buy"), F.lit(s).alias("sell")) for g, b, s in gates])
-    return rows.withColumn("g", F.explode(table)).select(*rows.columns, "g.gate", "g.buy", "g.sell")
-
-
-def positions_by_mode(rows: DataFrame) -> DataFrame:
-    """Positions of rows(mode, y_pred, buy, sell) by the mode of the row: simple (a switch), legacy (the sign), rejected (none)."""
-    w = Window.partitionBy("symbol", "model", "mode").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.col("y_pred") > F.col("buy"), 1).when(F.col("y_pred") < -F.col("sell"), 0)
-    out = rows.withColumn("_m", mark).withColumn("_p", F.coalesce(F.last("_m", ignorenulls=True).over(w), F.lit(0)))
-    pick = F.when(F.col("mode") == "rejected", 0).when(F.col("mode") == "legacy", (F.col("y_pred") > 0).cast("int")).otherwise(F.col("_p"))
-    return out.withColumn("position", pick).drop("_m", "_p")
-
-
-def policies(spark, table=POLICIES) -> DataFrame:
-    return spark.createDataFrame(list(table), "policy string, buy double, sell double, min_hold int, cooldown int")
-
-
 def agreement(predictions: DataFrame, main: str) -> DataFrame:
     """Per symbol the share of the other models whose newest prediction has the main model's sign."""
     last = predictions.groupBy("symbol", "model").agg(F.max_by("y_pred", "Date").alias("p"))

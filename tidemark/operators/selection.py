@@ -164,25 +164,27 @@ def risk_adjusted_score(net: Column, excess: Column, sharpe: Column, drawdown: C
     return 0.35 * net + 0.25 * excess + 0.25 * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sharpe / 3)) + 0.15 * (1 + drawdown)
 
 
-def summarize_trials(runs: DataFrame, min_trades: int) -> DataFrame:
-    """One row a trial: means over its series, trades in all, and the risk-adjusted score."""
-    out = runs.groupBy("trial").agg(
+def summarize_trials(runs: DataFrame, min_trades: int | Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row a trial (of each key): means over its series, trades in all, and the risk-adjusted score. min_trades: a number, or an aggregate."""
+    least = F.max(F.lit(min_trades)) if isinstance(min_trades, int) else min_trades
+    out = runs.groupBy(*keys, "trial").agg(
+        least.alias("_least"),
         F.count(F.lit(1)).alias("series"), F.avg("net_return").alias("net"), F.avg("buyhold_return").alias("hold"), F.avg(F.col("net_return") - F.col("buyhold_return")).alias("excess"),
         F.avg("max_drawdown").alias("drawdown"), F.avg("sharpe").alias("sharpe"), F.sum("trade_count").alias("trades"), F.count_if(F.col("net_return") > F.col("buyhold_return")).alias("beats_hold"),
     )
     score = risk_adjusted_score(F.col("net"), F.col("excess"), F.col("sharpe"), F.col("drawdown"))
-    return out.withColumns({"score": score, "enough_trades": F.col("trades") >= min_trades})
+    return out.withColumns({"score": score, "enough_trades": F.col("trades") >= F.col("_least")}).drop("_least")
 
 
-def confirm_trials(evaluated: DataFrame, min_trades: int, min_excess: float = 0.0, min_sharpe: float = 0.0) -> DataFrame:
+def confirm_trials(evaluated: DataFrame, min_trades: int | Column, min_excess: float = 0.0, min_sharpe: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Out-of-sample summaries of trials with the reasons that reject them, joined by commas."""
     rules = (F.col("excess") <= min_excess, "eval_excess_return_below_min"), (F.col("sharpe") <= min_sharpe, "eval_sharpe_below_min"), (F.col("trades") < min_trades, "eval_trade_count_below_min")
     reasons = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in rules]))
     names = {c: f"eval_{c}" for c in ("net", "hold", "excess", "sharpe", "drawdown", "trades")}
-    return evaluated.select("trial", *[F.col(c).alias(n) for c, n in names.items()], F.concat_ws(",", reasons).alias("reject_reason"), (F.size(reasons) == 0).alias("oos_passed"))
+    return evaluated.select(*keys, "trial", *[F.col(c).alias(n) for c, n in names.items()], F.concat_ws(",", reasons).alias("reject_reason"), (F.size(reasons) == 0).alias("oos_passed"))
 
 
-def choose_trial(rows: DataFrame) -> DataFrame:
+def choose_trial(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Trials in order of choice: confirmed ones with enough trades and excess first, then those with enough trades, then those that traded."""
     confirmed = F.col("enough_trades") & (F.col("excess") > 0) & F.coalesce("oos_passed", F.lit(False))
     tier = F.when(confirmed, 0).when(F.col("enough_trades"), 1).when(F.col("trades") > 0, 2).otherwise(3)
@@ -193,17 +195,17 @@ def choose_trial(rows: DataFrame) -> DataFrame:
     t = F.col("_t")
     order = [t, only(t == 2, "trades"), F.desc_nulls_last("score"), only(t == 0, "eval_excess"), only(t == 0, "eval_sharpe"), only(t == 0, "drawdown")]
     order += [F.desc_nulls_last(c) for c in ("excess", "net", "drawdown", "trades")]
-    w = Window.partitionBy(F.lit(0)).orderBy(*order, "trial")  # a row a trial
+    w = Window.partitionBy(*(keys or (F.lit(0),))).orderBy(*order, "trial")  # a row a trial
     return rows.withColumn("_t", tier).withColumns({"place": F.row_number().over(w), "choice": F.element_at(F.array(*[F.lit(x) for x in ("confirmed", "enough_trades", "traded", "none")]), F.col("_t") + 1)}).drop("_t")
 
 
-def should_expand(rows: DataFrame, complete: bool) -> DataFrame:
-    """One row: whether the grid is to be expanded, from the summaries and the first in order of choice."""
+def should_expand(rows: DataFrame, complete: bool, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (a key): whether the grid is to be expanded, from the summaries and the first in order of choice."""
     best = F.min_by(F.struct("enough_trades", "excess", "sharpe"), "place")
-    one = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("enough_trades").alias("valid"), best.alias("b"))
+    one = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("enough_trades").alias("valid"), best.alias("b"))
     weak = (F.col("n") == 0) | F.lit(not complete) | ~F.col("b.enough_trades") | (F.col("b.excess") <= 0) | (F.col("b.sharpe") <= 0)
     few = F.col("valid") < F.greatest(F.lit(1), F.ceil(F.col("n") * 0.15))
-    return one.select("n", "valid", (weak | few).alias("expand"))
+    return one.select(*keys, "n", "valid", (weak | few).alias("expand"))
 
 
 def quality_thresholds(folds: DataFrame, least_rows: int = 3) -> DataFrame:

@@ -207,7 +207,7 @@ def normal_equations(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ())
     shape = ", ".join([*(f"`{k}` {few.schema[k].dataType.simpleString()}" for k in names), "part array<double>"])
     placed = few.mapInArrow(run, shape).select(*names, F.posexplode("part").alias("at", "v"))
     added = placed.groupBy(*names, "at").agg(F.sum("v").alias("v"))
-    return added.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("sums"))
+    return added.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("sums")).where(F.size("sums") > 0)
 
 
 def solve_ridge(sums: Sequence[float], alpha: float = 1.0) -> tuple[np.ndarray, float]:

@@ -71,14 +71,6 @@ def scaled_rows(s, d):
     return L.scale(rows, COLUMNS, "robust")
 
 
-def shadows(s, d):
-    """Every model under every gate in one backtest: net return as a logarithm, trades."""
-    rows = R.shadow_runs(model_rows(s, d)).withColumns({"mode": F.when(F.col("gate") == "legacy", "legacy").otherwise("simple"), "model": F.concat_ws("|", "model", "gate")})
-    c = B.equity_curve(R.positions_by_mode(rows))
-    out = c.groupBy("symbol", "model").agg(F.max("gate").alias("gate"), F.log(F.nullif(F.max_by("net_equity", "Date"), F.lit(0.0))).alias("log_net"), F.sum("entry").alias("trades"))
-    return rounded(out)
-
-
 def run_table(s, d):
     """Years as runs, with the backtest of the whole series as the run's returns."""
     whole = curve(s, d).withColumn("run", F.year("Date")).groupBy("symbol", "model", "run").agg(F.sum("net_return").alias("total_return"), F.sum("realized_return").alias("buyhold_return"), F.sum("entry").alias("trade_count"))
@@ -242,7 +234,6 @@ PLANS = {
         f"""{scored_sql('fold')} SELECT symbol, model, fold, greatest(CASE WHEN dir_acc < 48 THEN 1.75 WHEN dir_acc < 52 THEN 1.25 ELSE 1 END, CASE WHEN rr >= 1.10 THEN 1.75 WHEN rr > 1.05 THEN 1.25 ELSE 1 END, CASE WHEN composite < 45 THEN 1.75 WHEN composite < 50 THEN 1.25 ELSE 1 END)::DOUBLE AS threshold_multiplier,
         concat_ws('|', CASE WHEN dir_acc < 52 THEN 'weak_dir_acc' END, CASE WHEN rr > 1.05 THEN 'weak_rmse_ratio' END, CASE WHEN composite < 50 THEN 'weak_composite' END) AS reasons FROM c""",
     ),
-    "h19_shadow_backtests": (shadows, None),
     "h20_signal_summary": (lambda s, d: rounded(R.signal_summary(signals(s, d))), None),
     "j8_combined": (
         lambda s, d: rounded(E.combine(model_rows(s, d), E.weights(model_rows(s, d), "inverse_rmse"))),
