@@ -107,14 +107,8 @@ def test_gates(spark):
     assert one(B.quality_block(df), "block_reason") == [None, "quality_dir_acc", "benchmark_only"]
 
 
-def test_combined_members(spark):
-    rows = [("A", "x", h, 100.0, 0.05) for h in (1, 2)] + [("A", "y", 1, 100.0, 0.03), ("A", "y", 2, 100.0, -0.03)]
-    points = spark.createDataFrame(rows, "symbol string, model string, horizon int, last_close double, predicted_return double")
-    weights = spark.createDataFrame([("x", 0.75), ("y", 0.25)], "model string, weight double")
-    got = [(r["horizon"], r["agreement"], r["pred_close"]) for r in R.combine_members(points, weights).orderBy("horizon").collect()]
-    assert got == [(1, 1.0, pytest.approx(104.5)), (2, 0.5, pytest.approx(104.5))]
-
-
 def test_pruned_columns(spark):
     df = spark.createDataFrame([(float(k), 2.0 * k + 1, float((k * 7919) % 13), float(-k)) for k in range(60)], "a double, b double, c double, d double")
-    assert L.prune_correlated(df, ["a", "b", "c", "d"], 0.95) == ["a", "c"] or len(L.prune_correlated(df, ["a", "b", "c", "d"], 0.95)) == 2
+    # a, b and d are one another up to sign: all have the same mean correlation up to rounding, so one of them stays, beside c
+    kept = L.prune_correlated(df, ["a", "b", "c", "d"], 0.95)
+    assert len(kept) == 2 and "c" in kept and kept[0] != "c"

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.operators.forecasts import bounded
 
 
-def universe_check(bars: DataFrame, universe: DataFrame, years: int = 10) -> DataFrame:
-    """One row a listed symbol: whether it has bars, their first and last date, years of history, bucket, sector, and whether they reach
-    back far enough."""
-    span = bars.groupBy("symbol").agg(F.min("Date").alias("first_date"), F.max("Date").alias("last_date"))
-    out = universe.join(span, "symbol", "left").withColumn("history_years", F.datediff("last_date", "first_date") / 365.25)
-    h = F.col("history_years")
-    bucket = F.when(h.isNull(), "missing").when(h >= 10, "long").when(h >= 5, "mid").otherwise("short")
-    return out.withColumns({"present": F.col("first_date").isNotNull(), "bucket": bucket, "long_enough": F.coalesce(h >= years, F.lit(False))})
-
-
 def target_session(stamps: DataFrame, days: DataFrame, hour: int = 19) -> DataFrame:
     """The session that a time of the day asks for: its own date from `hour` on, else the day before; kept only on trading days."""
     d = F.to_date("ts")
@@ -25,15 +15,6 @@ def target_session(stamps: DataFrame, days: DataFrame, hour: int = 19) -> DataFr
     return out.join(days.where("Is_Trading_Day").select("Date"), "Date", "left_semi")
 
 
-def sector_mapping(symbols: DataFrame, supported: list[str], market: str = "MARKET") -> DataFrame:
-    """The index that stands for a symbol's sector: itself if it is supported, else the market, with status and reason."""
-    known = F.upper(F.trim("sector"))
-    listed = known.isin([s.upper() for s in supported])
-    status = F.when(known.isNull() | (known == ""), "missing").when(listed, "mapped").otherwise("fallback")
-    reason = F.when(status == "missing", "no_sector").when(status == "fallback", "unsupported_sector")
-    return symbols.select("symbol", "sector", F.when(listed, known).otherwise(market).alias("sector_index"), status.alias("status"), reason.alias("reason"))
-
-
 def supervised(rows: DataFrame, h: int = 1) -> DataFrame:
     """rows(symbol, role, Date, Close): the close h rows ahead within the role, its date and the close before; a role's last h rows fall away."""
     w = Window.partitionBy("symbol", "role").orderBy("Date")
@@ -49,41 +30,23 @@ def lookback_index(rows: DataFrame, window: int) -> DataFrame:
     return out.where(F.col("rows_back") == window).select("symbol", "Date", "first_date")
 
 
-def clip_warning(scaled: DataFrame, columns: list[str], limit: float = 5.0, least: float = 1.0) -> DataFrame:
-    """Per column the share of clipped rows by role in percent, and a warning where the test's is at least `least` and above the train's."""
-    long = scaled.select("role", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_z").alias("z")) for c in columns])).alias("x")).where("x.z is not null")
-
-    def rate(role: str) -> Column:
-        return 100 * F.avg(F.when(F.col("role") == role, (F.abs("x.z") >= limit).cast("double")))
-
-    out = long.groupBy(F.col("x.feature").alias("feature")).agg(rate("train").alias("train_rate"), rate("test").alias("test_rate"))
-    return out.withColumn("warning", (F.col("test_rate") >= least) & (F.col("test_rate") > F.col("train_rate")))
-
-
-def run_rows(metrics: DataFrame, trades_low: int = 8, trades_high: int = 20) -> DataFrame:
-    """Leaderboard rows of metrics(symbol, model, run, composite, rmse_ratio, total_return, buyhold_return, trade_count): excess, trade band,
-    class and rank within the run."""
-    excess = F.col("total_return") - F.col("buyhold_return")
-    n = F.col("trade_count")
-    band = F.when(n < trades_low, "few").when(n <= trades_high, "band").otherwise("many")
-    out = metrics.withColumns({"excess": excess, "trade_band": band, "benchmark_clone": F.col("rmse_ratio") == 1})
-    label = F.when(F.col("benchmark_clone"), "benchmark").when((F.col("trade_band") == "band") & (F.col("excess") > 0) & (F.col("composite") >= 50), "reliable")
-    label = label.when(F.col("excess") > 0, "candidate").otherwise("weak")
-    w = Window.partitionBy("run").orderBy(F.desc_nulls_last("composite"), F.desc_nulls_last("excess"))
-    return out.withColumns({"reliability": label, "place": F.rank().over(w)})
+def clip_report(scaled: DataFrame, columns: list[str], limit: float = 5.0, least: float = 1.0) -> DataFrame:
+    """One row of scaled(role, Date, `<column>_z` of every column): the share of clipped values by role over all columns in percent, the dates
+    that the scaler was fitted and tested on, and a warning where the test's share is at least `least` and above the train's."""
+    z = [F.col(f"{c}_z") for c in columns]
+    clipped, known = (sum((F.coalesce(f(x), F.lit(0)) for x in z[1:]), F.coalesce(f(z[0]), F.lit(0))) for f in (lambda x: (F.abs(x) >= limit).cast("int"), lambda x: x.isNotNull().cast("int")))
 
+    def of(role: str, value: Column) -> Column:
+        return F.when(F.col("role") == role, value)
 
-def history_summary(rows: DataFrame) -> DataFrame:
-    """Per history bucket: symbols, rows of each class and mean excess."""
-    classes = ("benchmark", "reliable", "candidate", "weak")
-    return rows.groupBy("bucket").agg(F.count_distinct("symbol").alias("symbols"), *[F.count_if(F.col("reliability") == c).alias(c) for c in classes], F.avg("composite").alias("mean_composite"))
-
-
-def newest_runs(rows: DataFrame, n: int) -> DataFrame:
-    """Models over the n newest runs of each symbol: runs seen, best and mean score, in order."""
-    runs = rows.select("symbol", "run").distinct().withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("run")))).where(F.col("k") <= n)
-    out = rows.join(runs, ["symbol", "run"]).groupBy("symbol", "model").agg(F.count_distinct("run").alias("runs"), F.max("composite").alias("best"), F.avg("composite").alias("mean_composite"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc_nulls_last("mean_composite"), "model")))
+    rate = {r: F.coalesce(100 * F.sum(of(r, clipped)) / F.nullif(F.sum(of(r, known)), F.lit(0)), F.lit(0.0)) for r in ("train", "test")}
+    out = scaled.agg(
+        *[rate[r].alias(f"{r}_clip_rate_pct") for r in rate], F.min(of("train", F.col("Date"))).alias("scaler_fit_start"), F.max(of("train", F.col("Date"))).alias("scaler_fit_end"),
+        F.min(of("test", F.col("Date"))).alias("test_start"), F.max(of("test", F.col("Date"))).alias("test_end"),
+    )
+    high = (F.col("test_clip_rate_pct") >= least) & (F.col("test_clip_rate_pct") > F.col("train_clip_rate_pct"))
+    text = F.format_string("distribution_shift_warning: test clip rate is high relative to train (%.3f%% vs %.3f%%).", "test_clip_rate_pct", "train_clip_rate_pct")
+    return out.withColumns({"clip_low": F.lit(-limit), "clip_high": F.lit(limit), "warning": F.when(high, text).otherwise("")})
 
 
 def risk_free(monthly: DataFrame) -> DataFrame:
@@ -98,14 +61,6 @@ def attach_backtest(metrics: DataFrame, summary: DataFrame) -> DataFrame:
     return metrics.join(summary.select("symbol", "model", "total_return", "buyhold_return", "max_drawdown", "trade_count", "win_rate"), ["symbol", "model"], "left")
 
 
-def split_sets(folds: DataFrame, share: float = 0.7, least: int = 3) -> DataFrame:
-    """Folds in order: the first part for calibration, the rest (so many at least, if there are more) for evaluation."""
-    w = Window.partitionBy(F.lit(0))
-    out = folds.select("fold").distinct().withColumns({"at": F.row_number().over(w.orderBy("fold")), "n": F.count(F.lit(1)).over(w)})  # a row a fold
-    first = F.least(F.floor(F.col("n") * share), F.greatest(F.col("n") - least, F.lit(0)))
-    return out.select("fold", F.when(F.col("at") <= first, "calibration").otherwise("evaluation").alias("set"))
-
-
 def stability_objective(folds: DataFrame) -> DataFrame:
     """-(mean fold Sharpe - half its deviation) of each model; lower is better."""
     return folds.groupBy("symbol", "model").agg((-(F.avg("sharpe") - 0.5 * F.stddev_pop("sharpe"))).alias("objective"))
@@ -140,18 +95,35 @@ def signal_summary(signals: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("model")))
 
 
-def combine_members(points: DataFrame, weights: DataFrame, least_agreement: float = 0.6, band: float = 0.10) -> DataFrame:
-    """points(symbol, model, horizon, last_close, predicted_return) of several members to one path: weighted mean of the step's returns, 0
-    where too few agree on the sign, each step bounded by the step before. The path is a fold within the row."""
-    joined = points.join(weights, "model")
-    r, w = F.col("predicted_return"), F.col("weight")
-    up, down = F.count_if(r > 0), F.count_if(r < 0)
-    step = joined.groupBy("symbol", "horizon").agg(F.max("last_close").alias("last_close"), (F.sum(w * r) / F.nullif(F.sum(w), F.lit(0.0))).alias("mean"), (F.greatest(up, down) / F.count(F.lit(1))).alias("agreement"))
-    gated = F.when(F.col("agreement") >= least_agreement, F.coalesce("mean", F.lit(0.0))).otherwise(0.0)
-    rows = step.groupBy("symbol").agg(F.max("last_close").alias("last_close"), F.array_sort(F.collect_list(F.struct("horizon", gated.alias("r"), "agreement"))).alias("steps"))
-    path = F.aggregate("steps", F.array("last_close"), lambda p, x: F.concat(p, F.array(bounded(F.element_at(p, -1) * (1 + x["r"]), F.element_at(p, -1), band))))
-    out = rows.select("symbol", F.posexplode(F.arrays_zip(F.col("steps").alias("s"), F.slice(path, 2, F.size("steps")).alias("c"))).alias("i", "z"))
-    return out.select("symbol", F.col("z.s.horizon").alias("horizon"), F.col("z.s.agreement").alias("agreement"), F.col("z.c").alias("pred_close"))
+def combine_members(points: DataFrame, weights: DataFrame, gated: bool = False, least_agreement: float = 0.6, band: float = 0.10) -> DataFrame:
+    """points(symbol, model, horizon, last_close, bounded_close, predicted_return) of several members to one path, as long as the shortest.
+
+    A step's close is the mean of the members' bounded closes by weights(model, weight), negative ones as 0, equal where they sum to 0. If
+    gated, the close before stands where too few members agree on the sign of the return. Each step is bounded by the one before: a fold within
+    the row.
+    """
+    members = points.groupBy("symbol", "model").agg(F.count(F.lit(1)).alias("n")).join(weights, "model", "left")
+    own = Window.partitionBy("symbol")
+    w = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))
+    share = F.when(F.sum(w).over(own) > 0, w / F.sum(w).over(own)).otherwise(1 / F.count(F.lit(1)).over(own))
+    members = members.select("symbol", "model", share.alias("share"), F.min("n").over(own).alias("shortest"))
+    r = F.col("predicted_return")
+    joined = points.join(members, ["symbol", "model"]).where(F.col("horizon") <= F.col("shortest"))
+    agreement = F.greatest(F.count_if(r > 0), F.count_if(r < 0)) / F.count(F.lit(1))
+    step = joined.groupBy("symbol", "horizon").agg(F.sum(F.col("share") * F.col("bounded_close")).alias("mean"), agreement.alias("agreement"), F.max("last_close").alias("last_close"))
+    rows = step.groupBy("symbol").agg(F.max("last_close").alias("last_close"), F.array_sort(F.collect_list(F.struct("horizon", "mean", "agreement"))).alias("steps"))
+    start = F.array(F.struct(F.col("last_close").alias("raw"), F.col("last_close").alias("close")))
+
+    def move(path: Column, x: Column) -> Column:
+        before = F.element_at(path, -1)["close"]
+        raw = F.when(F.lit(gated) & (x["agreement"] < least_agreement), before).otherwise(x["mean"])
+        return F.concat(path, F.array(F.struct(raw.alias("raw"), bounded(raw, before, band).alias("close"))))
+
+    path = F.aggregate("steps", start, move)
+    out = rows.select("symbol", F.posexplode(F.arrays_zip(F.col("steps").alias("s"), F.slice(path, 2, F.size("steps")).alias("c"), F.slice(path, 1, F.size("steps")).alias("b"))).alias("i", "z"))
+    return out.select(
+        "symbol", F.col("z.s.horizon").alias("horizon"), F.col("z.s.agreement").alias("agreement"), F.col("z.c.raw").alias("raw_close"), F.col("z.c.close").alias("pred_close"), (F.col("z.c.close") / F.col("z.b.close") - 1).alias("predicted_return")
+    )
 
 
 def choose_forecaster(experiments: DataFrame, baselines: list[str]) -> DataFrame:
@@ -163,6 +135,13 @@ def choose_forecaster(experiments: DataFrame, baselines: list[str]) -> DataFrame
     return per.select("symbol", "best", F.coalesce("trainable", "best").alias("chosen"), (F.col("best").isin(baselines) & F.col("trainable").isNotNull()).alias("replaced"))
 
 
+def realized_volatility(bars: DataFrame, n: int = 20) -> DataFrame:
+    """symbol, vol20: the population deviation of the last n log returns; 0 for symbols of n closes or fewer."""
+    newest = Window.partitionBy("symbol").orderBy(F.desc("Date"))
+    rows = bars.where("Close is not null").withColumns({"k": F.row_number().over(newest), "r": F.log(F.col("Close") / F.lead("Close").over(newest)), "m": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    return rows.where(F.col("k") <= n).groupBy("symbol").agg(F.when(F.max("m") > n, F.stddev_pop("r")).otherwise(0.0).alias("vol20"))
+
+
 def forecast_runs(points: DataFrame, volatility: DataFrame, cost: float = 0.003) -> DataFrame:
     """points(symbol, horizon, last_close, pred_close): one saved run a symbol, with the whole path's return, its threshold and label."""
     end = points.groupBy("symbol").agg(F.max("horizon").alias("steps"), (F.max_by("pred_close", "horizon") / F.max("last_close") - 1).alias("path_return"))
@@ -178,9 +157,17 @@ def history(resolved: DataFrame, limit: int) -> DataFrame:
     return runs.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("run")))).where(F.col("k") <= limit)
 
 
-def rolling_accuracy(resolved: DataFrame, days: int = 60, least: float = 50.0) -> DataFrame:
-    """Accuracy of the points of each symbol's last days, and whether it fell below the limit."""
-    last = F.max("target_date").over(Window.partitionBy("symbol"))
-    recent = resolved.withColumn("_l", last).where(F.datediff("_l", "target_date") < days)
-    out = recent.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (100 * F.avg(F.col("direction_correct").cast("double"))).alias("dir_acc"), F.avg("abs_error").alias("mae"))
-    return out.withColumn("degraded", F.col("dir_acc") < least)
+def rolling_accuracy(runs: DataFrame, resolved: DataFrame, now: Column, days: int = 60, least: float = 50.0) -> DataFrame:
+    """Accuracy of each symbol's points resolved within so many days before now, over all its runs, and its status: degraded below the limit,
+    healthy otherwise, also where nothing is resolved. runs(symbol, run, run_at), resolved(symbol, resolved_at, direction_correct, abs_error)."""
+    recent = resolved.where(F.col("resolved_at") >= F.date_sub(now, days))
+    found = recent.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (100 * F.avg(F.col("direction_correct").cast("double"))).alias("dir_acc"), F.avg("abs_error").alias("mae"))
+    out = runs.select("symbol").distinct().join(found, "symbol", "left")
+    return out.withColumns({"n": F.coalesce("n", F.lit(0)), "status": F.when(F.col("dir_acc") < least, "degraded").otherwise("healthy")})
+
+
+def mark_degraded(runs: DataFrame, accuracy: DataFrame) -> DataFrame:
+    """runs with live_status degraded on the newest run of each degraded symbol."""
+    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("run_at"), F.desc("run")))
+    out = runs.withColumn("_k", newest).join(accuracy.select("symbol", "status"), "symbol", "left")
+    return out.withColumn("live_status", F.when((F.col("_k") == 1) & (F.col("status") == "degraded"), "degraded").otherwise("healthy")).drop("_k", "status")

@@ -57,21 +57,6 @@ def leaderboard(experiments: DataFrame, n: int) -> DataFrame:
     return experiments.orderBy(F.desc_nulls_last("composite"), "symbol", "model").limit(n)
 
 
-def reliability(rows: DataFrame) -> DataFrame:
-    """Class of a leaderboard row by trades, excess return and gap to the holdout."""
-    ok_trades = F.col("trade_count").between(8, 20)
-    label = F.when(F.col("composite").isNull(), "unknown").when(ok_trades & (F.col("excess") > 0) & (F.abs("holdout_gap") < 10), "reliable").when(F.col("excess") > 0, "candidate").otherwise("weak")
-    return rows.withColumn("reliability", label)
-
-
-def confidence(rows: DataFrame) -> DataFrame:
-    """Hard blocks in order, soft reasons cap at medium, high needs all of its limits."""
-    hard = F.when(F.col("stale"), "stale_data").when(F.col("dir_acc") < 50, "below_chance").when(F.col("rmse_ratio") > 1.05, "worse_than_benchmark")
-    soft = F.array_compact(F.array(F.when(F.col("trade_count") < 8, F.lit("few_trades")), F.when(F.col("agreement") < 5 / 7, F.lit("models_disagree"))))
-    high = (F.col("dir_acc") >= 55) & (F.col("stability_score") >= 0.5) & (F.col("rmse_ratio") < 1) & (F.size("soft_reasons") == 0)
-    return rows.withColumns({"block": hard, "soft_reasons": soft}).withColumn("confidence", F.when(F.col("block").isNotNull(), "low").when(high, "high").otherwise("medium"))
-
-
 def trend_tendency(peers: DataFrame, high: float = 70.0, low: float = 30.0, min_universe: int = 15) -> DataFrame:
     """Quintile of the percentile, its calibrated chance of a rise and expected return, and a band label; none in a thin universe."""
     p = F.col("peer_percentile")

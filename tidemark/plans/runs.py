@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as B
 from tidemark.operators import ensembles as E
 from tidemark.operators import features as X
 from tidemark.operators import forecasts as K
+from tidemark.operators import leaderboard as Z
 from tidemark.operators import macro as A
 from tidemark.operators import quality as Q
 from tidemark.operators import runs as R
@@ -20,7 +23,7 @@ from tidemark.plans.selections import COLUMNS, SPLIT, contributions_rows, experi
 from tidemark.plans.series import gated, over
 from tidemark.plans.serving import POINTS, RESOLVED, points, resolved
 from tidemark.session import table
-from tidemark.sources.bars import calendar, table_bars
+from tidemark.sources.bars import calendar, latest_rows, table_bars
 
 P = "PARTITION BY symbol ORDER BY dt"
 SM = "PARTITION BY symbol, model ORDER BY dt"
@@ -52,18 +55,52 @@ MONTHS = "m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS dt, avg
 
 
 def universe(s, d):
-    """Supplier nations as a universe of symbols beside the brands: every second brand, and some names that have no bars."""
-    brands = sectors(s, d).where("substr(symbol, -1, 1) in ('1', '3', '5')").select("symbol", "sector")
-    return brands.union(table(s, d, "nation").select(F.concat(F.lit("N_"), "n_name"), F.lit(None).cast("string")))
+    """Brands and their most frequent type as a universe (some without a sector, one a listing short), and nations, which have no bars."""
+    brands = sectors(s, d).where("substr(symbol, -1, 1) in ('1', '3', '5')").select(
+        "symbol", F.when(F.substring("symbol", -1, 1) != "5", F.col("sector")).alias("sector"), F.concat(F.lit(" "), F.lower("sector"), F.lit(".is")).alias("sector_index")
+    )
+    return brands.union(table(s, d, "nation").select(F.concat(F.lit("N_"), "n_name"), F.lit(None).cast("string"), F.lit(None).cast("string")))
 
 
-UNIVERSE = f"""{SECTORS}, uni AS (SELECT symbol, sector FROM sectors WHERE right(symbol, 1) IN ('1', '3', '5') UNION ALL SELECT 'N_' || n_name, NULL FROM nation)"""
+UNIVERSE = f"""{SECTORS}, uni AS (SELECT symbol, CASE WHEN right(symbol, 1) <> '5' THEN sector END AS sector, ' ' || lower(sector) || '.is' AS sector_index FROM sectors WHERE right(symbol, 1) IN ('1', '3', '5')
+UNION ALL SELECT 'N_' || n_name, NULL, NULL FROM nation)"""
 
 
 def members(s, d):
-    """Five steps of each model: its newest prediction, shrinking with the horizon."""
+    """Steps of each model: its newest prediction, shrinking with the horizon; momentum gives four, reversal five."""
     last = model_rows(s, d).groupBy("symbol", "model").agg(F.max_by("y_pred", "Date").alias("p"), F.max_by("Close", "Date").alias("last_close"))
-    return last.select("symbol", "model", "last_close", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("horizon"), "p").withColumn("predicted_return", F.col("p") / F.col("horizon"))
+    steps = F.when(F.col("model") == "momentum", 4).otherwise(5)
+    out = last.select("symbol", "model", "last_close", F.explode(F.sequence(F.lit(1), steps)).alias("horizon"), "p").withColumn("predicted_return", F.col("p") / F.col("horizon"))
+    return out.withColumn("bounded_close", F.col("last_close") * (1 + F.greatest(F.lit(-0.05), F.least(F.lit(0.05), F.col("predicted_return")))))
+
+
+RUN_DATES = ("1999-03-01", "1999-06-01", "1999-09-01")
+
+
+def dated_points(s, d):
+    """Points of three runs of each symbol, a quarter apart, each from the last bar before its date."""
+    out = None
+    bars = table_bars(s, d)
+    days = bars.select("Date").distinct()
+    for k, day in enumerate(RUN_DATES, 1):
+        last = latest_rows(bars.where(F.col("Date") < day))
+        part = K.forecast_points(last, K.next_days(last, days, 5), 0.01).withColumns({"run": F.lit(k), "run_at": F.lit(day).cast("date")})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def dated_runs(s, d):
+    """The resolved points of each run, resolved on their own day."""
+    parts = [K.resolve(dated_points(s, d).where(F.col("run") == k), table_bars(s, d)) for k in range(1, len(RUN_DATES) + 1)]
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("resolved_at", F.col("target_date"))
+
+
+DATED = f"""{BARS}, cut AS (SELECT * FROM (VALUES {", ".join(f"({k}, DATE '{day}')" for k, day in enumerate(RUN_DATES, 1))}) AS t(run, run_at)), days AS (SELECT dt, row_number() OVER (ORDER BY dt) AS place FROM (SELECT DISTINCT dt FROM bars)),
+lastb AS (SELECT symbol, run, run_at, max(dt) AS last_date, arg_max(c, dt) AS last_close FROM bars JOIN cut ON dt < run_at GROUP BY 1, 2, 3),
+pts AS (SELECT symbol, run, run_at, last_close, CAST(d2.place - d1.place AS INT) AS horizon, d2.dt AS target_date, last_close * power(1.01, d2.place - d1.place) AS pred FROM lastb JOIN days d1 ON d1.dt = last_date JOIN days d2 ON d2.place > d1.place AND d2.place <= d1.place + 5),
+j AS (SELECT pts.*, bars.c AS actual FROM pts LEFT JOIN bars ON bars.symbol = pts.symbol AND bars.dt = target_date),
+r AS (SELECT *, min(CASE WHEN actual IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, run ORDER BY horizon ROWS UNBOUNDED PRECEDING) AS ok, coalesce(lag(actual) OVER (PARTITION BY symbol, run ORDER BY horizon), last_close) AS before FROM j),
+res AS (SELECT *, abs(pred - actual) AS abs_error, sign(actual - before) = 1 AS up FROM r WHERE ok = 1)"""
 
 
 def scaled_rows(s, d):
@@ -72,14 +109,30 @@ def scaled_rows(s, d):
 
 
 def run_table(s, d):
-    """Years as runs, with the backtest of the whole series as the run's returns."""
-    whole = curve(s, d).withColumn("run", F.year("Date")).groupBy("symbol", "model", "run").agg(F.sum("net_return").alias("total_return"), F.sum("realized_return").alias("buyhold_return"), F.sum("entry").alias("trade_count"))
-    return R.run_rows(scored(s, d, "fold").withColumnRenamed("fold", "run").join(whole, ["symbol", "model", "run"]))
+    """Years as runs: the first eight months as walk-forward, the last four as final holdout; history up to the year's last bar."""
+    first, year = F.month("Date") <= 8, F.year("Date")
+    def sum_of(c, early):
+        return F.sum(F.when(first if early else ~first, F.col(c)))
+    c = curve(s, d)
+    late = F.when(~first, F.col("net_return"))
+    out = c.groupBy("symbol", "model", year.cast("string").alias("run_id")).agg(
+        sum_of("net_return", True).alias("wf_net"), sum_of("net_return", False).alias("final_net"), sum_of("realized_return", False).alias("final_buyhold"), sum_of("entry", False).alias("final_trades"),
+        (F.avg(late) / F.nullif(F.stddev_pop(late), F.lit(0.0)) * 252**0.5).alias("final_sharpe"), F.max("Date").alias("last"),
+    )
+    begun = table_bars(s, d).groupBy("symbol").agg(F.min("Date").alias("begin"))
+    out = out.join(begun, "symbol").join(sectors(s, d), "symbol").withColumn("missing", F.when(F.col("final_net").isNull(), "final_holdout_model_row"))
+    return Z.run_rows(out.withColumn("history_bucket", Z.history_bucket(F.datediff("last", "begin") / 365.25, long_years=4.0, short_years=2.0)))
+
+
+RUNS = f"""WITH {POSITIONS}, {SECTORS}, w AS (SELECT symbol, model, CAST(year(dt) AS VARCHAR) AS run_id, sum(CASE WHEN month(dt) <= 8 THEN net END) AS wf, sum(CASE WHEN month(dt) > 8 THEN net END) AS fn, sum(CASE WHEN month(dt) > 8 THEN rr END) AS bh,
+  sum(CASE WHEN month(dt) > 8 THEN entry END)::DOUBLE AS tc, avg(CASE WHEN month(dt) > 8 THEN net END) / nullif(stddev_pop(CASE WHEN month(dt) > 8 THEN net END), 0) AS sh, max(dt) AS last FROM eq GROUP BY 1, 2, 3),
+h AS (SELECT symbol, min(dt) AS begin FROM bars GROUP BY 1),
+x AS (SELECT w.*, sector, wf - fn AS gap, fn - bh AS excess, date_diff('day', begin, last) / 365.25 AS y FROM w JOIN h USING (symbol) JOIN sectors USING (symbol)),
+rb AS (SELECT *, CASE WHEN y >= 4 THEN 'long_history' WHEN y >= 2 THEN 'mid_history' ELSE 'short_history' END AS history_bucket, CASE WHEN fn IS NULL THEN 'incomplete' WHEN (tc <= 1 AND abs(excess) <= 0.001) OR tc < 2 THEN 'invalid'
+  WHEN tc BETWEEN 8 AND 20 AND excess > 0 AND wf > 0 THEN 'stable' WHEN wf > 0 AND (fn <= 0 OR gap >= 0.25) THEN 'unstable' WHEN tc BETWEEN 8 AND 20 AND fn >= 0 AND sh > 0 AND excess <= 0 THEN 'defensive' ELSE 'research_candidate' END AS reliability FROM x)"""
+CLASS_COUNTS = ", ".join(f"count(*) FILTER (reliability = '{c}') AS {c}_count" for c in Z.CLASSES)
 
 
-RUNS = f"""{scored_sql('fold')}, {POSITIONS.removeprefix(MODELS).lstrip(', ')}, w AS (SELECT symbol, model, CAST(year(dt) AS INT) AS fold, sum(net) AS tr, sum(rr) AS bh, CAST(sum(entry) AS BIGINT) AS trade_count FROM eq GROUP BY 1, 2, 3),
-x AS (SELECT c.symbol, c.model, fold AS run, composite, tr - bh AS excess, trade_count, c.rr = 1 AS clone, CASE WHEN trade_count < 8 THEN 'few' WHEN trade_count <= 20 THEN 'band' ELSE 'many' END AS trade_band FROM c JOIN w USING (symbol, model, fold)),
-rb AS (SELECT *, CASE WHEN clone THEN 'benchmark' WHEN trade_band = 'band' AND excess > 0 AND composite >= 50 THEN 'reliable' WHEN excess > 0 THEN 'candidate' ELSE 'weak' END AS reliability FROM x)"""
 TICK = "CASE WHEN {0} < 20 THEN 0.01 WHEN {0} < 50 THEN 0.02 WHEN {0} < 100 THEN 0.05 WHEN {0} < 250 THEN 0.1 WHEN {0} < 500 THEN 0.25 WHEN {0} < 1000 THEN 0.5 WHEN {0} < 2500 THEN 1.0 ELSE 2.5 END"
 
 def on_tick(x: str, how: str) -> str:
@@ -104,9 +157,11 @@ PLANS = {
         f"""WITH {BARS} SELECT symbol, bool_or(abs(logret) >= 0.3 AND dt >= DATE '2001-12-31' - 120) IS TRUE AS anomaly FROM rets GROUP BY symbol""",
     ),
     "b13_universe_check": (
-        lambda s, d: rounded(R.universe_check(table_bars(s, d), universe(s, d), 6)),
-        f"""WITH {BARS}, {UNIVERSE}, sp AS (SELECT symbol, min(dt) AS f, max(dt) AS l FROM bars GROUP BY symbol), h AS (SELECT uni.symbol, sector, f, l, date_diff('day', f, l) / 365.25 AS y FROM uni LEFT JOIN sp USING (symbol))
-        SELECT symbol, sector, f AS first_date, l AS last_date, round(y, 6) AS history_years, f IS NOT NULL AS present, CASE WHEN y IS NULL THEN 'missing' WHEN y >= 10 THEN 'long' WHEN y >= 5 THEN 'mid' ELSE 'short' END AS bucket, coalesce(y >= 6, false) AS long_enough FROM h""",
+        lambda s, d: rounded(Z.universe_check(table_bars(s, d), universe(s, d), 6.8, 5)),
+        f"""WITH {BARS}, {UNIVERSE}, sp AS (SELECT upper(symbol) AS symbol, min(dt) AS f, max(dt) AS l FROM bars GROUP BY 1), h AS (SELECT upper(uni.symbol) AS symbol, coalesce(sector, nullif(trim(sector_index), '')) AS sector, f, l, round(date_diff('day', f, l) / 365.25, 4) AS y FROM uni LEFT JOIN sp ON upper(uni.symbol) = sp.symbol),
+        b AS (SELECT *, CASE WHEN y IS NULL THEN 'missing_data' WHEN y >= 6.8 THEN 'long_history' WHEN y >= 5 THEN 'mid_history' ELSE 'short_history' END AS history_bucket FROM h)
+        SELECT symbol, sector, f AS first_date, l AS last_date, y AS history_years, f IS NOT NULL AS present, history_bucket, coalesce(y >= 6.8, false) AS long_enough,
+        CASE history_bucket {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Z.HISTORY_WARNINGS.items())} END AS data_history_warning FROM b""",
     ),
     "b16_target_session": (
         lambda s, d: R.target_session(table(s, d, "events").select("event_id", "ts"), calendar(s, "2023-12-01", "2024-03-01")).select("event_id", "Date"),
@@ -135,19 +190,22 @@ PLANS = {
         f'WITH {BARS} SELECT symbol, dt AS "Date", round(lead(c, 1) OVER w / c - 1, 6) AS target_1, round(lead(c, 5) OVER w / c - 1, 6) AS target_5 FROM bars WINDOW w AS ({P})',
     ),
     "c27_sector_mapping": (
-        lambda s, d: R.sector_mapping(universe(s, d), ["promo", "economy"], "MARKET"),
-        f"""WITH {UNIVERSE} SELECT symbol, sector, CASE WHEN upper(trim(sector)) IN ('PROMO', 'ECONOMY') THEN upper(trim(sector)) ELSE 'MARKET' END AS sector_index,
-        CASE WHEN sector IS NULL OR trim(sector) = '' THEN 'missing' WHEN upper(trim(sector)) IN ('PROMO', 'ECONOMY') THEN 'mapped' ELSE 'fallback' END AS status,
-        CASE WHEN sector IS NULL OR trim(sector) = '' THEN 'no_sector' WHEN upper(trim(sector)) NOT IN ('PROMO', 'ECONOMY') THEN 'unsupported_sector' END AS reason FROM uni""",
+        lambda s, d: Z.sector_mapping(sectors(s, d).select(F.concat(F.lit(" "), F.lower("symbol"), F.lit(".is")).alias("symbol")), universe(s, d), ["SMALL", "LARGE"], "MARKET"),
+        f"""WITH {UNIVERSE}, n AS (SELECT upper(symbol) AS symbol, sector, regexp_replace(upper(trim(sector_index)), '\\.IS$', '') AS i FROM uni), a AS (SELECT upper(sectors.symbol) AS symbol, n.sector, i, n.symbol IS NOT NULL AS found FROM sectors LEFT JOIN n ON n.symbol = upper(sectors.symbol)),
+        b AS (SELECT *, coalesce(i IN ('SMALL', 'LARGE'), false) AS ok FROM a)
+        SELECT symbol, sector, CASE WHEN ok THEN i ELSE 'MARKET' END AS sector_index, CASE WHEN ok THEN 'matched' ELSE 'fallback' END AS status,
+        CASE WHEN ok THEN '{Z.MATCHED}' WHEN found THEN '{Z.UNSUPPORTED}' ELSE '{Z.NOT_FOUND}' END AS reason, CASE WHEN ok THEN i ELSE 'MARKET' END || '_Return' AS return_column FROM b""",
     ),
     "c31_clip_warning": (
-        lambda s, d: rounded(R.clip_warning(scaled_rows(s, d), COLUMNS, 3.0)),
+        lambda s, d: rounded(R.clip_report(scaled_rows(s, d), COLUMNS).withColumns({c: F.col(c).cast("string") for c in ("scaler_fit_start", "scaler_fit_end", "test_start", "test_end")})),
         f"""WITH {PANEL}, t AS (SELECT *, CASE WHEN dt < DATE '{SPLIT}' THEN 'train' ELSE 'test' END AS role FROM panel), q AS (SELECT """
         + ", ".join(f"quantile_cont({c}, 0.5) AS {c}_m, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS {c}_i" for c in COLUMNS)
         + " FROM t WHERE role = 'train'), z AS ("
-        + " UNION ALL ".join(f"SELECT role, '{c}' AS feature, ({c} - {c}_m) / CASE WHEN {c}_i > 0 THEN {c}_i ELSE 1 END AS z FROM t, q WHERE {c} IS NOT NULL" for c in COLUMNS)
-        + """), r AS (SELECT feature, 100 * avg(CASE WHEN role = 'train' THEN CASE WHEN abs(z) >= 3 THEN 1.0 ELSE 0 END END) AS a, 100 * avg(CASE WHEN role = 'test' THEN CASE WHEN abs(z) >= 3 THEN 1.0 ELSE 0 END END) AS b FROM z GROUP BY feature)
-        SELECT feature, round(a, 6) AS train_rate, round(b, 6) AS test_rate, b >= 1 AND b > a AS warning FROM r""",
+        + " UNION ALL ".join(f"SELECT role, ({c} - {c}_m) / CASE WHEN {c}_i > 0 THEN {c}_i ELSE 1 END AS z FROM t, q WHERE {c} IS NOT NULL" for c in COLUMNS)
+        + """), r AS (SELECT 100 * avg(CASE WHEN role = 'train' THEN CASE WHEN abs(z) >= 5 THEN 1.0 ELSE 0 END END) AS a, 100 * avg(CASE WHEN role = 'test' THEN CASE WHEN abs(z) >= 5 THEN 1.0 ELSE 0 END END) AS b FROM z),
+        e AS (SELECT min(dt) FILTER (role = 'train') AS f0, max(dt) FILTER (role = 'train') AS f1, min(dt) FILTER (role = 'test') AS t0, max(dt) FILTER (role = 'test') AS t1 FROM t)
+        SELECT round(a, 6) AS train_clip_rate_pct, round(b, 6) AS test_clip_rate_pct, f0::VARCHAR AS scaler_fit_start, f1::VARCHAR AS scaler_fit_end, t0::VARCHAR AS test_start, t1::VARCHAR AS test_end, -5.0::DOUBLE AS clip_low, 5.0::DOUBLE AS clip_high,
+        CASE WHEN b >= 1 AND b > a THEN printf('distribution_shift_warning: test clip rate is high relative to train (%.3f%% vs %.3f%%).', b, a) ELSE '' END AS warning FROM r, e""",
     ),
     "c33_lookback_index": (
         lambda s, d: R.lookback_index(table_bars(s, d), 10),
@@ -164,18 +222,40 @@ PLANS = {
         SELECT symbol, role, dt AS "Date", CAST(rd AS VARCHAR) AS realized, round(c, 6) AS prev_close, round(y, 6) AS y FROM y WHERE rd IS NOT NULL""",
     ),
     "e20_run_rows": (
-        lambda s, d: rounded(run_table(s, d).select("symbol", "model", "run", "composite", "excess", "trade_band", "reliability")),
-        f"{RUNS} SELECT symbol, model, run, composite, round(excess, 6) AS excess, trade_band, reliability FROM rb",
+        lambda s, d: rounded(run_table(s, d).select("symbol", "model", "run_id", "gap", "excess", "enough_trades", "benchmark_clone", "complete", "reliability", "history_bucket", "prediction_rank", "trading_rank")),
+        f"""{RUNS}, k AS (SELECT symbol, model, run_id, rank() OVER (ORDER BY wf DESC NULLS LAST) AS p, rank() OVER (ORDER BY coalesce(excess, -1e9) * 1000 + fn DESC) AS t FROM rb WHERE fn IS NOT NULL)
+        SELECT symbol, model, run_id, round(gap, 6) AS gap, round(excess, 6) AS excess, coalesce(tc BETWEEN 8 AND 20, false) AS enough_trades, coalesce(tc <= 1 AND abs(excess) <= 0.001, false) AS benchmark_clone, fn IS NOT NULL AS complete, reliability, history_bucket,
+        CAST(p AS INT) AS prediction_rank, CAST(t AS INT) AS trading_rank FROM rb LEFT JOIN k USING (symbol, model, run_id)""",
+    ),
+    "e21_class_summary": (
+        lambda s, d: rounded(Z.class_summary(run_table(s, d), "sector")),
+        f"""{RUNS}, f AS (SELECT sector, string_agg(model || ':' || n, '|' ORDER BY model) AS families FROM (SELECT sector, model, count(*) AS n FROM rb GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
+        hb AS (SELECT sector, string_agg(history_bucket || ':' || n, '|' ORDER BY history_bucket) AS buckets FROM (SELECT sector, history_bucket, count(*) AS n FROM rb GROUP BY 1, 2) GROUP BY 1),
+        t AS (SELECT sector, arg_min(model, (-n, model)) AS top FROM (SELECT sector, model, count(*) AS n FROM rb GROUP BY 1, 2) GROUP BY 1),
+        g AS (SELECT sector, count(DISTINCT symbol) AS symbols, count(*) AS run_rows, {CLASS_COUNTS}, round(avg(CASE WHEN reliability IN ('incomplete', 'invalid') THEN 1.0 ELSE 0 END), 6) AS incomplete_invalid_rate, round(avg(gap), 6) AS mean_gap FROM rb GROUP BY 1)
+        SELECT g.*, families AS repeated_families, top AS top_family, buckets AS history_buckets FROM g JOIN f USING (sector) JOIN hb USING (sector) JOIN t USING (sector)""",
     ),
     "e22_history_summary": (
-        lambda s, d: rounded(R.history_summary(run_table(s, d).withColumn("bucket", F.col("trade_band")))),
-        f"""{RUNS} SELECT trade_band AS bucket, count(DISTINCT symbol) AS symbols, count(CASE WHEN reliability = 'benchmark' THEN 1 END) AS benchmark, count(CASE WHEN reliability = 'reliable' THEN 1 END) AS reliable,
-        count(CASE WHEN reliability = 'candidate' THEN 1 END) AS candidate, count(CASE WHEN reliability = 'weak' THEN 1 END) AS weak, round(avg(composite), 6) AS mean_composite FROM rb GROUP BY 1""",
+        lambda s, d: rounded(Z.class_summary(run_table(s, d), "history_bucket")),
+        f"""{RUNS}, f AS (SELECT history_bucket, string_agg(model || ':' || n, '|' ORDER BY model) AS families, arg_min(model, (-n, model)) AS top FROM (SELECT history_bucket, model, count(*) AS n FROM rb GROUP BY 1, 2) GROUP BY 1),
+        g AS (SELECT history_bucket, count(DISTINCT symbol) AS symbols, count(*) AS run_rows, {CLASS_COUNTS}, round(avg(CASE WHEN reliability IN ('incomplete', 'invalid') THEN 1.0 ELSE 0 END), 6) AS incomplete_invalid_rate, round(avg(gap), 6) AS mean_gap FROM rb GROUP BY 1)
+        SELECT g.*, families, top AS top_family FROM g JOIN f USING (history_bucket)""",
     ),
+    "e23_decision_report": (lambda s, d: s.createDataFrame([(Z.decision_report(run_table(s, d)),)], "report string"), None),
     "e25_newest_runs": (
-        lambda s, d: rounded(R.newest_runs(scored(s, d, "fold").withColumnRenamed("fold", "run"), 3)),
-        f"""{scored_sql('fold')}, k AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY fold DESC) AS k FROM c), g AS (SELECT symbol, model, count(DISTINCT fold) AS runs, max(composite) AS best, avg(composite) AS mean_composite FROM k WHERE k <= 3 GROUP BY 1, 2)
-        SELECT symbol, model, runs, round(best, 6) AS best, round(mean_composite, 6) AS mean_composite, CAST(row_number() OVER (PARTITION BY symbol ORDER BY mean_composite DESC NULLS LAST, model) AS INT) AS place FROM g""",
+        lambda s, d: rounded(Z.newest_runs(experiments(s, d).withColumns({"run_id": F.col("fold"), "stability": F.col("dir_acc") / 50 - 1}), 3)),
+        f"""{scored_sql('fold')}, lt AS (SELECT symbol, fold, max(trained_at) AS t FROM c GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC, fold DESC) AS k FROM lt),
+        g AS (SELECT symbol, model, count(*) AS run_count, avg(composite) AS a, avg(dir_acc) AS b, avg(sharpe) AS e, avg(dir_acc / 50 - 1) AS f, min(dir_acc / 50 - 1) AS h, count(*) FILTER (dir_acc / 50 - 1 >= 0) AS steady_runs FROM c JOIN k USING (symbol, fold) WHERE k <= 3 GROUP BY 1, 2)
+        SELECT symbol, model, run_count, round(a, 6) AS mean_composite, round(b, 6) AS mean_dir_acc, round(e, 6) AS mean_sharpe, round(f, 6) AS mean_stability, round(h, 6) AS min_stability, steady_runs, CAST(row_number() OVER (PARTITION BY symbol ORDER BY a DESC NULLS LAST, model) AS INT) AS place FROM g""",
+    ),
+    "e33_confidence": (
+        lambda s, d: Z.confidence(scored(s, d, "fold").withColumns({
+            "eligibility": F.when(F.col("fold") == 1996, "low_trades"), "stale": F.lit(None).cast("boolean"), "psi_high": F.col("neutral_rate") > 40, "corporate_action": F.lit(False), "degraded": F.col("sharpe") < 0,
+            "diagnosis": F.when(F.col("hit_rate") < 60, "ok, gate_too_strict"), "stability": F.col("dir_acc") / 50 - 1, "rolling_ratio": F.col("hit_rate") / 100, "agreement": F.lit(None).cast("double"), "regime_misaligned": F.col("fold") == 1997,
+        })).select("symbol", "model", "fold", "confidence", "block", F.concat_ws("|", "soft_reasons").alias("reasons")),
+        f"""{scored_sql('fold')}, hb AS (SELECT *, CASE WHEN fold = 1996 THEN 'eligibility' WHEN dir_acc < 50 THEN 'dir_acc' WHEN rr >= 1 THEN 'rmse_ratio' WHEN neutral_rate > 40 THEN 'psi' WHEN sharpe < 0 THEN 'degraded' END AS block,
+          concat_ws('|', CASE WHEN hit_rate < 60 THEN 'diagnosis: gate_too_strict' END, CASE WHEN dir_acc / 50 - 1 < -0.1 THEN 'stability' END, CASE WHEN hit_rate / 100 < 0.5 THEN 'rolling_ratio' END, CASE WHEN fold = 1997 THEN 'regime' END) AS reasons FROM c)
+        SELECT symbol, model, fold, CASE WHEN block IS NOT NULL THEN 'low' WHEN reasons = '' AND dir_acc >= 55 AND dir_acc / 50 - 1 >= 0.5 AND coalesce(rr < 1, true) THEN 'high' ELSE 'medium' END AS confidence, block, CASE WHEN block IS NULL THEN reasons ELSE '' END AS reasons FROM hb""",
     ),
     "e27_experiments": (
         lambda s, d: rounded(experiments(s, d).where("model = 'reversal'").orderBy(F.desc("trained_at"), "symbol").limit(50).select("symbol", "model", "fold", "composite")),
@@ -195,8 +275,9 @@ PLANS = {
         f"""WITH {BARS}, n AS (SELECT *, row_number() OVER ({P}) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM bars) SELECT symbol, CASE WHEN n - rn < 100 AND n - 100 >= 200 THEN 'holdout' ELSE 'selection' END AS role, count(*) AS n, min(dt) AS first_date FROM n GROUP BY 1, 2""",
     ),
     "g12_split_sets": (
-        lambda s, d: R.split_sets(fold_rows(s, d)),
-        f"""WITH {MODELS}, f AS (SELECT DISTINCT CAST(year(dt) AS INT) AS fold FROM models), k AS (SELECT fold, row_number() OVER (ORDER BY fold) AS k, count(*) OVER () AS n FROM f) SELECT fold, CASE WHEN k <= least(floor(n * 0.7), greatest(n - 3, 0)) THEN 'calibration' ELSE 'evaluation' END AS "set" FROM k""",
+        lambda s, d: Z.signal_sets(fold_rows(s, d)),
+        f"""WITH {MODELS}, f AS (SELECT DISTINCT CAST(year(dt) AS INT) AS fold FROM models), k AS (SELECT fold, row_number() OVER (ORDER BY fold) AS k, count(*) OVER () AS n FROM f)
+        SELECT fold, CASE WHEN n > 3 AND k <= greatest(1, least(floor(n * 0.7), n - 3)) THEN 'calibration' ELSE 'evaluation' END AS "set", CASE WHEN n <= 3 THEN 'skipped_insufficient_folds' ELSE 'applied' END AS status, n AS fold_count FROM k""",
     ),
     "g13_stability_objective": (
         lambda s, d: rounded(R.stability_objective(fold_rows(s, d))),
@@ -271,25 +352,44 @@ PLANS = {
         lambda s, d: rounded(K.carry_forward(table_bars(s, d).select(F.col("symbol").alias("series"), "Date", F.col("Close").alias("value")))),
         f"""WITH {BARS}, k AS (SELECT symbol, dt, c, c - lag(c) OVER ({P}) AS d, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS k FROM bars) SELECT symbol AS series, round(arg_max(c, dt) + coalesce(avg(d), 0), 6) AS next_value FROM k WHERE k < 20 GROUP BY symbol""",
     ),
-    "k8_combined_points": (lambda s, d: rounded(R.combine_members(members(s, d), E.weights(model_rows(s, d), "inverse_rmse"))), None),
+    "k8_combined_points": (
+        lambda s, d: rounded(R.combine_members(members(s, d), E.weights(model_rows(s, d), "inverse_rmse"), gated=True)),
+        f"""{WEIGHTS.replace('WITH', 'WITH RECURSIVE', 1)}, wt AS (SELECT model, (1 / rmse) / sum(1 / rmse) OVER () AS w FROM m), nw AS (SELECT symbol, model, arg_max(y_pred, dt) AS p, arg_max(c, dt) AS lc FROM models GROUP BY 1, 2),
+        st AS (SELECT symbol, model, lc, h, p / h AS r, lc * (1 + greatest(-0.05, least(0.05, p / h))) AS bc FROM nw, range(1, 5) AS t(h)),
+        ag AS (SELECT symbol, h, sum(w * bc) AS mean, greatest(count(*) FILTER (r > 0), count(*) FILTER (r < 0)) / 2.0 AS agreement, max(lc) AS lc FROM st JOIN wt USING (model) GROUP BY 1, 2),
+        path(symbol, h, agreement, raw, close, before) AS (
+          SELECT DISTINCT symbol, 0::BIGINT, NULL::DOUBLE, lc, lc, NULL::DOUBLE FROM ag
+          UNION ALL SELECT symbol, h, agreement, raw, greatest(low, least(high, {on_tick('q', 'nearest')})), before FROM (
+            SELECT *, greatest(low, least(high, raw)) AS q FROM (
+              SELECT *, {on_tick('lo', 'ceil')} AS low, {on_tick('hi', 'floor')} AS high FROM (
+                SELECT *, base * 0.9::DOUBLE AS lo, base * 1.1::DOUBLE AS hi FROM (
+                  SELECT ag.symbol, ag.h, ag.agreement, CASE WHEN ag.agreement < 0.6 THEN path.close ELSE ag.mean END AS raw, path.close AS before, {on_tick('path.close', 'nearest')} AS base FROM path JOIN ag ON ag.symbol = path.symbol AND ag.h = path.h + 1)))))
+        SELECT symbol, CAST(h AS INT) AS horizon, agreement, round(raw, 6) AS raw_close, round(close, 6) AS pred_close, round(close / before - 1, 6) AS predicted_return FROM path WHERE h > 0""",
+    ),
     "k9_forecaster": (
         lambda s, d: R.choose_forecaster(experiments(s, d), ["momentum"]),
         f"""{scored_sql('fold')}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY composite DESC NULLS LAST, trained_at DESC, model) AS k FROM c),
         p AS (SELECT symbol, arg_min(model, k) AS best, arg_min(model, k) FILTER (WHERE model <> 'momentum') AS t FROM k GROUP BY symbol) SELECT symbol, best, coalesce(t, best) AS chosen, best = 'momentum' AND t IS NOT NULL AS replaced FROM p""",
     ),
     "k10_forecast_runs": (
-        lambda s, d: rounded(R.forecast_runs(points(s, d), table_bars(s, d).where(F.col("Date") < "1999-06-01").withColumn("k", F.row_number().over(B.Window.partitionBy("symbol").orderBy(F.desc("Date")))).where("k <= 20").groupBy("symbol").agg((F.stddev_pop("Close") / F.avg("Close")).alias("vol20")))),
-        f"""WITH {POINTS}, e AS (SELECT symbol, max(horizon) AS steps, arg_max(pred, horizon) / max(last_close) - 1 AS path_return FROM pts GROUP BY symbol), k AS (SELECT symbol, c, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS k FROM bars WHERE dt < DATE '1999-06-01'),
-        v AS (SELECT symbol, stddev_pop(c) / avg(c) AS vol20 FROM k WHERE k <= 20 GROUP BY symbol), t AS (SELECT *, greatest(0.005, 0.003, 0.25 * vol20 * sqrt(steps)) AS threshold FROM e JOIN v USING (symbol))
+        lambda s, d: rounded(R.forecast_runs(points(s, d), R.realized_volatility(table_bars(s, d).where(F.col("Date") < "1999-06-01")))),
+        f"""WITH {POINTS}, e AS (SELECT symbol, max(horizon) AS steps, arg_max(pred, horizon) / max(last_close) - 1 AS path_return FROM pts GROUP BY symbol), k AS (SELECT symbol, ln(c / lag(c) OVER ({P})) AS r, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars WHERE dt < DATE '1999-06-01'),
+        v AS (SELECT symbol, CASE WHEN max(n) >= 21 THEN stddev_pop(r) ELSE 0 END AS vol20 FROM k WHERE k <= 20 GROUP BY symbol), t AS (SELECT *, greatest(0.005, 0.003, 0.25 * vol20 * sqrt(steps)) AS threshold FROM e JOIN v USING (symbol))
         SELECT symbol, steps, round(path_return, 6) AS path_return, round(vol20, 6) AS vol20, round(threshold, 6) AS threshold, CASE WHEN path_return > threshold THEN 'UP' WHEN path_return < -threshold THEN 'DOWN' ELSE 'FLAT' END AS label FROM t""",
     ),
     "k12_history": (
-        lambda s, d: rounded(R.history(resolved(s, d).withColumn("run", F.lit(1)), 1).select("symbol", "run", F.size("points").alias("n"), F.element_at("points", -1)["actual_close"].alias("last_actual"), "mae")),
-        f"WITH {RESOLVED} SELECT symbol, 1 AS run, CAST(count(*) AS INT) AS n, round(arg_max(actual, horizon), 6) AS last_actual, round(avg(abs_error), 6) AS mae FROM res GROUP BY symbol",
+        lambda s, d: rounded(R.history(dated_runs(s, d), 2).select("symbol", "run", F.size("points").alias("n"), F.element_at("points", -1)["actual_close"].alias("last_actual"), "mae", "dir_acc", F.col("k").alias("place"))),
+        f"""WITH {DATED}, g AS (SELECT symbol, run, CAST(count(*) AS INT) AS n, arg_max(actual, horizon) AS a, avg(abs_error) AS mae, 100 * avg(CASE WHEN up THEN 1.0 ELSE 0 END) AS dir_acc FROM res GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY run DESC) AS INT) AS place FROM g)
+        SELECT symbol, run, n, round(a, 6) AS last_actual, round(mae, 6) AS mae, round(dir_acc, 6) AS dir_acc, place FROM k WHERE place <= 2""",
     ),
     "k15_rolling_accuracy": (
-        lambda s, d: rounded(R.rolling_accuracy(resolved(s, d))),
-        f"""WITH {RESOLVED}, l AS (SELECT *, max(target_date) OVER (PARTITION BY symbol) AS l FROM res), g AS (SELECT symbol, count(*) AS n, 100 * avg(CASE WHEN up THEN 1.0 ELSE 0 END) AS dir_acc, avg(abs_error) AS mae FROM l WHERE date_diff('day', target_date, l) < 60 GROUP BY symbol)
-        SELECT symbol, n, round(dir_acc, 6) AS dir_acc, round(mae, 6) AS mae, dir_acc < 50 AS degraded FROM g""",
+        lambda s, d: rounded(R.rolling_accuracy(dated_points(s, d).select("symbol", "run", "run_at").distinct(), dated_runs(s, d), F.lit("1999-08-04").cast("date"), 60)),
+        f"""WITH {DATED}, g AS (SELECT symbol, count(*) AS n, 100 * avg(CASE WHEN up THEN 1.0 ELSE 0 END) AS dir_acc, avg(abs_error) AS mae FROM res WHERE target_date >= DATE '1999-08-04' - 60 GROUP BY symbol)
+        SELECT p.symbol, coalesce(n, 0) AS n, round(dir_acc, 6) AS dir_acc, round(mae, 6) AS mae, CASE WHEN dir_acc < 50 THEN 'degraded' ELSE 'healthy' END AS status FROM (SELECT DISTINCT symbol FROM pts) p LEFT JOIN g USING (symbol)""",
+    ),
+    "k15_marked_runs": (
+        lambda s, d: R.mark_degraded(dated_points(s, d).select("symbol", "run", "run_at").distinct(), R.rolling_accuracy(dated_points(s, d), dated_runs(s, d), F.lit("1999-08-04").cast("date"), 60)).select("symbol", "run", "live_status"),
+        f"""WITH {DATED}, g AS (SELECT symbol, 100 * avg(CASE WHEN up THEN 1.0 ELSE 0 END) AS dir_acc FROM res WHERE target_date >= DATE '1999-08-04' - 60 GROUP BY symbol), n AS (SELECT symbol, max(run) AS newest FROM pts GROUP BY 1)
+        SELECT DISTINCT pts.symbol, run, CASE WHEN run = newest AND dir_acc < 50 THEN 'degraded' ELSE 'healthy' END AS live_status FROM pts JOIN n USING (symbol) LEFT JOIN g USING (symbol)""",
     ),
 }
