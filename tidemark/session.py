@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,21 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the cluster's shared folder (spark.checkpoint.dir). A local session that names none gets a temporary one; a cluster without
+    it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        base = _OWN[application]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
