@@ -61,6 +61,16 @@ def attach_backtest(metrics: DataFrame, summary: DataFrame) -> DataFrame:
     return metrics.join(summary.select("symbol", "model", "total_return", "buyhold_return", "max_drawdown", "trade_count", "win_rate"), ["symbol", "model"], "left")
 
 
+def horizon_metrics(rows: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """Error and direction of y_pred against target_<h> of each horizon, by symbol and model."""
+    pairs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"target_{h}").alias("y")) for h in horizons])
+    long = rows.select("symbol", "model", "y_pred", F.explode(pairs).alias("x")).select("symbol", "model", "y_pred", "x.*").where("y is not null")
+    e = F.col("y_pred") - F.col("y")
+    return long.groupBy("symbol", "model", "horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (100 * F.avg((F.signum("y_pred") == F.signum("y")).cast("double"))).alias("dir_acc")
+    )
+
+
 def stability_objective(folds: DataFrame) -> DataFrame:
     """-(mean fold Sharpe - half its deviation) of each model; lower is better."""
     return folds.groupBy("symbol", "model").agg((-(F.avg("sharpe") - 0.5 * F.stddev_pop("sharpe"))).alias("objective"))

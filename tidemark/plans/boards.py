@@ -131,7 +131,12 @@ PLANS = {
         f"""WITH {MODELS}, q AS (SELECT symbol, quantile_cont(y_true - y_pred, [0.1, 0.5, 0.9]) AS q FROM models WHERE model = 'reversal' AND dt < DATE '1999-01-01' GROUP BY symbol)
         SELECT symbol, dt AS "Date", round(y_pred + q[1], 6) AS q_10, round(y_pred + q[2], 6) AS q_50, round(y_pred + q[3], 6) AS q_90 FROM models JOIN q USING (symbol) WHERE model = 'reversal' AND dt >= DATE '1999-01-01'""",
     ),
-    "j13_stacker_weights": (lambda s, d: rounded(T.stacker_weights(model_rows(s, d), ["momentum", "reversal"])), None),
+    "j13_stacker_weights": (
+        lambda s, d: rounded(T.stacker_weights(model_rows(s, d), ["momentum", "reversal"])),
+        f"""WITH {MODELS}, w AS (SELECT symbol, dt, max(CASE WHEN model = 'momentum' THEN y_pred END) AS x, max(CASE WHEN model = 'reversal' THEN y_pred END) AS z, max(y_true) AS y FROM models GROUP BY 1, 2),
+        g AS (SELECT sum(x * x) + 1 AS a, sum(x * z) AS b, sum(z * z) + 1 AS c, sum(x * y) AS p, sum(z * y) AS q FROM w), s AS (SELECT greatest(0, (p * c - q * b) / (a * c - b * b)) AS m, greatest(0, (q * a - p * b) / (a * c - b * b)) AS r FROM g)
+        SELECT 'momentum' AS model, round(CASE WHEN m + r > 0 THEN m / (m + r) ELSE 0.5 END, 6) AS weight FROM s UNION ALL SELECT 'reversal', round(CASE WHEN m + r > 0 THEN r / (m + r) ELSE 0.5 END, 6) FROM s""",
+    ),
     "l8_pivot": (
         lambda s, d: rounded(fold_rows(s, d).groupBy("fold").pivot("model", ["momentum", "reversal"]).agg(F.avg("dir_acc"))),
         f"""WITH {MODELS}, m AS (SELECT symbol, model, CAST(year(dt) AS INT) AS fold, 100 * avg(CASE WHEN sign(y_pred) = sign(y_true) THEN 1.0 ELSE 0 END) AS a FROM models GROUP BY 1, 2, 3)

@@ -109,3 +109,26 @@ def calendar(spark: SparkSession, start: str, end: str, holidays: DataFrame | No
         over = overrides.select("Date", F.col("Is_Trading_Day").alias("_t"), F.col("Note").alias("_m"))
         out = out.join(over, "Date", "left").select("Date", F.coalesce("_t", "Is_Trading_Day").alias("Is_Trading_Day"), F.coalesce("_m", "Note").alias("Note"))
     return out
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report as text columns, whether its separator is a semicolon or a comma, with or without a byte order mark. The header says which."""
+    first = spark.read.text(path).limit(1).collect()
+    sep = ";" if first and ";" in first[0][0] else ","
+    df = spark.read.option("header", True).option("sep", sep).csv(path)
+    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+
+
+#: Names under which date and close are found, in order of preference, whatever their case.
+DATE_NAMES, CLOSE_NAMES = ("date", "tarih"), ("close", "kapanış", "kapanis", "adj_close", "adj close")
+
+
+def close_series(raw: DataFrame) -> DataFrame:
+    """Date and Close of a table whose columns have one of the known names; rows without a date or a close go."""
+    by = {c.strip().lower(): c for c in reversed(raw.columns)}
+    found = [next((by[n] for n in names if n in by), None) for names in (DATE_NAMES, CLOSE_NAMES)]
+    if None in found:
+        raise ValueError(f"no {'date' if found[0] is None else 'close'} among {raw.columns}")
+    kinds = dict(raw.dtypes)
+    day = F.col(f"`{found[0]}`") if kinds[found[0]] == "date" else parse_dates(F.col(f"`{found[0]}`").cast("string"))
+    return raw.select(day.alias("Date"), F.col(f"`{found[1]}`").try_cast("double").alias("Close")).where("Date is not null and Close is not null")
