@@ -118,11 +118,11 @@ def causal_columns(bars: DataFrame, h: int = 5, n: int = 63, least: int = 5) ->
     ).drop("_turnover")
 
 
-def targets(bars: DataFrame, mode: str = "log_return", horizons: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
-    """One target a horizon: price, return or log_return."""
+def targets(bars: DataFrame, mode: str = "log_return", horizons: tuple[int, ...] = (1, 3, 5, 10), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One target a horizon over each series of the keys: price, return or log_return."""
     if bad := [h for h in horizons if h <= 0]:
         raise ValueError(f"horizons must be positive: {bad}")
-    later = {h: F.lead("Close", h).over(over_time()) for h in horizons}
+    later = {h: F.lead("Close", h).over(over_time(*keys)) for h in horizons}
     form = {"price": lambda x: x, "return": lambda x: ratio(x, F.col("Close")) - 1, "log_return": lambda x: F.log(ratio(x, F.col("Close")))}[mode]
     return bars.withColumns({f"target_{h}": form(x) for h, x in later.items()})
 

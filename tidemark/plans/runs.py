@@ -284,7 +284,7 @@ PLANS = {
         f"WITH {MODELS}, m AS (SELECT symbol, model, CAST(year(dt) AS INT) AS fold, {FORECAST} FROM models GROUP BY 1, 2, 3) SELECT symbol, model, round(-(avg(sharpe) - 0.5 * stddev_pop(sharpe)), 6) AS objective FROM m GROUP BY 1, 2",
     ),
     "g15_horizons": (
-        lambda s, d: rounded(R.horizon_metrics(X.targets(model_rows(s, d), "return", (1, 3, 5)), (1, 3, 5))),
+        lambda s, d: rounded(R.horizon_metrics(X.targets(model_rows(s, d), "return", (1, 3, 5), ("symbol", "model")), (1, 3, 5))),
         f"""WITH {MODELS}, t AS (SELECT symbol, model, y_pred, unnest([1, 3, 5]) AS horizon, unnest([lead(c, 1) OVER w / c - 1, lead(c, 3) OVER w / c - 1, lead(c, 5) OVER w / c - 1]) AS y FROM models WINDOW w AS ({SM}))
         SELECT symbol, model, horizon, count(*) AS n, round(sqrt(avg((y_pred - y) ** 2)), 6) AS rmse, round(avg(abs(y_pred - y)), 6) AS mae, round(100 * avg(CASE WHEN sign(y_pred) = sign(y) THEN 1.0 ELSE 0 END), 6) AS dir_acc FROM t WHERE y IS NOT NULL GROUP BY 1, 2, 3""",
     ),
