@@ -308,3 +308,18 @@ def test_hard_negatives(spark, monkeypatch, block):
         assert hn.hard_negatives(hn.integer_rows(df.where("vec_id = 7700")), F.col("vec_id") % 100 == 0).count() == 0
         with pytest.raises(ArithmeticError):
             hn.hard_negatives(hn.integer_rows(df.withColumn("embedding", F.array(F.lit(1e7)))), F.col("vec_id") % 100 == 0)
+
+
+def test_word_encoder_is_the_library():
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import token_tables
+
+    path = default_path("word_bpe_49k.json")
+    t, encoder = Tokenizer.from_file(path), token_tables.WordTokenizer(path)
+    assert encoder.by_piece
+    r = random.Random(11)
+    signs = "aeIİiS'sd\n\t.!?,éΣσ日語\u0327\u0307\u0301 ßǅ'll 12½<|endoftext|>"
+    texts = ["\u0130\u0327", "I\u0327\u0307", "", *("".join(r.choices(signs, k=r.randint(1, 40))) for _ in range(6000))]
+    got = encoder.encode(texts)
+    assert [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]

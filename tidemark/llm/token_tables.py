@@ -40,6 +40,8 @@ RESTART, BLOCK_BYTES, SHARD_BYTES = 16, 64 << 10, 32 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Pieces that a task remembers at most before it forgets them; results do not depend on it.
 MAX_PIECES = 800_000
+#: The pre-tokenizer's pattern of the files that are cut here, a fixed value of the format; files with another one go to the library.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Lower-case text that has none of these takes the quicker form of the pre-tokenizer's pattern, equal for what is left of Latin-1.
 ODD = re.compile(r"[^\t\n\r\x20-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\xff]")
 LATIN = re.compile(r"[a-z\xb5\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|\d|[^\sa-z0-9\xb5\xdf-\xf6\xf8-\xff]+")
@@ -220,9 +222,12 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        normal = (spec["normalizer"] or {}).get("normalizers", [])
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.by_piece = normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in splits] == ["Split", "ByteLevel"] and splits[0]["invert"]
+        self.by_piece = (
+            [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+            and [p["type"] for p in splits] == ["Split", "ByteLevel"] and splits[0]["invert"] and splits[0]["pattern"] == {"Regex": PATTERN}
+        )
         if self.by_piece:
             self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -232,13 +237,15 @@ class WordTokenizer:
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text, normalised; None if only the library can tell, for a special token's string."""
+        """The pieces of a text, normalised; None if only the library can tell: for a special token's string, and where lower case is no longer
+        composed, since the library would compose the piece again."""
         if "<|" in text and any(s in text for s in self.special):
             return None
         low = text.lower()
         if not ODD.search(low):
             return LATIN.findall(low)
-        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return self.pattern.findall(low) if unicodedata.is_normalized("NFC", low) else None
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if not self.by_piece:
