@@ -319,7 +319,39 @@ def test_word_encoder_is_the_library():
     t, encoder = Tokenizer.from_file(path), token_tables.WordTokenizer(path)
     assert encoder.by_piece
     r = random.Random(11)
-    signs = "aeIİiS'sd\n\t.!?,éΣσ日語\u0327\u0307\u0301 ßǅ'll 12½<|endoftext|>"
+    signs = "aeIİiS'sd\n\t\x01.!?,éΣσ日語\u0327\u0307\u0301 ßǅ'll 12½<|endoftext|>"
     texts = ["\u0130\u0327", "I\u0327\u0307", "", *("".join(r.choices(signs, k=r.randint(1, 40))) for _ in range(6000))]
     got = encoder.encode(texts)
     assert [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def merged(symbols, rank):
+    """The symbols after all listed merges, lowest rank first."""
+    while True:
+        pairs = [(rank.get(p, 1 << 60), k) for k, p in enumerate(itertools.pairwise(symbols))]
+        best = min(pairs, default=(1 << 60, 0))
+        if best[0] == 1 << 60:
+            return symbols
+        k = best[1]
+        symbols = [*symbols[:k], symbols[k] + symbols[k + 1], *symbols[k + 2 :]]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_token_comes_out_whole(name):
+    """The condition under which merging by rank is merging by the listed pairs, and ids follow the order of merges."""
+    import json
+
+    with open(default_path(name), encoding="utf-8") as f:
+        spec = json.load(f)
+    model, special = spec["model"], {t["content"] for t in spec["added_tokens"]}
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    rank = {p: k for k, p in enumerate(pairs)}
+    made = [model["vocab"][a + b] for a, b in pairs]
+    assert made == sorted(made) and len(set(made)) == len(made)
+    end = model.get("end_of_word_suffix") or ""
+    for token in model["vocab"]:
+        if token in special:
+            continue
+        body = token[: -len(end)] if end and token.endswith(end) and token != end else token
+        symbols = [*body[:-1], body[-1] + token[len(body) :]]
+        assert merged(symbols, rank) == [token], token

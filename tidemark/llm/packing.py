@@ -44,7 +44,8 @@ _LOADED: dict[str, object] = {}
 
 def byte_encoder(path: str):
     """text -> ids (uint32) as the tokenizers library gives them for a byte-level vocabulary file. Ranks of merges are the ids of what they
-    make, which holds for files whose vocabulary is listed in the order of its merges; others are refused."""
+    make, which holds for files whose vocabulary is listed in the order of its merges; others are refused. Why ranks are as good as listed
+    pairs: see token_tables.WordTokenizer; the tests check its condition for every token."""
     if path not in _LOADED:
         import tiktoken
 

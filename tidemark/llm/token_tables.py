@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tidemark.llm.bpe import default_path
+from tidemark.llm.bpe import byte_symbols, default_path
 from tidemark.llm.common import SharedFiles, arrow_rows, cut, open_shared, shared_folder, table, texts
 
 MAGIC = b"TMSSTBL1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index at, index bytes, filter at, filter bytes, documents, tokens, id bytes, magic
 RESTART, BLOCK_BYTES, SHARD_BYTES = 16, 64 << 10, 32 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Pieces that a task remembers at most before it forgets them; results do not depend on it.
-MAX_PIECES = 800_000
+#: The end-of-word mark of the vocabulary, and the sign that stands for it when pieces are merged.
+END, MARK = "</w>", "\x01"
 #: The pre-tokenizer's pattern of the files that are cut here, a fixed value of the format; files with another one go to the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Lower-case text that has none of these takes the quicker form of the pre-tokenizer's pattern, equal for what is left of Latin-1.
@@ -201,12 +201,21 @@ class ShardReader:
         return None
 
 
+def token_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
+    """The bytes of each token, MARK for its end-of-word mark, with its id."""
+    symbol = byte_symbols()
+    bare = {t: t.removesuffix(END) for t in vocab}
+    return {bytes(symbol[c] for c in bare[t]) + (MARK.encode() if bare[t] != t else b""): i for t, i in vocab.items()}
+
+
 class WordTokenizer:
-    """The tokenizers library, asked once for each distinct piece.
+    """Ids as the tokenizers library gives them for a vocabulary of words with an end mark.
 
-    The vocabulary's normaliser (composition, white space, lower case) changes nothing in a piece that is normalised, and its
-    pre-tokenizer cuts a piece no further; so a text's ids are those of its pieces, one after another. Files of another shape go to the
-    library text by text.
+    Normalised text is cut into pieces by the pre-tokenizer's pattern, and each piece, closed by MARK, is merged by ranks: a token's bytes with
+    MARK for its end-of-word mark, ranked by id. Merging whatever makes a token, by rank, is the same as merging the listed pairs, if every token
+    comes out whole of its own symbols: where two tokens stand side by side that make a third, nothing has merged across their outer
+    borders, so they are the state in which that third is made from its symbols, and its last merge is the listed one. The tests check that
+    condition for every token. Files of another shape, and texts that hold MARK or a special token's string, go to the library.
     """
 
     def __init__(self, path: str):
@@ -214,6 +223,7 @@ class WordTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -222,16 +232,19 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.special = [t["content"] for t in spec["added_tokens"]]
         normal = (spec["normalizer"] or {}).get("normalizers", [])
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        model = spec["model"]
         self.by_piece = (
             [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
             and [p["type"] for p in splits] == ["Split", "ByteLevel"] and splits[0]["invert"] and splits[0]["pattern"] == {"Regex": PATTERN}
+            and model.get("end_of_word_suffix") == END and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
         )
         if self.by_piece:
-            self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.parts: dict[str, bytes] = {}
+            self.pattern = regex.compile(PATTERN)
+            ranks = token_ranks({t: i for t, i in model["vocab"].items() if t not in self.special})
+            self.coder = tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
 
     def library(self, strings: list[str]) -> list[bytes]:
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -250,14 +263,10 @@ class WordTokenizer:
     def encode(self, batch: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.library(batch)
-        if len(self.parts) > MAX_PIECES:
-            self.parts.clear()
-        parts = self.parts
-        found = [self.pieces(t) for t in batch]
-        new = [p for p in set().union(*[f for f in found if f is not None]) if p not in parts]
-        parts.update(zip(new, self.library(new), strict=True))
+        found = [None if MARK in t else self.pieces(t) for t in batch]
         whole = iter(self.library([t for t, f in zip(batch, found, strict=True) if f is None]))
-        return [next(whole) if f is None else b"".join(map(parts.__getitem__, f)) for f in found]
+        kind = f"<u{self.width}"
+        return [next(whole) if f is None else self.coder.encode_to_numpy(MARK.join(f) + MARK).astype(kind).tobytes() if f else b"" for f in found]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
