@@ -138,3 +138,24 @@ def test_odd_reports_and_close_columns(spark, tmp_path):
     assert [tuple(r) for r in B.close_series(raw).collect()] == [(datetime.date(2024, 2, 6), 2.5)]
     with pytest.raises(ValueError, match="no close"):
         B.close_series(raw.drop("Kapanış", "Adj_Close"))
+
+
+def test_metrics_by_symbol(spark):
+    rows = [("A", 1, 0.1, 0.2), ("A", 1, -0.1, 0.2), ("A", 2, 0.3, 0.001), ("A", 2, 0.3, 0.4), ("B", 1, 0.1, 0.0)]
+    got = {r["symbol"]: r for r in G.per_symbol_metrics(spark.createDataFrame(rows, "symbol string, fold int, y_true double, y_pred double"), 4, 0.01).collect()}
+    a = got["A"]
+    assert (a["n_oos"], a["n_folds"], a["base_rate"], a["positive_fold_ratio"], a["reliable"]) == (4, 2, 75.0, 1.0, True)
+    assert a["dir_acc"] == pytest.approx(200 / 3) and a["edge"] == pytest.approx(200 / 3 - 75) and got["B"]["dir_acc"] is None and not got["B"]["reliable"]
+
+
+def test_bootstrap_interval(spark):
+    from tidemark.operators.selection import bootstrap_sharpe
+
+    r = np.random.default_rng(0)
+    x = r.normal(0.001, 0.01, 500)
+    df = spark.createDataFrame([("A", "m", day(k), float(v)) for k, v in enumerate(x)] + [("B", "m", day(k), 0.0) for k in range(5)], "symbol string, model string, Date date, net_return double")
+    one, two = ({t["symbol"]: (t["low"], t["high"]) for t in bootstrap_sharpe(d).collect()} for d in (df, df.repartition(3)))
+    assert one == two and one["B"] == (0.0, 0.0)
+    sharpe = x.mean() / x.std() * 252**0.5
+    error = (252 / 500) ** 0.5
+    assert one["A"][0] == pytest.approx(sharpe - 1.96 * error, abs=0.25) and one["A"][1] == pytest.approx(sharpe + 1.96 * error, abs=0.25)

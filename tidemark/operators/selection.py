@@ -116,14 +116,6 @@ def grid(spark, values: dict[str, list]) -> DataFrame:
     return out.withColumn("trial", F.xxhash64(*values))
 
 
-def sampled_grid(full: DataFrame, columns: list[str], cap: int, seed: int = 7) -> DataFrame:
-    """At most `cap` trials in seeded order, those first that are the first of one of their values."""
-    firsts = [F.row_number().over(Window.partitionBy(c).orderBy(F.xxhash64("trial", F.lit(seed)))) for c in columns]
-    marked = full.withColumns({f"_f{i}": f for i, f in enumerate(firsts)})
-    cover = reduce(lambda a, b: a | b, [F.col(f"_f{i}") == 1 for i in range(len(columns))])
-    return marked.withColumn("_c", cover).orderBy(F.desc("_c"), F.xxhash64("trial", F.lit(seed)), "trial").limit(cap).drop("_c", *[f"_f{i}" for i in range(len(columns))])
-
-
 def trial_runs(rows: DataFrame, trials: DataFrame, cost_bps: float = 15) -> DataFrame:
     """Each trial (buy, sell) as a switch on every series, one row a trial and series: compounded net and buy-and-hold return, annual Sharpe,
     drawdown of the curve, and entries. The grid is the parallel axis."""
@@ -329,25 +321,22 @@ def top_features(contributions: DataFrame, k: int, *keys: str) -> DataFrame:
 def bootstrap_sharpe(returns: DataFrame, replicates: int = 1000, seed: int = 7, at_once: int = 50) -> DataFrame:
     """95 % interval of each series' Sharpe over resamples: a row counts in a replicate as often as a seeded Poisson(1) draw says.
 
-    A row stays one row: its draws of a block of replicates are the lanes of sums, block by block in one aggregate, so nothing is exploded
-    by the number of replicates before it is summed.
+    One grouped pass: a series, as long as its calendar, is held once; draws are made for `at_once` replicates together and summed as products
+    of matrices. The draws depend on the seed and the series' name only.
     """
-    limits = [float(x) for x in np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)])]
-    r = F.col("net_return")
-
-    def times(rep: int) -> Column:
-        u = F.pmod(F.xxhash64("symbol", "model", "Date", F.lit(rep), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        return reduce(lambda a, b: a + b, [(u >= x).cast("double") for x in limits])
-
-    parts = []
-    for first in range(1, replicates + 1, at_once):
-        block = range(first, min(first + at_once, replicates + 1))
-        drawn = returns.select("symbol", "model", "net_return", *[times(k).alias(f"k{k}") for k in block])
-        sums = [F.struct(F.sum(f"k{k}").alias("n"), F.sum(F.col(f"k{k}") * r).alias("s"), F.sum(F.col(f"k{k}") * r * r).alias("q")) for k in block]
-        parts.append(drawn.groupBy("symbol", "model").agg(F.array(*sums).alias("x")))
-    per = reduce(lambda a, b: a.unionAll(b), parts).select("symbol", "model", F.explode("x").alias("x"))
-    mean = F.col("x.s") / F.nullif(F.col("x.n"), F.lit(0.0))
-    spread = F.sqrt(F.greatest(F.col("x.q") / F.nullif(F.col("x.n"), F.lit(0.0)) - mean * mean, F.lit(0.0)))
-    sharpe = F.coalesce(mean / F.nullif(spread, F.lit(0.0)) * 252**0.5, F.lit(0.0))
-    band = F.percentile(sharpe, F.array(F.lit(0.025), F.lit(0.975)))
-    return per.groupBy("symbol", "model").agg(band.alias("b")).select("symbol", "model", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        r = frame.sort_values("Date", kind="stable")["net_return"].to_numpy(float)
+        draw = np.random.default_rng([seed, *"|".join(map(str, key)).encode()])
+        found = []
+        for first in range(0, replicates, at_once):
+            times = draw.poisson(1.0, (min(at_once, replicates - first), len(r)))
+            n, s, q = times.sum(1), times @ r, times @ (r * r)
+            mean = s / np.maximum(n, 1)
+            spread = np.sqrt(np.maximum(q / np.maximum(n, 1) - mean * mean, 0.0))
+            found.append(np.divide(mean * 252**0.5, spread, out=np.zeros(len(n)), where=spread > 0))
+        low, high = np.quantile(np.concatenate(found), [0.025, 0.975])
+        return pd.DataFrame({"symbol": [key[0]], "model": [key[1]], "low": [low], "high": [high]})
+
+    few = returns.where("net_return is not null").select("symbol", "model", "Date", F.col("net_return").cast("double").alias("net_return"))
+    return few.groupBy("symbol", "model").applyInPandas(run, "symbol string, model string, low double, high double")

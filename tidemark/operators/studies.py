@@ -28,6 +28,29 @@ def pooled_predictions(folded: DataFrame, features: Sequence[str], target: str,
     return test.withColumn("y_pred", F.aggregate(F.zip_with("_x", "_w", lambda a, b: a * b), F.col("_b"), lambda s, v: s + v)).drop("_x", "_w", "_b")
 
 
+def _scores(eps: float) -> dict[str, Column]:
+    """Rows, direction in percent (forecasts within eps of 0 don't count), error, and the best that one constant direction would reach."""
+    taken = F.abs("y_pred") > eps
+    up = F.avg((F.col("y_true") > 0).cast("double"))
+    return {
+        "n": F.count(F.lit(1)), "dir_acc": 100 * F.avg(F.when(taken, (F.signum("y_true") == F.signum("y_pred")).cast("double"))),
+        "rmse": F.sqrt(F.avg(F.pow(F.col("y_true") - F.col("y_pred"), 2))), "base_rate": 100 * F.greatest(up, 1 - up),
+    }
+
+
+def per_fold_metrics(predictions: DataFrame, eps: float = 0.0) -> DataFrame:
+    """predictions(symbol, fold, y_true, y_pred) by symbol and fold."""
+    return predictions.groupBy("symbol", "fold").agg(*[c.alias(n) for n, c in _scores(eps).items()])
+
+
+def per_symbol_metrics(predictions: DataFrame, least: int = 20, eps: float = 0.0) -> DataFrame:
+    """Over all folds of a symbol: n_oos, n_folds, direction, error, base rate, edge over it, the share of folds with a direction of 50 or more,
+    and whether there are enough rows to rely on."""
+    folds = per_fold_metrics(predictions, eps).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_folds"), F.avg((F.col("dir_acc") >= 50).cast("double")).alias("positive_fold_ratio"))
+    whole = predictions.groupBy("symbol").agg(*[c.alias({"n": "n_oos"}.get(n, n)) for n, c in _scores(eps).items()])
+    return whole.join(folds, "symbol").withColumns({"edge": F.col("dir_acc") - F.col("base_rate"), "reliable": F.col("n_oos") >= least})
+
+
 def ic_study(panel: DataFrame, assign, features: Sequence[str], min_names: int = 8) -> DataFrame:
     """Daily rank correlation with the raw target of three variants: absolute target, rank target, rank target with features relative to the
     date. assign(panel) gives rows by fold and role."""

@@ -16,7 +16,7 @@ from tidemark.operators import splits as S
 from tidemark.operators import studies as G
 from tidemark.plans.backtests import TRADES, trade_log
 from tidemark.plans.boards import peers
-from tidemark.plans.common import BARS, MODELS, PANEL, model_rows, panel, rounded
+from tidemark.plans.common import BARS, MODELS, PANEL, model_rows, panel, prediction_panel, rounded
 from tidemark.plans.runs import RUNS, UNIVERSE, months, order_days, run_table, universe
 from tidemark.plans.selections import experiments, scored, scored_sql, signals
 from tidemark.plans.serving import points
@@ -128,6 +128,13 @@ PLANS = {
         SELECT dt AS "Date", * EXCLUDE (dt) FROM e WHERE dt >= DATE '{START}'""",
     ),
     "g16_ic_study": (study, None),
+    "g8_per_symbol": (
+        lambda s, d: rounded(G.per_symbol_metrics(prediction_panel(s, d).withColumn("fold", F.year("Date")), 1000, 0.01)),
+        f"""WITH {PANEL}, q AS (SELECT symbol, year(dt) AS fold, y_pred, y_true FROM preds), g AS (SELECT symbol, fold, avg(CASE WHEN abs(y_pred) > 0.01 THEN CASE WHEN sign(y_pred) = sign(y_true) THEN 100.0 ELSE 0 END END) AS a FROM q GROUP BY 1, 2),
+        f AS (SELECT symbol, count(*) AS n_folds, avg(CASE WHEN a >= 50 THEN 1.0 WHEN a < 50 THEN 0 END) AS p FROM g GROUP BY 1),
+        w AS (SELECT symbol, count(*) AS n, avg(CASE WHEN abs(y_pred) > 0.01 THEN CASE WHEN sign(y_pred) = sign(y_true) THEN 100.0 ELSE 0 END END) AS a, sqrt(avg((y_true - y_pred) ** 2)) AS e, 100 * greatest(avg(CASE WHEN y_true > 0 THEN 1.0 ELSE 0 END), 1 - avg(CASE WHEN y_true > 0 THEN 1.0 ELSE 0 END)) AS b FROM q GROUP BY 1)
+        SELECT symbol, n AS n_oos, round(a, 6) AS dir_acc, round(e, 6) AS rmse, round(b, 6) AS base_rate, n_folds, round(p, 6) AS positive_fold_ratio, round(a - b, 6) AS edge, n >= 1000 AS reliable FROM w JOIN f USING (symbol)""",
+    ),
     "e13_worst_fold": (
         lambda s, d: rounded(G.worst_fold(scored(s, d, "fold")).select("symbol", "model", "fold", "composite", "rmse")),
         f"{C} SELECT symbol, model, fold, composite, round(rmse, 6) AS rmse FROM c QUALIFY row_number() OVER (PARTITION BY symbol, model ORDER BY composite NULLS LAST, rmse DESC NULLS LAST, fold) = 1",

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as B
-from tidemark.operators import ensembles as E
 from tidemark.operators import metrics as M
 from tidemark.operators import selection as L
 from tidemark.operators import splits as S
+from tidemark.operators import studies as G
 from tidemark.operators import xsection as X
 from tidemark.plans.backtests import FORECAST, TRADES, curve, trade_log
 from tidemark.plans.common import MODELS, PANEL, model_rows, panel, rounded
@@ -76,7 +76,7 @@ def oos(s, d):
     """Ridge on the pooled panel by purged walk-forward, then the daily rank correlation of its predictions."""
     p = X.cross_sectional_features(panel(s, d), COLUMNS, ("rank",))
     folded = S.assign_pooled(p, S.pooled_folds(p, folds=5))
-    found = E.out_of_sample(folded, [f"{c}_csr" for c in COLUMNS], E.estimators()["ridge"])
+    found = G.pooled_predictions(folded, [f"{c}_csr" for c in COLUMNS], "target").withColumn("y_true", F.col("target"))
     return X.ic_summary(X.daily_rank_ic(found, 8))
 
 
