@@ -345,7 +345,16 @@ PLANS = {
         f"""WITH {MODELS}, v AS (SELECT *, coalesce(nullif(stddev_samp(ret) OVER ({SM} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0), 1e-6) AS v FROM models), t AS (SELECT *, greatest(0.005, 0.003, 0.25 * v * sqrt(5)) AS h FROM v)
         SELECT symbol, model, dt AS "Date", CASE WHEN y_pred > h THEN 'UP' WHEN y_pred < -h THEN 'DOWN' ELSE 'FLAT' END AS label FROM t""",
     ),
-    "k5_roll_forward": (lambda s, d: rounded(K.roll_forward(points(s, d).where("horizon = 1").select("symbol", "last_close", F.lit(0.04).alias("expected")), 5)), None),
+    "k5_roll_forward": (
+        lambda s, d: rounded(K.roll_forward(points(s, d).where("horizon = 1").select("symbol", "last_close", F.lit(0.04).alias("expected")), 5)),
+        f"""{("WITH RECURSIVE " + POINTS)}, path(symbol, horizon, close) AS (
+          SELECT symbol, 0, last_close FROM lastb
+          UNION ALL SELECT symbol, horizon + 1, greatest(low, least(high, {on_tick('q', 'nearest')})) FROM (
+            SELECT *, greatest(low, least(high, close * 1.04::DOUBLE)) AS q FROM (
+              SELECT *, {on_tick('lo', 'ceil')} AS low, {on_tick('hi', 'floor')} AS high FROM (
+                SELECT *, base * 0.9::DOUBLE AS lo, base * 1.1::DOUBLE AS hi FROM (SELECT *, {on_tick('close', 'nearest')} AS base FROM path WHERE horizon < 5)))))
+        SELECT symbol, CAST(horizon AS INT) AS horizon, round(close, 6) AS pred_close FROM path WHERE horizon > 0""",
+    ),
     "k7_carry_forward": (
         lambda s, d: rounded(K.carry_forward(table_bars(s, d).select(F.col("symbol").alias("series"), "Date", F.col("Close").alias("value")))),
         f"""WITH {BARS}, k AS (SELECT symbol, dt, c, c - lag(c) OVER ({P}) AS d, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS k FROM bars) SELECT symbol AS series, round(arg_max(c, dt) + coalesce(avg(d), 0), 6) AS next_value FROM k WHERE k < 20 GROUP BY symbol""",

@@ -57,6 +57,24 @@ def g7(s, d):
 
 
 MARKET = ", mkt AS (SELECT dt, avg(ret) AS market_ret FROM rets GROUP BY dt)"
+#: The recursive averages, a bar at a time for all symbols together: each is alpha times the new value and the rest of the old one.
+RECURSION = f"""WITH RECURSIVE {BARS}, q AS (SELECT *, row_number() OVER w AS rn, c - lag(c) OVER w AS chg, h - lag(h) OVER w AS rise, lag(l) OVER w - l AS fall, greatest(h - l, abs(h - lag(c) OVER w), abs(l - lag(c) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
+x AS (SELECT symbol, dt, rn, c, greatest(chg, 0) AS gain, greatest(-chg, 0) AS loss, coalesce(tr, h - l) AS tr, CASE WHEN rise > fall AND rise > 0 THEN rise ELSE 0.0 END AS pd, CASE WHEN fall > rise AND fall > 0 THEN fall ELSE 0.0 END AS md FROM q),
+a AS (
+  SELECT symbol, dt, rn, c, c AS e12, c AS e26, NULL::DOUBLE AS line, NULL::DOUBLE AS sig, NULL::DOUBLE AS up, NULL::DOUBLE AS dn, tr AS atr, pd AS pl, md AS mi, NULL::DOUBLE AS adx FROM x WHERE rn = 1
+  UNION ALL
+  SELECT symbol, dt, rn, c, e12, e26, line, CASE WHEN rn < 26 THEN NULL WHEN rn = 26 THEN line ELSE 0.8 * sig + 0.2 * line END, up, dn, atr, pl, mi,
+    CASE WHEN rn < 14 THEN NULL WHEN rn = 14 THEN dx ELSE 13.0 / 14 * adx + 1.0 / 14 * dx END
+  FROM (
+    SELECT *, CASE WHEN rn >= 26 THEN e12 - e26 END AS line, 100 * abs(pl - mi) / nullif(pl + mi, 0) AS dx FROM (
+      SELECT x.symbol, x.dt, x.rn, x.c, 11.0 / 13 * a.e12 + 2.0 / 13 * x.c AS e12, 25.0 / 27 * a.e26 + 2.0 / 27 * x.c AS e26, a.sig, a.adx,
+        CASE WHEN x.rn = 2 THEN gain ELSE 13.0 / 14 * a.up + 1.0 / 14 * gain END AS up, CASE WHEN x.rn = 2 THEN loss ELSE 13.0 / 14 * a.dn + 1.0 / 14 * loss END AS dn,
+        13.0 / 14 * a.atr + 1.0 / 14 * x.tr AS atr, 13.0 / 14 * a.pl + 1.0 / 14 * x.pd AS pl, 13.0 / 14 * a.mi + 1.0 / 14 * x.md AS mi
+      FROM a JOIN x ON x.symbol = a.symbol AND x.rn = a.rn + 1)))
+SELECT symbol, dt AS "Date", round(CASE WHEN rn >= 12 THEN c / e12 - 1 END, 6) AS "EMA_12_rel", round(CASE WHEN rn >= 15 THEN 100 * up / nullif(up + dn, 0) END, 6) AS "RSI_14", round(line / c, 6) AS "MACD",
+  round(CASE WHEN rn >= 34 THEN sig / c END, 6) AS "MACD_signal", round(CASE WHEN rn >= 34 THEN (line - sig) / c END, 6) AS "MACD_diff", round(CASE WHEN rn >= 14 THEN atr / c END, 6) AS "NATR_14", round(CASE WHEN rn >= 27 THEN adx END, 6) AS "ADX_14" FROM a"""
+
+
 PLANS = {
     "c1_returns": (feature(X.returns, "ret", "logret"), rows_sql({"ret": "ret", "logret": "logret"})),
     "c2_moving_averages": (feature(X.moving_averages, *[f"SMA_{n}_rel" for n in (7, 14, 21, 50)]), rows_sql({f"SMA_{n}_rel": f"c / ({gated('avg(c)', 'c', n)}) - 1" for n in (7, 14, 21, 50)})),
@@ -113,7 +131,7 @@ PLANS = {
         lambda s, d: rounded(X.sequences(X.returns(table_bars(s, d)).where("ret is not null"), ["ret"], 5).select("symbol", "Date", F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[0]).alias("sequence_sum"))),
         f"""WITH {BARS}, t AS (SELECT symbol, dt, sum(ret) {over(5)} AS z, count(*) {over(5)} AS k FROM rets WHERE ret IS NOT NULL) SELECT symbol, dt AS "Date", round(z, 6) AS sequence_sum FROM t WHERE k = 5""",
     ),
-    "h1_recursive_features": (feature(X.recursive_features, *X.RECURSIVE), None),
+    "h1_recursive_features": (feature(X.recursive_features, *X.RECURSIVE), RECURSION),
     "f1_base_series": (
         lambda s, d: rounded(M.base_series(orders_by_day(s, d).select("Date", "turnover"), X.market_return(table_bars(s, d)))),
         f"""WITH {BARS}{MARKET}, o AS (SELECT CAST(o_orderdate AS DATE) AS dt, sum(o_totalprice) AS turnover FROM orders GROUP BY 1), j AS (SELECT coalesce(o.dt, mkt.dt) AS dt, turnover, market_ret FROM o FULL JOIN mkt ON o.dt = mkt.dt)
