@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 TICKS = ((20, 0.01), (50, 0.02), (100, 0.05), (250, 0.1), (500, 0.25), (1000, 0.5), (2500, 1.0), (None, 2.5))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once however often it is used: prices are built from prices, step by step."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def price_tick(price: Column) -> Column:
     out = F.lit(None)
     for below, tick in reversed(TICKS):
@@ -18,16 +25,25 @@ def price_tick(price: Column) -> Column:
 
 def round_to_tick(price: Column, how: str = "nearest") -> Column:
     """In decimals, half up."""
-    tick = price_tick(price).cast("decimal(18,6)")
-    steps = price.cast("decimal(18,6)") / tick
-    return ({"nearest": F.round, "floor": F.floor, "ceil": F.ceil}[how](steps) * tick).cast("double")
+
+    def rounded(p: Column) -> Column:
+        tick = price_tick(p).cast("decimal(18,6)")
+        return ({"nearest": F.round, "floor": F.floor, "ceil": F.ceil}[how](p.cast("decimal(18,6)") / tick) * tick).cast("double")
+
+    return let(price, rounded)
 
 
 def bounded(price: Column, before: Column, band: float = 0.10) -> Column:
     """Within the daily band around the price before (itself on a tick), on a tick."""
-    base = round_to_tick(before)
-    low, high = round_to_tick(base * (1 - band), "ceil"), round_to_tick(base * (1 + band), "floor")
-    return F.greatest(low, F.least(high, round_to_tick(F.greatest(low, F.least(high, price)))))
+
+    def within(b: Column) -> Column:
+        held = F.greatest(b["low"], F.least(b["high"], b["price"]))
+        return F.greatest(b["low"], F.least(b["high"], round_to_tick(held)))
+
+    def band_of(base: Column) -> Column:
+        return F.struct(round_to_tick(base * (1 - band), "ceil").alias("low"), round_to_tick(base * (1 + band), "floor").alias("high"), price.alias("price"))
+
+    return let(let(round_to_tick(before), band_of), within)
 
 
 def trend_label(expected: Column, vol: Column, horizon: Column, cost: float = 0.0) -> Column:

@@ -156,7 +156,7 @@ PLANS = {
     "j20_trade_explanations": (
         lambda s, d: J.trade_explanations(trade_log(s, d)).select("symbol", "model", "trade_id", "outcome", "explanation"),
         f"""WITH {TRADES}, x AS (SELECT *, CASE WHEN net_return > 0 THEN 'gain' WHEN net_return < 0 THEN 'loss' ELSE 'even' END AS outcome FROM log)
-        SELECT symbol, model, trade_id, outcome, model || ' closed with a ' || outcome || ' after ' || holding_bars || ' bars; exit: ' || exit_reason AS explanation FROM x""",
+        SELECT symbol, model, CAST(trade_id AS BIGINT) AS trade_id, outcome, model || ' closed with a ' || outcome || ' after ' || holding_bars || ' bars; exit: ' || exit_reason AS explanation FROM x""",
     ),
     "j23_fold_importance": (
         lambda s, d: rounded(J.fold_importance(importances(s, d))),

@@ -92,8 +92,8 @@ PLANS = {
         f"WITH {BLENDED} SELECT symbol, model, b AS blend, round(w, 6) AS weight FROM w",
     ),
     "j15_blends": (
-        lambda s, d: rounded(T.blend_all(*blends(s, d), mode="return")),
-        f'WITH {BLENDED} SELECT symbol, dt AS "Date", b AS blend, round(t, 6) AS target_pred, round(p, 6) AS price_pred FROM every',
+        lambda s, d: T.blend_all(*blends(s, d), mode="return").select("symbol", "Date", "blend", F.round("target_pred", 6).alias("target_pred"), F.round(F.log("price_pred"), 6).alias("log_price")),
+        f'WITH {BLENDED} SELECT symbol, dt AS "Date", b AS blend, round(t, 6) AS target_pred, round(ln(p), 6) AS log_price FROM every',
     ),
     "j18_replaced_means": (
         lambda s, d: rounded(T.replaced_means(panel(s, d), LINEAR.features, LINEAR.predict)),
