@@ -10,6 +10,7 @@ from tidemark.operators import calibration as K
 from tidemark.operators import selection as L
 from tidemark.plans.common import MODELS, model_rows, rounded
 from tidemark.plans.selections import scored
+from tidemark.session import written
 
 #: These prices move by hundreds of percent a day: returns and forecasts are shrunk so that equities stay within what six digits hold.
 SHRINK = 0.01
@@ -29,10 +30,15 @@ def rows(s, d):
     return out.withColumns({"is_benchmark": F.lit(False), "set": F.when(F.col("Date") < UNTIL, "calibration").otherwise("evaluation")})
 
 
-def report(s, d):
-    """Each symbol's trials: three values of the stop, two of the entry, a dozen trials at first."""
+def report(predictions):
+    """Each symbol's trials: three values of the stop, two of most others, a dozen trials at first."""
     values = {"min_dir_acc": [48.0, 52.0], "entry_vol": [0.1, 0.25], "entry_cost": [1.5, 2.0], "min_entry": [0.0, 0.002], "max_hold": [5, 20], "take_vol": [1.0, 2.0], "stop_vol": [0.75, 1.25, 2.0]}
-    return K.calibrate(rows(s, d), cap=12, values=values)
+    return K.calibrate(predictions, cap=12, values=values)
+
+
+def stage(s, d):
+    predictions = written(rows(s, d), "predictions")
+    return rounded(K.stage_backtests(predictions.where("set = 'evaluation'"), report(predictions), "evaluation"))
 
 
 def modes(s, d):
@@ -61,6 +67,6 @@ PLANS = {
     ),
     "h19_shadow_backtests": (lambda s, d: rounded(K.shadow_backtests(rows(s, d))), None),
     "h30_policy_backtests": (policies, None),
-    "h33_calibration": (lambda s, d: rounded(report(s, d)), None),
-    "h31_stage_backtests": (lambda s, d: rounded(K.stage_backtests(rows(s, d).where("set = 'evaluation'"), report(s, d), "evaluation")), None),
+    "h33_calibration": (lambda s, d: rounded(report(written(rows(s, d), "predictions"))), None),
+    "h31_stage_backtests": (stage, None),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import xsection as X
 from tidemark.plans.common import rounded
 from tidemark.plans.selections import experiments, scored, scored_sql
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, written
 from tidemark.sources import stores
 
 PEERS = "run_id long, symbol string, peer_score double, peer_percentile double"
@@ -20,6 +20,7 @@ def run_log(s, d):
         "model", F.col("trained_at").cast("timestamp").alias("logged_at"), F.col("symbol").alias("dataset_hash"), F.create_map(F.lit("fold"), F.col("fold").cast("string")).alias("parameters"),
         F.create_map(F.lit("mae"), F.col("mae"), F.lit("composite"), F.col("composite")).alias("metrics"), F.array(F.lit("ret")).alias("features"), F.create_map(F.lit("validation_mode"), F.lit("walk_forward")).alias("metadata"),
     )
+    rows = written(rows, "runs")
     early = F.col("logged_at") < "1999-01-01"
     for token, part in (("early", rows.where(early)), ("late", rows.where(~early)), ("late", rows.where(~early))):
         log.commit(part, token)
@@ -34,6 +35,7 @@ def catalogue(s, d):
         F.concat_ws("|", "symbol", "model").alias("model_name"), F.array(F.lit("ret")).alias("features"), F.create_map(F.lit("rmse"), F.col("rmse")).alias("metrics"), F.concat(F.lit("/models/"), F.col("fold").cast("string")).alias("model_path"),
         F.col("trained_at").cast("timestamp").alias("registered_at"),
     )
+    rows = written(rows, "entries")
     early = F.col("registered_at") < "1998-01-01"
     stores.register_models(store, rows.where(early), "early")
     stores.register_models(store, rows.where(~early), "late")

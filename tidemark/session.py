@@ -41,3 +41,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             _OWN[application] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         base = _OWN[application]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: what reads it several times computes it once, and a lost executor costs nothing."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
