@@ -1,23 +1,25 @@
-"""Fuzzy line dedup: SimHash of normalised lines, joined on pigeonhole blocks, verified by edit similarity. DataFrame functions only.
+"""Fuzzy line dedup: lines joined on pigeonhole blocks, SimHash order within a bucket, verified by edit similarity. DataFrame functions only.
 
 A line is what stands between line feeds, normalised to lower case with every white-space run as one blank; blank lines take no part.
-Equal lines are one node, whatever their length. Two different lines are linked if they agree in a block of their SimHashes and their edit
-distance is at most a fifth of the longer one's length, counted in characters and, in lines of up to PIECE words, in words, too. Of each connected group of lines the first occurrence (smallest doc_id, then
-position) stays in its document; every other occurrence goes.
-
-1. SimHash. The words of a line that have over SHORT_WORD characters (pairs of characters where a script has no blanks) are dealt to groups
-   by their hash; each group votes for the bits of a block of its own. A changed word so leaves the blocks of all groups but two as they
-   were, where it would flip bits all over a plain SimHash.
-2. Pigeonhole. The number of groups follows the number of words, so that a block stands for 4 to 8 words (in short lines, two groups
-   together are a block): groups() has the numbers. Lines near the upper end of a level make the next level's blocks, too. Blocks of few
-   characters are left out, being no evidence.
-3. Buckets of lines that share a block. The first line of each is compared with all others, which links most of what belongs together. Then
-   the lines of each bucket that are in another component than most of the bucket are compared with all lines of other components, LEADERS
+Equal lines are one node, whatever their length. Two different lines are linked if their edit distance is at most a fifth of the longer one's
+length, counted in characters and in words; lines of scripts without blanks (over 16 bytes a word) are counted in characters only when they
+meet each other. The rule is one for all lengths. Of each connected group of lines the first occurrence (smallest doc_id, then position)
+stays in its document; every other occurrence goes.
+
+1. Pigeonhole. A changed, missing or added word touches two pairs of neighbouring words at most. A line of n words may so lose 2 * (n / 5)
+   pairs, and one more where its partner has a word more than it: of its 2 * (n / 5) + 1 (or + 2) first pairs in any order that all lines
+   share, one is also among the first pairs of every line it is linked with. Those pairs are the line's blocks; none is left out, so no link is. The order puts rare
+   words first, by counts of fixed size (WORD_BITS); it decides how many lines meet, not which are linked.
+   Lines of scripts without blanks have blocks of characters in place of words as well.
+2. SimHash. The blocks of a line vote for the bits of its SimHash. Lines that share a block are put in its order; each is compared with the
+   one before it and with the first, which links most of what belongs together.
+3. Then the lines of each bucket that are in another component than most of the bucket are compared with all lines of other components, LEADERS
    of them in the first turn and four times as many in each further one, with components anew after each turn. Every pair of a bucket is so compared or connected, in small and large ones alike.
+   A pair whose block stands at places that no allowed number of changes brings together is not compared there: the block that links it stands at fitting ones.
 4. The distance in words goes first, being far cheaper: a word is a sign there (one of SIGNS, by its hash; words of one sign only bring
    lines closer, which the characters then decide). That in characters is taken between what is left without the common beginning and end. Where that is over PIECE * 2 characters, pieces of
    WORDS words (of PIECE characters in scripts without blanks) are compared one by one and their distances added: never less than the
-   true distance, and more only where words came or went.
+   true distance, so enough to link; where it is not, the true distance decides.
 
 Defined results: a null text counts as empty; a text is split whole, however long; rows that repeat a doc_id count as one document; a
 null doc_id is smaller than any; ties do not arise, (doc_id, position) being one occurrence; an empty table gives an empty result;
@@ -28,23 +30,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, drop_written, table, texts
 from tidemark.llm.components import components
 
-#: Fewest words of a line that is compared with others than its equals; longest words that do not vote, being in most lines; fewest
-#: characters of the words that a block stands for, by level, of which a pair of characters of a script without blanks counts as so many.
-FUZZY_WORDS, SHORT_WORD, BLOCK_CHARS, PAIR_CHARS = 5, 3, (6, 12, 20), 7
-#: Edit distance times this may not exceed the longer line's length: a similarity of 0.8.
-EDIT_SHARE = 5
-#: Blocks of a line at levels from 3 on, lines of a bucket that are compared with all others in the first turn, characters and words of a piece.
-BLOCKS, LEADERS, PIECE, WORDS = 7, 8, 1024, 128
+#: Fewest words of a line that can be linked with others than its equals (four words with five); edit distance times EDIT_SHARE may not exceed
+#: the longer line's length: a similarity of 0.8.
+FUZZY_WORDS, EDIT_SHARE = 4, 5
+#: Lines of a bucket that are compared with all others in the first turn, characters and words of a piece.
+LEADERS, PIECE, WORDS = 8, 1024, 128
 #: Different signs that words are told apart by; all below the surrogates of UTF-16.
 SIGNS = 50_000
-#: Feet of six counters of 8 bits; the highest one has room to spare. More words of a group than 127 only make the bits less fair.
-FEET = 0x0000010101010101
+#: Bits of a word's hash that name its counter, of a block's place in its line, of a block's hash, and the first bit of a block's rarity.
+WORD_BITS, PLACE_BITS, HASH_BITS, RARE_AT = 17, 20, 34, 54
+#: Feet of four counters of 16 bits.
+FEET = 0x0001000100010001
 
 
 def normal(line: Column) -> Column:
@@ -67,51 +69,77 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return found.agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count(F.lit(1)).alias("n"), F.first("norm").alias("norm"))
 
 
-def in_pairs(groups: int) -> Column:
-    """For each of so many groups: the numbers of the pairs of groups it belongs to."""
-    pairs = [(i, j) for i in range(groups) for j in range(i + 1, groups)]
-    return F.array(*[F.array(*[F.lit(k) for k, p in enumerate(pairs) if g in p]) for g in range(groups)])
+def spaced(norm: Column) -> Column:
+    """Whether a line is of a script with blanks."""
+    return F.octet_length(norm) <= 16 * F.size(F.split(norm, " "))
 
 
-def groups(level: Column) -> Column:
-    """Into how many groups a line's words are dealt: 4 below 12 words, 5 below 24, 6 below 48, and twice as many with each doubling.
+def units(found: DataFrame, *names: str) -> DataFrame:
+    """names and the units of each line: its words, and in scripts without blanks its characters, too."""
+    words = F.split("norm", " ")
+    kinds = F.when(spaced(F.col("norm")), F.array(words)).otherwise(F.array(words, F.split("norm", "")))
+    return found.select(*names, F.explode(kinds).alias("units")).where(F.size("units") >= FUZZY_WORDS)
 
-    At the first two levels every two groups make a block (6 and 10 blocks), then each one (6, later the first BLOCKS of them).
-    """
-    return F.when(level == 0, 4).when(level == 1, 5).otherwise(F.call_function("shiftleft", F.lit(6), F.greatest(level - 2, F.lit(0))))
 
+def unit_hash(unit: Column | str) -> Column:
+    return F.xxhash64(unit)
 
-def blocks(found: DataFrame) -> DataFrame:
-    """(h1, key) of each block of distinct_lines(). Sums of votes stay in the partitions that distinct_lines() made."""
-    words = F.split("norm", " ")
-    unspaced = F.octet_length("norm") > 16 * F.size("words")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - 1, F.lit(1))), lambda i: F.substring("norm", i, F.lit(2)))
-    told = found.select("h1", "h2", "norm", F.explode(F.array(words)).alias("words"))  # split once
-    told = told.select("h1", "h2", unspaced.alias("unspaced"), F.when(unspaced, pairs).otherwise(F.col("words")).alias("words")).withColumn("n", F.size("words"))
-    # each word votes once: repeated ones would outvote the rest of their group
-    told = told.where(F.col("n") >= FUZZY_WORDS).withColumn("words", F.array_distinct("words"))
-
-    def level(n: Column) -> Column:
-        return F.greatest(F.lit(0), F.floor(F.log2(n / 12)).cast("int") + 1)
-
-    both = F.array_distinct(F.array(level(F.col("n")), level(F.col("n") * 1.12)))
-    told = told.select("h1", "h2", "unspaced", "words", F.explode(both).alias("level"))
-    told = told.select("h1", "h2", "level", groups(F.col("level")).cast("long").alias("groups"), "unspaced", F.explode("words").alias("word"))
-    told = told.where((F.length("word") > SHORT_WORD) | F.col("unspaced"))
-    told = told.withColumn("h", F.xxhash64("word")).withColumn("group", F.pmod("h", "groups").cast("int"))
-    told = told.where((F.col("level") < 3) | (F.col("group") < BLOCKS))
-    block = F.when(F.col("level") == 0, F.get(in_pairs(4), F.col("group"))).when(F.col("level") == 1, F.get(in_pairs(5), F.col("group"))).otherwise(F.array("group"))
-    chars = F.when(F.col("unspaced"), PAIR_CHARS).otherwise(F.length("word")).alias("chars")
-    told = told.select("h1", "h2", "level", chars, "h", F.explode(block).alias("block"))
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(FEET))).alias(f"s{k}") for k in range(8)]
-    voted = told.groupBy("h1", "h2", "level", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), *sums)
-    least = F.get(F.array(*[F.lit(x) for x in BLOCK_CHARS]), F.least("level", F.lit(len(BLOCK_CHARS) - 1)))
-    voted = voted.where(F.col("chars") >= least)
-    # a counter's bit 7 is set where twice its count exceeds n
-    spare = (F.greatest(F.lit(127) - F.col("n"), F.lit(0)) * F.lit(FEET)).alias("spare")
-    majority = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") * 2 + F.col("spare"), 7).bitwiseAND(F.lit(FEET)), k) for k in range(8)]
-    voted = voted.select("h1", "level", "block", spare, *[f"s{k}" for k in range(8)])
-    return voted.select("h1", F.xxhash64("level", "block", reduce(lambda a, b: a.bitwiseOR(b), majority)).alias("key"))
+
+def commonness(found: DataFrame) -> Column:
+    """An array of a number for each value of WORD_BITS bits of a word's hash: four times the logarithm of how often such words stand."""
+    slot = unit_hash("unit").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("slot")
+    counts = units(found).select(F.explode("units").alias("unit")).select(slot).groupBy("slot").agg(F.floor(F.log2(F.count(F.lit(1))) * 4).alias("often"))
+    often = [0] * (1 << WORD_BITS)
+    for r in counts.collect():  # at most 2 ** WORD_BITS rows
+        often[r["slot"]] = r["often"]
+    return F.split(F.lit(",".join(map(str, often))), ",").cast("array<int>")
+
+
+def blocks(found: DataFrame, name: str = "h1") -> DataFrame:
+    """(name, key, n, place, sim) of each block of distinct_lines(): number of words, place of the block among them (null: several), SimHash."""
+    often, low = commonness(found), F.lit((1 << RARE_AT) - 1)
+
+    def rarity(h: Column) -> Column:
+        return F.get(often, h.bitwiseAND(F.lit((1 << WORD_BITS) - 1)).cast("int")).cast("long")
+
+    told = units(found, name).select(name, F.size("units").alias("n"), F.transform("units", unit_hash).alias("h"))
+    told = told.select(name, "n", F.transform("h", lambda h: F.shiftleft(rarity(h), RARE_AT).bitwiseOR(h.bitwiseAND(low))).alias("h"))
+
+    def pair(x: Column, i: Column) -> Column:
+        y = F.get("h", i + 1)
+        rare = F.shiftleft(F.shiftrightunsigned(x, RARE_AT) + F.shiftrightunsigned(y, RARE_AT), RARE_AT)
+        named = F.shiftleft(F.xxhash64(x, y).bitwiseAND(F.lit((1 << HASH_BITS) - 1)), PLACE_BITS)
+        return rare.bitwiseOR(named).bitwiseOR(F.least(i, F.lit((1 << PLACE_BITS) - 1)).cast("long"))
+
+    told = told.select(name, "n", F.sort_array(F.transform(F.slice("h", F.lit(1), F.col("n") - 1), pair)).alias("pairs"))
+    # a partner with one word more may have one change more
+    first = 2 * F.floor(F.col("n") / EDIT_SHARE) + 1 + (F.col("n") % EDIT_SHARE == EDIT_SHARE - 1).cast("int")
+
+    def once(v: Column, i: Column) -> Column:
+        """v, its place as unknown where the pair stands several times."""
+        def same(j: Column) -> Column:
+            return F.coalesce(F.shiftrightunsigned(F.get("pairs", j), PLACE_BITS) == F.shiftrightunsigned(v, PLACE_BITS), F.lit(False))
+        return F.when(same(i + 1) | same(i - 1), v.bitwiseOR(F.lit((1 << PLACE_BITS) - 1))).otherwise(v)
+
+    told = told.select(name, "n", F.array_distinct(F.transform(F.slice("pairs", F.lit(1), first.cast("int")), once)).alias("pairs"))
+
+    def votes(k: int) -> Column:
+        return F.aggregate("pairs", F.lit(0).cast("long"), lambda t, v: t + F.shiftrightunsigned(F.xxhash64(F.shiftrightunsigned(v, PLACE_BITS)), k).bitwiseAND(F.lit(FEET)))
+
+    # a foot of 16 bits holds the votes of 65,535 blocks; more only make the bits less fair
+    told = told.select(name, "n", "pairs", *[votes(k).alias(f"votes{k}") for k in range(2)])
+    # (outer: Spark would else ask whether there are pairs before it has made them, with all steps stated again within each other)
+    bits = [F.shiftleft((2 * F.shiftrightunsigned(f"votes{k}", 16 * j).bitwiseAND(F.lit(0xFFFF)) > F.size("pairs")).cast("int"), 2 * j + k) for k in range(2) for j in range(4)]
+    told = told.select(name, "n", reduce(lambda a, b: a + b, bits).cast("short").alias("sim"), F.explode_outer("pairs").alias("pair"))
+    place = F.col("pair").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    return told.select(name, F.shiftrightunsigned("pair", PLACE_BITS).alias("key"), "n", F.when(place < (1 << PLACE_BITS) - 1, place).alias("place"), "sim")
+
+
+def fitting(a: str, b: str) -> Column:
+    """Whether lines with n_ and place_ of these sides may be linked through their block: changes before it and after it, an allowed number together."""
+    n, m, p, q = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"place_{a}"), F.col(f"place_{b}")
+    moved = F.coalesce(F.abs(p - q) + F.abs((n - p) - (m - q)), F.abs(n - m))
+    return moved * EDIT_SHARE <= F.greatest(n, m)
 
 
 def distance(a: Column, b: Column, most: Column) -> Column:
@@ -120,21 +148,19 @@ def distance(a: Column, b: Column, most: Column) -> Column:
 
 
 def signs(norm: Column) -> Column:
-    """A line as one sign a word; null for scripts without blanks and for lines of over PIECE words."""
-    words = F.split(norm, " ")
-    sign = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(SIGNS)) + 1), 4, "0"))
-    told = (F.octet_length(norm) <= 16 * F.size(words)) & (F.size(words) <= PIECE)
-    return F.when(told, F.decode(F.unhex(F.array_join(sign, "")), "UTF-16BE"))
+    """A line as one sign a word."""
+    sign = F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(SIGNS)) + 1), 4, "0"))
+    return F.decode(F.unhex(F.array_join(sign, "")), "UTF-16BE")
 
 
 def near_in_words(pairs: DataFrame) -> DataFrame:
-    """Of pairs with num, signs, longest (length of the longest word) and chars (length) of both sides those whose distance in words is small
-    enough, with `sure`: whether it is so small that the characters need not be asked.
+    """Of pairs with num, signs, spaced, longest (length of the longest word) and chars (length) of both sides those whose distance in words is
+    small enough or not asked for, with `sure`: whether it is so small that the characters need not be asked.
 
     Each change of a word costs at most its length and a blank; one more change than counted allows for two words of one sign.
     """
     words, chars, longest = F.greatest(F.length("signs_a"), F.length("signs_b")), F.greatest("chars_a", "chars_b"), F.greatest("longest_a", "longest_b")
-    apart = F.call_function("levenshtein", F.col("signs_a"), F.col("signs_b"), (words / EDIT_SHARE).cast("int"))
+    apart = F.when(F.col("spaced_a") | F.col("spaced_b"), F.call_function("levenshtein", F.col("signs_a"), F.col("signs_b"), (words / EDIT_SHARE).cast("int")))
     sure = F.coalesce((apart + 1) * (longest + 1) * EDIT_SHARE <= chars, F.lit(False)).alias("sure")
     return pairs.where(F.coalesce(apart >= 0, F.lit(True))).select(F.col("num_a").alias("a"), F.col("num_b").alias("b"), sure)
 
@@ -177,7 +203,7 @@ def near(a: Column, b: Column) -> Column:
 
         def judged(ws: Column, vs: Column) -> Column:
             quick = (F.size(ws) == F.size(vs)) & (replaced(ws, vs) <= most)
-            return quick | (F.when(n <= 2 * PIECE, distance(x, y, most)).otherwise(summed(ws, vs)) <= most)
+            return quick | ((n > 2 * PIECE) & (summed(ws, vs) <= most)) | (distance(x, y, most) <= most)
 
         words = F.transform(F.array(F.split(x, " ")), lambda ws: F.get(F.transform(F.array(F.split(y, " ")), lambda vs: judged(ws, vs)), F.lit(0)))
         return (n <= most) | F.get(words, F.lit(0))
@@ -188,67 +214,70 @@ def near(a: Column, b: Column) -> Column:
 
 
 def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Verified links (a, b) between the num of lines. found: (num, h1, norm); keyed: (h1, key)."""
-    buckets = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high"), "buckets")
-    more = buckets.where("n > 2").select("key", "low")
-    members = cut(keyed.join(more, "key").select("key", "low", "h1"), "members")
-    star = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(members.where("h1 <> low").select("low", "h1")).distinct()
-    star = cut(star, "star")
-    held = found.join(star.select(F.col("a").alias("h1")).union(star.select("b")).distinct(), "h1", "left_semi")
+    """Verified links (a, b) between the num of lines. found: (num, norm); keyed: blocks() by num."""
+    bucket = Window.partitionBy("key").orderBy("sim", "num")
+    first = F.first(F.struct("num", "n", "place")).over(bucket).alias("first")
+    before = F.lag(F.struct("num", "n", "place")).over(bucket).alias("before")
+    members = keyed.select("key", "num", "n", "place", first, before, F.lead("num").over(bucket).alias("after"))
+    members = cut(members.where("before is not null or after is not null").drop("after"), "members")
+    star = None
+    for other in ("first", "before"):
+        sides = [F.col(c).alias(f"{c}_a") for c in ("num", "n", "place")] + [F.col(f"{other}.{c}").alias(f"{c}_b") for c in ("num", "n", "place")]
+        some = members.where(F.col(f"{other}.num") != F.col("num")).select(*sides).where(fitting("a", "b"))
+        star = some if star is None else star.union(some)
     longest = F.array_max(F.transform(F.split("norm", " "), F.length)).alias("longest")
-    held = cut(held.select("num", "h1", "norm", signs(F.col("norm")).alias("signs"), longest, F.length("norm").alias("chars")), "line-texts")
+    held = found.join(members.select("num").distinct(), "num", "left_semi")
+    held = cut(held.select("num", "norm", signs(F.col("norm")).alias("signs"), spaced(F.col("norm")).alias("spaced"), longest, F.length("norm").alias("chars")), "line-texts", compression="zstd")
 
-    def sides(df: DataFrame, *more: str) -> list[DataFrame]:
-        return [df.select(*more, *[F.col(c).alias(f"{c}_{s}") for c in ("num", "signs", "longest", "chars")]) for s in "ab"]
+    def side(s: str) -> DataFrame:
+        return held.select(*[F.col(c).alias(f"{c}_{s}") for c in ("num", "signs", "spaced", "longest", "chars")])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs as near_in_words() takes them. Texts are fetched only where words cannot tell."""
-        told = cut(near_in_words(pairs).distinct(), "near-in-words")
+        """Links among pairs (num_a, num_b). Texts are fetched only where words cannot tell."""
+        pairs = pairs.select(F.least("num_a", "num_b").alias("num_a"), F.greatest("num_a", "num_b").alias("num_b")).distinct()
+        told = cut(near_in_words(pairs.join(side("a"), "num_a").join(side("b"), "num_b")), "near-in-words")
         x, y = (held.select(F.col("num").alias(s), F.col("norm").alias(f"norm_{s}")) for s in "ab")
         asked = told.where("not sure").select("a", "b").join(x, "a").join(y, "b").where(near(F.col("norm_a"), F.col("norm_b")))
         found = cut(told.where("sure").select("a", "b").union(asked.select("a", "b")), "links")
         drop_written(told)
         return found
 
-    x, y = sides(held, "h1")
-    links = verified(star.join(x.withColumnRenamed("h1", "a"), "a").join(y.withColumnRenamed("h1", "b"), "b"))
+    links = verified(star)
     # then the pairs of a bucket that are not connected yet: lines outside the bucket's main component lead, few in the first turn and four
-    # times as many in each further one, as a hash names them; lines meet in their bucket, so no pair is shuffled
-    places = members.join(held.drop("norm"), "h1").select("key", "num", "signs", "longest", "chars", (F.col("h1") == F.col("low")).alias("led"))
-    places, turn, asked, last, parts = cut(places, "places"), 0, None, 0, None
-    while turn == 0 or turn < last:
-        parts = parts or components(links)
-        now = places.join(parts, F.col("num") == F.col("node"), "left").withColumn("part", F.coalesce("component", "num")).drop("node", "component")
-        now = cut(now, "parts")
-        if turn == 0:
-            sizes = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("key")
-            mixed = sizes.agg(F.max_by("part", F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts"), (F.sum("size") - F.max("size")).alias("others"))
-            draw = F.pmod(F.xxhash64("num"), F.lit(1 << 30)) / float(1 << 30) * F.col("others")
-            slot = F.floor(F.log2(draw * 3 / LEADERS + 1) / 2).alias("slot")
-            asked = cut(now.join(mixed.where("parts > 1"), "key").where("part <> top and not led").select("key", "num", slot), "asked")
-            last = (asked.agg(F.max("slot")).first()[0] if asked.limit(1).count() else -1) + 1
-            if not last:
-                break
-        leaders = now.join(asked.where(F.col("slot") == turn).drop("slot"), ["key", "num"])
-        x, y = sides(leaders, "key", F.col("part").alias("part_a"))[0], sides(now.where("not led"), "key", F.col("part").alias("part_b"))[1]
-        more, turn = verified(x.join(y, "key").where("part_a <> part_b")), turn + 1
+    # times as many in each further one, as a hash names them
+    parts = components(links)
+    labels = cut(held.select("num").join(parts, F.col("num") == F.col("node"), "left").select("num", F.coalesce("component", "num").alias("part")), "labels")
+    drop_written(parts)
+    places = cut(members.select("key", "num", "n", "place", (F.col("first.num") == F.col("num")).alias("led")), "places")
+    now = places.join(labels, "num")
+    sizes = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("key")
+    mixed = sizes.agg(F.max_by("part", F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts"), (F.sum("size") - F.max("size")).alias("others"))
+    draw = F.pmod(F.xxhash64("num"), F.lit(1 << 30)) / float(1 << 30) * F.col("others")
+    slot = F.floor(F.log2(draw * 3 / LEADERS + 1) / 2).alias("slot")
+    asked = cut(now.join(mixed.where("parts > 1"), "key").where("part <> top and not led").select("key", "num", slot), "asked")
+    last = asked.agg(F.max("slot")).first()[0]
+    for turn in range(0 if last is None else last + 1):
+        now = places.join(labels, "num")
+        x = now.join(asked.where(F.col("slot") == turn).drop("slot"), ["key", "num"]).select("key", *[F.col(c).alias(f"{c}_a") for c in ("num", "n", "place", "part")])
+        y = now.where("not led").select("key", *[F.col(c).alias(f"{c}_b") for c in ("num", "n", "place", "part")])
+        more = verified(x.join(y, "key").where((F.col("part_a") != F.col("part_b")) & fitting("a", "b")))
         if more.limit(1).count():
-            links, parts = links.union(more), None
-        drop_written(now)
-    for done in (buckets, members, star, held, places, asked):
+            # labels grow together where new links join them
+            of_a, of_b = (labels.select(F.col("num").alias(s), F.col("part").alias(f"part_{s}")) for s in "ab")
+            grown = components(more.join(of_a, "a").join(of_b, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct())
+            old, labels = labels, cut(labels.join(grown, F.col("part") == F.col("node"), "left").select("num", F.coalesce("component", "part").alias("part")), "labels")
+            drop_written(old)
+            drop_written(grown)
+            links = links.union(more)
+    for done in (members, held, labels, places, asked):
         drop_written(done)
     return links
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, drop): positions of the lines that go, for documents that lose any."""
-    found = distinct_lines(docs)
-    # lines and their blocks come from one shuffle, which both sides read alike only if both need all of its columns
-    keyed = blocks(found.where("n > 0 and at.pos >= 0"))
-    both = found.select("*", F.monotonically_increasing_id().alias("num")).unionByName(keyed, allowMissingColumns=True)
-    both = cut(both, "lines-and-blocks", compression="zstd")
-    found = both.where("key is null").drop("key")
-    links = similar_lines(found.select("num", "h1", "norm"), both.where("key is not null").select("h1", "key"))
+    found = cut(distinct_lines(docs).withColumn("num", F.monotonically_increasing_id()), "lines", compression="zstd")
+    links = similar_lines(found.select("num", "norm"), blocks(found, "num"))
     groups = components(links)
     named = found.select("num", "h1", "h2", "at", "n").join(groups, F.col("num") == F.col("node"), "left").where("n > 1 or component is not null")
     named = cut(named.select("h1", "h2", "at", "component"), "repeated")
@@ -258,7 +287,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     gone = lines(docs).select("doc_id", "pos", "h1", "h2").join(keep, ["h1", "h2"])
     gone = gone.where(~(F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("pos") == F.col("at.pos"))))
     gone = cut(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop")), "drops")
-    for done in (both, links, groups, named):
+    for done in (found, links, groups, named):
         drop_written(done)
     return gone
 
