@@ -153,6 +153,16 @@ def signs(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(sign, "")), "UTF-16BE")
 
 
+def bits_of(words: Column, k: int) -> Column:
+    """A bit of 64 for each word whose hash has k as its bit 6."""
+    def bit(w: Column) -> Column:
+        h = F.xxhash64(w)
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(1)) == k, one).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(words, F.lit(0).cast("long"), lambda t, w: t.bitwiseOR(bit(w)))
+
+
 def near_in_words(pairs: DataFrame) -> DataFrame:
     """Of pairs with num, signs, spaced, longest (length of the longest word) and chars (length) of both sides those whose distance in words is
     small enough or not asked for, with `sure`: whether it is so small that the characters need not be asked.
@@ -216,6 +226,11 @@ def near(a: Column, b: Column) -> Column:
 def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
     """Verified links (a, b) between the num of lines. found: (num, norm); keyed: blocks() by num."""
     bucket = Window.partitionBy("key").orderBy("sim", "num")
+    # the three small columns pass the shuffle as one
+    packed = F.shiftleft(F.col("n").cast("long"), PLACE_BITS + 8).bitwiseOR(F.shiftleft(F.coalesce("place", F.lit((1 << PLACE_BITS) - 1)).cast("long"), 8)).bitwiseOR(F.col("sim"))
+    keyed = keyed.select("key", "num", packed.alias("packed")).repartition("key")
+    place = F.shiftrightunsigned("packed", 8).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    keyed = keyed.select("key", "num", F.shiftrightunsigned("packed", PLACE_BITS + 8).cast("int").alias("n"), F.when(place < (1 << PLACE_BITS) - 1, place).alias("place"), F.col("packed").bitwiseAND(F.lit(255)).alias("sim"))
     first = F.first(F.struct("num", "n", "place")).over(bucket).alias("first")
     before = F.lag(F.struct("num", "n", "place")).over(bucket).alias("before")
     members = keyed.select("key", "num", "n", "place", first, before, F.lead("num").over(bucket).alias("after"))
@@ -227,7 +242,15 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
         star = some if star is None else star.union(some)
     longest = F.array_max(F.transform(F.split("norm", " "), F.length)).alias("longest")
     held = found.join(members.select("num").distinct(), "num", "left_semi")
-    held = cut(held.select("num", "norm", signs(F.col("norm")).alias("signs"), spaced(F.col("norm")).alias("spaced"), longest, F.length("norm").alias("chars")), "line-texts", compression="zstd")
+    words = F.split("norm", " ")
+    masks = [bits_of(words, k).alias(f"mask{k}") for k in range(2)]
+    held = cut(held.select("num", "norm", *masks, F.size(words).alias("words"), signs(F.col("norm")).alias("signs"), spaced(F.col("norm")).alias("spaced"), longest, F.length("norm").alias("chars")), "line-texts", compression="zstd")
+
+    def told_apart(s: str) -> DataFrame:
+        return held.select(*[F.col(c).alias(f"{c}_{s}") for c in ("num", "mask0", "mask1", "words", "spaced")])
+
+    def missing(a: str, b: str) -> Column:
+        return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"mask{k}_{a}").bitwiseAND(F.bitwise_not(F.col(f"mask{k}_{b}")))) for k in range(2)])
 
     def side(s: str) -> DataFrame:
         return held.select(*[F.col(c).alias(f"{c}_{s}") for c in ("num", "signs", "spaced", "longest", "chars")])
@@ -235,6 +258,9 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs (num_a, num_b). Texts are fetched only where words cannot tell."""
         pairs = pairs.select(F.least("num_a", "num_b").alias("num_a"), F.greatest("num_a", "num_b").alias("num_b")).distinct()
+        # a word that the other line has not is a change: where bits of the words tell of too many, the words need not be fetched
+        apart = F.greatest(missing("a", "b"), missing("b", "a")) * EDIT_SHARE > F.greatest("words_a", "words_b")
+        pairs = pairs.join(told_apart("a"), "num_a").join(told_apart("b"), "num_b").where(~(apart & (F.col("spaced_a") | F.col("spaced_b")))).select("num_a", "num_b")
         told = cut(near_in_words(pairs.join(side("a"), "num_a").join(side("b"), "num_b")), "near-in-words")
         x, y = (held.select(F.col("num").alias(s), F.col("norm").alias(f"norm_{s}")) for s in "ab")
         asked = told.where("not sure").select("a", "b").join(x, "a").join(y, "b").where(near(F.col("norm_a"), F.col("norm_b")))
@@ -277,6 +303,7 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, drop): positions of the lines that go, for documents that lose any."""
     found = cut(distinct_lines(docs).withColumn("num", F.monotonically_increasing_id()), "lines", compression="zstd")
+    found.sparkSession.sparkContext._jvm.System.gc()  # the shuffle of all lines goes before that of their blocks
     links = similar_lines(found.select("num", "norm"), blocks(found, "num"))
     groups = components(links)
     named = found.select("num", "h1", "h2", "at", "n").join(groups, F.col("num") == F.col("node"), "left").where("n > 1 or component is not null")
