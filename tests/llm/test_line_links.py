@@ -84,3 +84,23 @@ def test_words_added_to_a_long_line(spark):
     docs = [(1, " ".join(words)), (2, " ".join(edited(rng, words, 90, ["insert"], word)))]
     got = line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_dropped"]) for r in got) == [(1, 0), (2, 1)]
+
+
+def test_only_lines_of_possible_pairs_are_fetched(spark, monkeypatch):
+    """Lines that share words but can be no pair are told apart by bits; what is fetched does not depend on the filter's size for its result."""
+    rng = random.Random(45)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    lines = ["one common start " + " ".join(word() for _ in range(9)) for _ in range(150)]
+    lines += [" ".join(edited(rng, lines[k].split(" "), 2, ["change"], word)) for k in (3, 70)]
+    rows, plain = {}, line_dedup.cut
+
+    def counted(df, name="cut", **options):
+        out = plain(df, name, **options)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    assert check(spark, lines) == 2
+    assert max(rows["line-texts"]) < 20
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", 64)
+    assert check(spark, lines) == 2

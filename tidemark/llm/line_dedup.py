@@ -45,6 +45,8 @@ LEADERS, PIECE, WORDS = 8, 1024, 128
 SIGNS = 50_000
 #: Bits of a word's hash that name its counter, of a block's place in its line, of a block's hash, and the first bit of a block's rarity.
 WORD_BITS, PLACE_BITS, HASH_BITS, RARE_AT = 17, 20, 34, 54
+#: Bits of the filter of lines that are fetched.
+FILTER_BITS = 1 << 22
 #: Feet of four counters of 16 bits.
 FEET = 0x0001000100010001
 
@@ -147,6 +149,18 @@ def distance(a: Column, b: Column, most: Column) -> Column:
     return F.pmod(F.call_function("levenshtein", a, b, most), F.lit(1 << 30))
 
 
+def may_be_among(name: str, wanted: DataFrame) -> Column:
+    """Whether a number's bit is set among the FILTER_BITS bits of wanted(num): true for all of these, and for few others while they are few."""
+    slot = F.xxhash64("num").bitwiseAND(F.lit(FILTER_BITS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    words = [0] * (FILTER_BITS // 64)
+    for r in wanted.select(F.shiftright(slot, 6).alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # at most FILTER_BITS / 64 rows
+        words[r["at"]] = r["bits"]
+    own = F.xxhash64(name).bitwiseAND(F.lit(FILTER_BITS - 1))
+    held = F.get(F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), F.shiftright(own, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", held, own.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def signs(norm: Column) -> Column:
     """A line as one sign a word."""
     sign = F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(SIGNS)) + 1), 4, "0"))
@@ -240,53 +254,62 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
         sides = [F.col(c).alias(f"{c}_a") for c in ("num", "n", "place")] + [F.col(f"{other}.{c}").alias(f"{c}_b") for c in ("num", "n", "place")]
         some = members.where(F.col(f"{other}.num") != F.col("num")).select(*sides).where(fitting("a", "b"))
         star = some if star is None else star.union(some)
-    longest = F.array_max(F.transform(F.split("norm", " "), F.length)).alias("longest")
-    held = found.join(members.select("num").distinct(), "num", "left_semi")
     words = F.split("norm", " ")
-    masks = [bits_of(words, k).alias(f"mask{k}") for k in range(2)]
-    held = cut(held.select("num", "norm", *masks, F.size(words).alias("words"), signs(F.col("norm")).alias("signs"), spaced(F.col("norm")).alias("spaced"), longest, F.length("norm").alias("chars")), "line-texts", compression="zstd")
+    masks = cut(found.select("num", *[bits_of(words, k).alias(f"mask{k}") for k in range(2)], F.size(words).alias("words"), spaced(F.col("norm")).alias("spaced")), "line-masks")
 
     def told_apart(s: str) -> DataFrame:
-        return held.select(*[F.col(c).alias(f"{c}_{s}") for c in ("num", "mask0", "mask1", "words", "spaced")])
+        return masks.select(*[F.col(c).alias(f"{c}_{s}") for c in masks.columns])
 
     def missing(a: str, b: str) -> Column:
         return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"mask{k}_{a}").bitwiseAND(F.bitwise_not(F.col(f"mask{k}_{b}")))) for k in range(2)])
 
-    def side(s: str) -> DataFrame:
-        return held.select(*[F.col(c).alias(f"{c}_{s}") for c in ("num", "signs", "spaced", "longest", "chars")])
+    # a word that the other line has not is a change: where bits of the words tell of too many, the lines need not be fetched
+    apart = F.greatest(missing("a", "b"), missing("b", "a")) * EDIT_SHARE > F.greatest("words_a", "words_b")
+    possible = ~(apart & (F.col("spaced_a") | F.col("spaced_b")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (num_a, num_b). Texts are fetched only where words cannot tell."""
-        pairs = pairs.select(F.least("num_a", "num_b").alias("num_a"), F.greatest("num_a", "num_b").alias("num_b")).distinct()
-        # a word that the other line has not is a change: where bits of the words tell of too many, the words need not be fetched
-        apart = F.greatest(missing("a", "b"), missing("b", "a")) * EDIT_SHARE > F.greatest("words_a", "words_b")
-        pairs = pairs.join(told_apart("a"), "num_a").join(told_apart("b"), "num_b").where(~(apart & (F.col("spaced_a") | F.col("spaced_b")))).select("num_a", "num_b")
+        """Links among possible pairs (num_a, num_b). Lines are fetched for these alone."""
+        pairs = cut(pairs.select(F.least("num_a", "num_b").alias("num_a"), F.greatest("num_a", "num_b").alias("num_b")).distinct(), "possible-pairs")
+        both = pairs.select(F.col("num_a").alias("num")).union(pairs.select("num_b"))
+        longest = F.array_max(F.transform(words, F.length)).alias("longest")
+        held = found.where(may_be_among("num", both)).select("num", "norm", signs(F.col("norm")).alias("signs"), spaced(F.col("norm")).alias("spaced"), longest, F.length("norm").alias("chars"))
+        held = cut(held, "line-texts", compression="zstd")
+
+        def side(s: str) -> DataFrame:
+            return held.select(*[F.col(c).alias(f"{c}_{s}") for c in ("num", "signs", "spaced", "longest", "chars")])
+
         told = cut(near_in_words(pairs.join(side("a"), "num_a").join(side("b"), "num_b")), "near-in-words")
         x, y = (held.select(F.col("num").alias(s), F.col("norm").alias(f"norm_{s}")) for s in "ab")
         asked = told.where("not sure").select("a", "b").join(x, "a").join(y, "b").where(near(F.col("norm_a"), F.col("norm_b")))
-        found = cut(told.where("sure").select("a", "b").union(asked.select("a", "b")), "links")
-        drop_written(told)
-        return found
-
-    links = verified(star)
+        links = cut(told.where("sure").select("a", "b").union(asked.select("a", "b")), "links")
+        for done in (pairs, held, told):
+            drop_written(done)
+        return links
+
+    # pairs pass the shuffles once each, before what their lines have
+    star = star.select(F.least("num_a", "num_b").alias("num_a"), F.greatest("num_a", "num_b").alias("num_b")).distinct()
+    links = verified(star.join(told_apart("a"), "num_a").join(told_apart("b"), "num_b").where(possible))
     # then the pairs of a bucket that are not connected yet: lines outside the bucket's main component lead, few in the first turn and four
     # times as many in each further one, as a hash names them
     parts = components(links)
-    labels = cut(held.select("num").join(parts, F.col("num") == F.col("node"), "left").select("num", F.coalesce("component", "num").alias("part")), "labels")
+    labels = cut(masks.select("num").join(parts, F.col("num") == F.col("node"), "left").select("num", F.coalesce("component", "num").alias("part")), "labels")
     drop_written(parts)
-    places = cut(members.select("key", "num", "n", "place", (F.col("first.num") == F.col("num")).alias("led")), "places")
+    places = members.select("key", "num", "n", "place", (F.col("first.num") == F.col("num")).alias("led"))
     now = places.join(labels, "num")
     sizes = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("key")
     mixed = sizes.agg(F.max_by("part", F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts"), (F.sum("size") - F.max("size")).alias("others"))
     draw = F.pmod(F.xxhash64("num"), F.lit(1 << 30)) / float(1 << 30) * F.col("others")
     slot = F.floor(F.log2(draw * 3 / LEADERS + 1) / 2).alias("slot")
-    asked = cut(now.join(mixed.where("parts > 1"), "key").where("part <> top and not led").select("key", "num", slot), "asked")
+    asked = cut(now.join(mixed.where("parts > 1"), "key").where("part <> top and not led").select("key", "num", "n", "place", slot), "asked")
     last = asked.agg(F.max("slot")).first()[0]
     for turn in range(0 if last is None else last + 1):
-        now = places.join(labels, "num")
-        x = now.join(asked.where(F.col("slot") == turn).drop("slot"), ["key", "num"]).select("key", *[F.col(c).alias(f"{c}_a") for c in ("num", "n", "place", "part")])
-        y = now.where("not led").select("key", *[F.col(c).alias(f"{c}_b") for c in ("num", "n", "place", "part")])
-        more = verified(x.join(y, "key").where((F.col("part_a") != F.col("part_b")) & fitting("a", "b")))
+        # what tells lines apart comes with their places, so that of the pairs in a bucket only possible ones leave it
+        leaders, told = asked.where(F.col("slot") == turn), labels.join(masks, "num")
+        own = ("num", "n", "place", "part", *masks.columns[1:])
+        x = leaders.join(told, "num").select("key", *[F.col(c).alias(f"{c}_a") for c in own])
+        met = places.where("not led").where(may_be_among("key", leaders.select(F.col("key").alias("num"))))
+        y = met.join(told, "num").select("key", *[F.col(c).alias(f"{c}_b") for c in own])
+        more = verified(x.join(y, "key").where((F.col("part_a") != F.col("part_b")) & fitting("a", "b") & possible))
         if more.limit(1).count():
             # labels grow together where new links join them
             of_a, of_b = (labels.select(F.col("num").alias(s), F.col("part").alias(f"part_{s}")) for s in "ab")
@@ -295,7 +318,7 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
             drop_written(old)
             drop_written(grown)
             links = links.union(more)
-    for done in (members, held, labels, places, asked):
+    for done in (members, masks, labels, asked):
         drop_written(done)
     return links
 
