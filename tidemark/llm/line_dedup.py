@@ -14,7 +14,7 @@ stays in its document; every other occurrence goes.
 2. SimHash. The blocks of a line vote for the bits of its SimHash. Lines that share a block are put in its order; each is compared with the
    one before it and with the first, which links most of what belongs together.
 3. Then the lines of each bucket that are in another component than most of the bucket are compared with all lines of other components, LEADERS
-   of them in the first turn and four times as many in each further one, with components anew after each turn. Every pair of a bucket is so compared or connected, in small and large ones alike.
+   of them in the first turn and 16 times as many in each further one, with components anew after each turn. Every pair of a bucket is so compared or connected, in small and large ones alike.
    A pair whose block stands at places that no allowed number of changes brings together is not compared there: the block that links it stands at fitting ones.
 4. The distance in words goes first, being far cheaper: a word is a sign there (one of SIGNS, by its hash; words of one sign only bring
    lines closer, which the characters then decide). That in characters is taken between what is left without the common beginning and end. Where that is over PIECE * 2 characters, pieces of
@@ -149,16 +149,19 @@ def distance(a: Column, b: Column, most: Column) -> Column:
     return F.pmod(F.call_function("levenshtein", a, b, most), F.lit(1 << 30))
 
 
-def may_be_among(name: str, wanted: DataFrame) -> Column:
-    """Whether a number's bit is set among the FILTER_BITS bits of wanted(num): true for all of these, and for few others while they are few."""
-    slot = F.xxhash64("num").bitwiseAND(F.lit(FILTER_BITS - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    words = [0] * (FILTER_BITS // 64)
-    for r in wanted.select(F.shiftright(slot, 6).alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # at most FILTER_BITS / 64 rows
-        words[r["at"]] = r["bits"]
-    own = F.xxhash64(name).bitwiseAND(F.lit(FILTER_BITS - 1))
-    held = F.get(F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), F.shiftright(own, 6).cast("int"))
-    return F.call_function("shiftrightunsigned", held, own.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def may_be_among(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose number `name` has its bit among the FILTER_BITS bits of wanted(num): all of these, and few others while they are few.
+
+    The bits are broadcast as FILTER_BITS / 64 rows at most, so that neither the driver's Python nor a plan holds them."""
+    def at(c: str) -> tuple[Column, Column]:
+        slot = F.xxhash64(c).bitwiseAND(F.lit(FILTER_BITS - 1))
+        return F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+
+    word, place = at("num")
+    bits = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    own, place = at(name)
+    held = F.call_function("shiftrightunsigned", F.col("bits"), place).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(bits), (own == F.col("word")) & held, "left_semi")
 
 
 def signs(norm: Column) -> Column:
@@ -238,7 +241,7 @@ def near(a: Column, b: Column) -> Column:
 
 
 def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Verified links (a, b) between the num of lines. found: (num, norm); keyed: blocks() by num."""
+    """(num, component) of each line that is linked with another, by verified links. found: (num, norm); keyed: blocks() by num."""
     bucket = Window.partitionBy("key").orderBy("sim", "num")
     # the three small columns pass the shuffle as one
     packed = F.shiftleft(F.col("n").cast("long"), PLACE_BITS + 8).bitwiseOR(F.shiftleft(F.coalesce("place", F.lit((1 << PLACE_BITS) - 1)).cast("long"), 8)).bitwiseOR(F.col("sim"))
@@ -272,7 +275,7 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
         pairs = cut(pairs.select(F.least("num_a", "num_b").alias("num_a"), F.greatest("num_a", "num_b").alias("num_b")).distinct(), "possible-pairs")
         both = pairs.select(F.col("num_a").alias("num")).union(pairs.select("num_b"))
         longest = F.array_max(F.transform(words, F.length)).alias("longest")
-        held = found.where(may_be_among("num", both)).select("num", "norm", signs(F.col("norm")).alias("signs"), spaced(F.col("norm")).alias("spaced"), longest, F.length("norm").alias("chars"))
+        held = may_be_among(found, "num", both).select("num", "norm", signs(F.col("norm")).alias("signs"), spaced(F.col("norm")).alias("spaced"), longest, F.length("norm").alias("chars"))
         held = cut(held, "line-texts", compression="zstd")
 
         def side(s: str) -> DataFrame:
@@ -289,47 +292,47 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
     # pairs pass the shuffles once each, before what their lines have
     star = star.select(F.least("num_a", "num_b").alias("num_a"), F.greatest("num_a", "num_b").alias("num_b")).distinct()
     links = verified(star.join(told_apart("a"), "num_a").join(told_apart("b"), "num_b").where(possible))
-    # then the pairs of a bucket that are not connected yet: lines outside the bucket's main component lead, few in the first turn and four
+    # then the pairs of a bucket that are not connected yet: lines outside the bucket's main component lead, few in the first turn and 16
     # times as many in each further one, as a hash names them
     parts = components(links)
-    labels = cut(masks.select("num").join(parts, F.col("num") == F.col("node"), "left").select("num", F.coalesce("component", "num").alias("part")), "labels")
+    labels = cut(masks.select("num").join(parts, F.col("num") == F.col("node"), "left").select("num", F.coalesce("component", "num").alias("part"), F.col("component").isNotNull().alias("linked")), "labels")
     drop_written(parts)
+    drop_written(links)
     places = members.select("key", "num", "n", "place", (F.col("first.num") == F.col("num")).alias("led"))
-    now = places.join(labels, "num")
+    now = places.join(labels.drop("linked"), "num")
     sizes = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("key")
     mixed = sizes.agg(F.max_by("part", F.struct("size", "part")).alias("top"), F.count(F.lit(1)).alias("parts"), (F.sum("size") - F.max("size")).alias("others"))
     draw = F.pmod(F.xxhash64("num"), F.lit(1 << 30)) / float(1 << 30) * F.col("others")
-    slot = F.floor(F.log2(draw * 3 / LEADERS + 1) / 2).alias("slot")
+    slot = F.floor(F.log2(draw * 15 / LEADERS + 1) / 4).alias("slot")
     asked = cut(now.join(mixed.where("parts > 1"), "key").where("part <> top and not led").select("key", "num", "n", "place", slot), "asked")
     last = asked.agg(F.max("slot")).first()[0]
     for turn in range(0 if last is None else last + 1):
         # what tells lines apart comes with their places, so that of the pairs in a bucket only possible ones leave it
-        leaders, told = asked.where(F.col("slot") == turn), labels.join(masks, "num")
+        leaders, told = asked.where(F.col("slot") == turn), labels.drop("linked").join(masks, "num")
         own = ("num", "n", "place", "part", *masks.columns[1:])
         x = leaders.join(told, "num").select("key", *[F.col(c).alias(f"{c}_a") for c in own])
-        met = places.where("not led").where(may_be_among("key", leaders.select(F.col("key").alias("num"))))
+        met = may_be_among(places.where("not led"), "key", leaders.select(F.col("key").alias("num")))
         y = met.join(told, "num").select("key", *[F.col(c).alias(f"{c}_b") for c in own])
         more = verified(x.join(y, "key").where((F.col("part_a") != F.col("part_b")) & fitting("a", "b") & possible))
         if more.limit(1).count():
             # labels grow together where new links join them
             of_a, of_b = (labels.select(F.col("num").alias(s), F.col("part").alias(f"part_{s}")) for s in "ab")
             grown = components(more.join(of_a, "a").join(of_b, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct())
-            old, labels = labels, cut(labels.join(grown, F.col("part") == F.col("node"), "left").select("num", F.coalesce("component", "part").alias("part")), "labels")
+            old, labels = labels, cut(labels.join(grown, F.col("part") == F.col("node"), "left").select("num", F.coalesce("component", "part").alias("part"), (F.col("linked") | F.col("component").isNotNull()).alias("linked")), "labels")
             drop_written(old)
             drop_written(grown)
-            links = links.union(more)
-    for done in (members, masks, labels, asked):
+        drop_written(more)
+    for done in (members, masks, asked):
         drop_written(done)
-    return links
+    return labels.where("linked").select("num", F.col("part").alias("component"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, drop): positions of the lines that go, for documents that lose any."""
     found = cut(distinct_lines(docs).withColumn("num", F.monotonically_increasing_id()), "lines", compression="zstd")
     found.sparkSession.sparkContext._jvm.System.gc()  # the shuffle of all lines goes before that of their blocks
-    links = similar_lines(found.select("num", "norm"), blocks(found, "num"))
-    groups = components(links)
-    named = found.select("num", "h1", "h2", "at", "n").join(groups, F.col("num") == F.col("node"), "left").where("n > 1 or component is not null")
+    groups = similar_lines(found.select("num", "norm"), blocks(found, "num"))
+    named = found.select("num", "h1", "h2", "at", "n").join(groups, "num", "left").where("n > 1 or component is not null")
     named = cut(named.select("h1", "h2", "at", "component"), "repeated")
     joined = named.where("component is not null")
     least = joined.groupBy("component").agg(F.min("at").alias("least"))
@@ -337,7 +340,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     gone = lines(docs).select("doc_id", "pos", "h1", "h2").join(keep, ["h1", "h2"])
     gone = gone.where(~(F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("pos") == F.col("at.pos"))))
     gone = cut(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop")), "drops")
-    for done in (found, links, groups, named):
+    for done in (found, groups, named):
         drop_written(done)
     return gone
 
