@@ -6,8 +6,12 @@
    Seeds that are SPANS words apart are so linked again, as one run with all words between them: where parts of a passage stand alone in
    earlier documents, the runs over its seams still lead to the first document that has it whole. Every run that stands word for word in
    earlier documents and has 70 words or more (LEAST words and two windows) has a run of LEAST words or more among its own.
+   A shared seed and the next shared one SPANS words on also refer to the first document that has both so, whatever stands between: parts
+   whose first documents differ, or that stand elsewhere in the source before, are so met where they follow one another, over a change
+   at their seam.
 3. The seeds and ends of runs that a document shares with one earlier document are chained: an ordered run of matches, each worth its words less GAP for
    every word skipped on either side. The best predecessor is taken among the seeds at most REACH words before, on either side.
+   A chain that is no passage takes in all seeds that both texts have around it, whoever has them first.
 4. Chains are aligned word by word between their seeds (equal diagonals directly, others by longest common subsequence), extended at both
    ends, and cut to their best part; a passage has at least LEAST words with SIMILAR of them in common, in order.
 
@@ -37,6 +41,8 @@ REACH = 60
 #: words at most); the second: the run alone has LEAST words.
 SPANS = (LEAST - K - 2 * (WINDOW - 1), LEAST - K)
 #: width: words from the first seed of a run to its last; 0 for a seed.
+#: Odd multipliers of the hashes of two seeds; any odd numbers would do.
+PAIR_A, PAIR_B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 SEEDS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32())])
 CHAINS = pa.schema([("doc_id", pa.int64()), ("source_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("source_first", pa.int32()), ("source_last", pa.int32()), ("anchors", pa.binary())])
 FOUND = pa.schema([("doc_id", pa.int64()), ("source_id", pa.int64()), *((c, pa.int32()) for c in ("start", "end", "source_start", "source_end", "same_words"))])
@@ -55,7 +61,9 @@ def minimizers(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.
 
 
 def spans(words: np.ndarray, pos: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, positions and widths of a text's runs from one seed to another; pos: of all seeds, keep: those that other texts may have."""
+    """Hashes, positions and widths of a text's runs from one seed to another; pos: of all seeds, keep: those that other texts may have.
+
+    Last come pairs of such seeds, whatever stands between: a seed and the next of them a span further on, as long as a chain reaches it."""
     powers = np.full(len(words) + 1, BASE, np.uint64)
     back = np.full(len(words) + 1, pow(BASE, -1, 1 << 64), np.uint64)
     powers[0] = back[0] = 1
@@ -70,6 +78,16 @@ def spans(words: np.ndarray, pos: np.ndarray, keep: np.ndarray) -> tuple[np.ndar
         hashes.append(mix((sums[b + K] - sums[a]) * back[a] + np.uint64(span)).view(np.int64))
         starts.append(a)
         widths.append(b - a)
+    held = pos[keep]
+    grams = gram_hashes(words, K) if len(held) else words
+    for span in SPANS:
+        last = np.searchsorted(held, held + span)
+        i = np.flatnonzero(last < len(held))
+        i = i[held[last[i]] - held[i] <= REACH]
+        a, b = held[i], held[last[i]]
+        hashes.append(mix(grams[a] * PAIR_A + grams[b] * PAIR_B).view(np.int64))
+        starts.append(a)
+        widths.append(b - a)
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(widths)
 
 
@@ -138,11 +156,11 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 
 
 def chain_table(matches: DataFrame) -> DataFrame:
-    """Chains of matches(doc_id, source_id, pos, source_pos, width), a pair of documents at a time in sorted partitions."""
+    """Chains of matches(doc_id, source_id, pos, source_pos, width, source_width), a pair of documents at a time in sorted partitions."""
 
-    def made(key: tuple, x: np.ndarray, y: np.ndarray, width: np.ndarray) -> list[tuple]:
+    def made(key: tuple, x: np.ndarray, y: np.ndarray, width: np.ndarray, source_width: np.ndarray) -> list[tuple]:
         runs = width > 0
-        x, y = (np.concatenate((v, v[runs] + width[runs])) for v in (x, y))
+        x, y = (np.concatenate((v, v[runs] + w[runs])) for v, w in ((x, width), (y, source_width)))
         if len(x) < 2:
             return []
         both = np.unique(x.astype(np.int64) << 32 | y)
@@ -156,21 +174,21 @@ def chain_table(matches: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            part = [batch.column(i).to_numpy() for i in range(5)]
+            part = [batch.column(i).to_numpy() for i in range(6)]
             part = part if rest is None else [np.concatenate(p) for p in zip(rest, part, strict=True)]
             if not len(part[0]):
                 continue
             starts = np.flatnonzero(np.concatenate(([True], (part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1]))))
             rows = []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                rows += made((int(part[0][s]), int(part[1][s])), part[2][s:e], part[3][s:e], part[4][s:e])
+                rows += made((int(part[0][s]), int(part[1][s])), *(p[s:e] for p in part[2:]))
             rest = [p[starts[-1] :] for p in part]
             yield arrow_rows(rows, CHAINS)
         if rest is not None and len(rest[0]):
             yield arrow_rows(made((int(rest[0][0]), int(rest[1][0])), *rest[2:]), CHAINS)
 
     keys = ("doc_id", "source_id")
-    return matches.select(*keys, "pos", "source_pos", "width").repartition(*keys).sortWithinPartitions(*keys, "pos", "source_pos").mapInArrow(run, from_arrow_schema(CHAINS))
+    return matches.select(*keys, "pos", "source_pos", "width", "source_width").repartition(*keys).sortWithinPartitions(*keys, "pos", "source_pos").mapInArrow(run, from_arrow_schema(CHAINS))
 
 
 def common(a: list[int], b: list[int]) -> int:
@@ -240,6 +258,20 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[i
     return (a0, a1, b0, b1, int(sum(p[4] for p in kept))) if min(a1 - a0, b1 - b0) >= LEAST else None
 
 
+def align_anew(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int, int] | None:
+    """align() for a chain that is no passage by itself, with the other seeds that both texts have around it; the first passage of their chains that meets it."""
+    (h, at), (other, place) = minimizers(a), minimizers(b)
+    order = np.argsort(other, kind="stable")
+    low, high = np.searchsorted(other[order], h), np.searchsorted(other[order], h, side="right")
+    once = high - low == 1  # what stands several times there is met through its neighbours
+    both = np.unique(np.concatenate((x.astype(np.int64) << 32 | y, at[once].astype(np.int64) << 32 | place[order[low[once]]])))
+    if len(both) == len(x):
+        return None
+    low, high = int(x[0]), int(x[-1]) + K
+    x, y = both >> 32, both & 0xFFFFFFFF
+    return next((got for path in chains(x, y) if (got := align(a, b, x[path], y[path])) and got[0] < high and got[1] > low), None)
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, source_id, source_start, source_end, same_words: each passage that a document shares with an earlier one."""
     docs = texts(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
@@ -255,9 +287,10 @@ def passages(docs: DataFrame) -> DataFrame:
     both_kinds = first.union(first_holders(held_by.where("width > 0")))
     met = cut(held_by.join(both_kinds, "hash"), "met")
     drop_written(held_by)
-    source = met.where("doc_id = source_id").groupBy("hash").agg(F.min("pos").alias("source_pos"))
+    source = met.where("doc_id = source_id").groupBy("hash").agg(F.min(F.struct("pos", "width")).alias("at"))
+    source = source.select("hash", F.col("at.pos").alias("source_pos"), F.col("at.width").alias("source_width"))
     source = cut(source, "source-places")
-    matches = met.where("doc_id > source_id").join(source, "hash").select("doc_id", "source_id", "pos", "source_pos", "width")
+    matches = met.where("doc_id > source_id").join(source, "hash").select("doc_id", "source_id", "pos", "source_pos", "width", "source_width")
     found = cut(chain_table(matches), "chains")
     wanted = spark.sparkContext.broadcast(id_filter(found.select(F.col("doc_id").alias("id")).union(found.select("source_id"))))
 
@@ -283,12 +316,13 @@ def passages(docs: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["anchors"], np.int32).reshape(2, -1)
                 left, other = max(r["first"] - PAD, 0), max(r["source_first"] - PAD, 0)
-                got = align(np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32), x - left, y - other)
+                a, b = (np.frombuffer(r[c], np.uint32) for c in "ab")
+                got = align(a, b, x - left, y - other) or align_anew(a.astype(np.uint64), b.astype(np.uint64), x - left, y - other)
                 if got:
                     rows.append((r["doc_id"], r["source_id"], got[0] + left, got[1] + left, got[2] + other, got[3] + other, got[4]))
             yield arrow_rows(rows, FOUND)
 
-    result = cut(both.mapInArrow(aligned, from_arrow_schema(FOUND)), "passages")
+    result = cut(both.mapInArrow(aligned, from_arrow_schema(FOUND)).distinct(), "passages")
     for done in (first, met, source, found, held):
         drop_written(done)
     return result
