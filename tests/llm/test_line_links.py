@@ -104,3 +104,28 @@ def test_only_lines_of_possible_pairs_are_fetched(spark, monkeypatch):
     assert max(rows["line-texts"]) < 20
     monkeypatch.setattr(line_dedup, "FILTER_BITS", 64)
     assert check(spark, lines) == 2
+
+
+def test_small_buckets_are_done_at_once(spark, monkeypatch):
+    """Few lines that share a block leave no rows for the turns, whether they are linked or not; the result does not depend on what is small."""
+    rng = random.Random(46)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    lines = []
+    for _ in range(8):
+        start = " ".join(word() for _ in range(10))
+        lines += [start + " " + " ".join(word() for _ in range(3)) for _ in range(3)]
+        lines += [" ".join(edited(rng, lines[-1].split(" "), 2, ["change"], word)), " ".join(edited(rng, lines[-3].split(" "), 2, ["insert"], word))]
+    rows, plain = {}, line_dedup.cut
+
+    def counted(df, name="cut", **options):
+        out = plain(df, name, **options)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    dropped = check(spark, lines)
+    assert dropped >= 14
+    assert (rows["members"], rows["asked"]) == (0, 0)
+    monkeypatch.setattr(line_dedup, "SMALL", 2)
+    assert check(spark, lines) == dropped
+    assert rows["members"] > 0

@@ -11,9 +11,10 @@ stays in its document; every other occurrence goes.
    share, one is also among the first pairs of every line it is linked with. Those pairs are the line's blocks; none is left out, so no link is. The order puts rare
    words first, by counts of fixed size (WORD_BITS); it decides how many lines meet, not which are linked.
    Lines of scripts without blanks have blocks of characters in place of words as well.
-2. SimHash. The blocks of a line vote for the bits of its SimHash. Lines that share a block are put in its order; each is compared with the
-   one before it and with the first, which links most of what belongs together.
-3. Then the lines of each bucket that are in another component than most of the bucket are compared with all lines of other components, LEADERS
+2. All pairs of a bucket of up to SMALL lines are taken at once, neighbours and those with the first line to be compared first, the others
+   where they are not connected by then. SimHash. The words of a line vote for the bits of its SimHash. Lines of larger buckets are put in its
+   order; each is compared with the one before it and with the first, which links most of what belongs together.
+3. Then the lines of each larger bucket that are in another component than most of the bucket are compared with all lines of other components, LEADERS
    of them in the first turn and 16 times as many in each further one, with components anew after each turn. Every pair of a bucket is so compared or connected, in small and large ones alike.
    A pair whose block stands at places that no allowed number of changes brings together is not compared there: the block that links it stands at fitting ones.
 4. The distance in words goes first, being far cheaper: a word is a sign there (one of SIGNS, by its hash; words of one sign only bring
@@ -39,6 +40,8 @@ from tidemark.llm.components import components
 #: Fewest words of a line that can be linked with others than its equals (four words with five); edit distance times EDIT_SHARE may not exceed
 #: the longer line's length: a similarity of 0.8.
 FUZZY_WORDS, EDIT_SHARE = 4, 5
+#: Most lines of a bucket whose pairs are all taken at once.
+SMALL = 8
 #: Lines of a bucket that are compared with all others in the first turn, characters and words of a piece.
 LEADERS, PIECE, WORDS = 8, 1024, 128
 #: Different signs that words are told apart by; all below the surrogates of UTF-16.
@@ -98,7 +101,7 @@ def commonness(found: DataFrame) -> Column:
 
 
 def blocks(found: DataFrame, name: str = "h1") -> DataFrame:
-    """(name, key, n, place, sim) of each block of distinct_lines(): number of words, place of the block among them (null: several), SimHash."""
+    """(name, key, n, place) of each block of distinct_lines(): number of words, place of the block among them (null: several)."""
     often, low = commonness(found), F.lit((1 << RARE_AT) - 1)
 
     def rarity(h: Column) -> Column:
@@ -123,18 +126,15 @@ def blocks(found: DataFrame, name: str = "h1") -> DataFrame:
             return F.coalesce(F.shiftrightunsigned(F.get("pairs", j), PLACE_BITS) == F.shiftrightunsigned(v, PLACE_BITS), F.lit(False))
         return F.when(same(i + 1) | same(i - 1), v.bitwiseOR(F.lit((1 << PLACE_BITS) - 1))).otherwise(v)
 
-    told = told.select(name, "n", F.array_distinct(F.transform(F.slice("pairs", F.lit(1), first.cast("int")), once)).alias("pairs"))
-
-    def votes(k: int) -> Column:
-        return F.aggregate("pairs", F.lit(0).cast("long"), lambda t, v: t + F.shiftrightunsigned(F.xxhash64(F.shiftrightunsigned(v, PLACE_BITS)), k).bitwiseAND(F.lit(FEET)))
-
-    # a foot of 16 bits holds the votes of 65,535 blocks; more only make the bits less fair
-    told = told.select(name, "n", "pairs", *[votes(k).alias(f"votes{k}") for k in range(2)])
+    taken = F.slice("pairs", F.lit(1), first.cast("int"))
+    # one pair more than is taken, whose like may be the last of them
+    keys = F.transform(F.slice("pairs", F.lit(1), first.cast("int") + 1), lambda v: F.shiftrightunsigned(v, PLACE_BITS))
+    told = told.select(name, "n", "pairs", taken.alias("taken"), keys.alias("keys"))
+    told = told.select(name, "n", F.when(F.size(F.array_distinct("keys")) == F.size("keys"), F.col("taken")).otherwise(F.array_distinct(F.transform("taken", once))).alias("pairs"))
     # (outer: Spark would else ask whether there are pairs before it has made them, with all steps stated again within each other)
-    bits = [F.shiftleft((2 * F.shiftrightunsigned(f"votes{k}", 16 * j).bitwiseAND(F.lit(0xFFFF)) > F.size("pairs")).cast("int"), 2 * j + k) for k in range(2) for j in range(4)]
-    told = told.select(name, "n", reduce(lambda a, b: a + b, bits).cast("short").alias("sim"), F.explode_outer("pairs").alias("pair"))
+    told = told.select(name, "n", F.explode_outer("pairs").alias("pair"))
     place = F.col("pair").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    return told.select(name, F.shiftrightunsigned("pair", PLACE_BITS).alias("key"), "n", F.when(place < (1 << PLACE_BITS) - 1, place).alias("place"), "sim")
+    return told.select(name, F.shiftrightunsigned("pair", PLACE_BITS).alias("key"), "n", F.when(place < (1 << PLACE_BITS) - 1, place).alias("place"))
 
 
 def fitting(a: str, b: str) -> Column:
@@ -170,14 +170,18 @@ def signs(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(sign, "")), "UTF-16BE")
 
 
-def bits_of(words: Column, k: int) -> Column:
-    """A bit of 64 for each word whose hash has k as its bit 6."""
-    def bit(w: Column) -> Column:
-        h = F.xxhash64(w)
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(1)) == k, one).otherwise(F.lit(0).cast("long"))
-
-    return F.aggregate(words, F.lit(0).cast("long"), lambda t, w: t.bitwiseOR(bit(w)))
+def marks(found: DataFrame) -> DataFrame:
+    """num, mask0 and mask1 (a bit for each word, in the one that bit 6 of its hash names), words (their number), spaced, sim (SimHash) of each line."""
+    words = F.split("norm", " ")
+    told = found.select("num", F.size(words).alias("words"), spaced(F.col("norm")).alias("spaced"), words.alias("units"))
+    h = told.select("num", "words", "spaced", F.explode("units").alias("unit")).select("num", "words", "spaced", unit_hash("unit").alias("h"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    masks = [F.bit_or(F.when(F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(1)) == k, one).otherwise(F.lit(0).cast("long"))).alias(f"mask{k}") for k in range(2)]
+    # a foot of 16 bits holds the votes of 65,535 words; more only make the bits less fair
+    votes = [F.sum(F.shiftrightunsigned("h", 8 + k).bitwiseAND(F.lit(FEET))).alias(f"votes{k}") for k in range(2)]
+    told = h.groupBy("num", "words", "spaced").agg(*masks, *votes)  # nearly all within a task, words of a line being together
+    bits = [F.shiftleft((2 * F.shiftrightunsigned(f"votes{k}", 16 * j).bitwiseAND(F.lit(0xFFFF)) > F.col("words")).cast("int"), 2 * j + k) for k in range(2) for j in range(4)]
+    return told.select("num", "mask0", "mask1", "words", "spaced", reduce(lambda a, b: a + b, bits).cast("short").alias("sim"))
 
 
 def near_in_words(pairs: DataFrame) -> DataFrame:
@@ -240,28 +244,50 @@ def near(a: Column, b: Column) -> Column:
     return ((longer - least) * EDIT_SHARE <= longer) & F.get(F.get(told, F.lit(0)), F.lit(0))
 
 
+def unpacked(packed: str, end: str = "") -> list[Column]:
+    """n and place of what met_lines() packs, names with `end`."""
+    place = F.col(packed).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    return [F.shiftrightunsigned(packed, PLACE_BITS).cast("int").alias(f"n{end}"), F.when(place < (1 << PLACE_BITS) - 1, place).alias(f"place{end}")]
+
+
+def met_lines(keyed: DataFrame) -> DataFrame:
+    """Of buckets of up to SMALL lines all pairs whose places fit: num, num_b, star (whether with the first or as neighbours). Of larger ones
+    their rows: key, num, packed; key is null in the others."""
+    place = F.coalesce("place", F.lit((1 << PLACE_BITS) - 1)).cast("long")
+    keyed = keyed.select("key", "num", F.shiftleft(F.col("n").cast("long"), PLACE_BITS).bitwiseOR(place).alias("packed")).repartition("key")
+    # most blocks stand in one line: these go before rows of a bucket are put in order
+    sized = keyed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+    order = Window.partitionBy("key").orderBy("num", "packed")
+    lags = [F.lag(c, j).over(order).alias(f"{c}{j}") for c in ("num", "packed") for j in range(1, SMALL)]
+    ranked = sized.select("*", F.row_number().over(order).alias("rank"), *lags)
+    before = F.array(*[F.struct(F.col(f"num{j}").alias("num_b"), F.col(f"packed{j}").alias("packed_b")) for j in range(1, SMALL)])
+    others = F.when(F.col("size") <= SMALL, F.slice(before, F.lit(1), F.col("rank") - 1)).otherwise(F.slice(before, F.lit(1), F.lit(1)))
+    pairs = ranked.select("key", "num", "packed", "rank", (F.col("size") > SMALL).alias("large"), F.posexplode(others).alias("at", "other"))
+    pairs = pairs.select("key", "num", "packed", "large", *unpacked("packed", "_a"), "other.num_b", *unpacked("other.packed_b", "_b"), ((F.col("at") == 0) | (F.col("at") == F.col("rank") - 2)).alias("star"))
+    pairs = pairs.where(F.col("large") | ((F.col("num") != F.col("num_b")) & fitting("a", "b")))
+    row, pair = ([F.when(c, F.col(x)).alias(x) for x in names] for c, names in ((F.col("large"), ("key", "packed")), (~F.col("large"), ("num_b", "star"))))
+    return cut(pairs.select(*row, "num", *pair), "met")
+
+
 def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
     """(num, component) of each line that is linked with another, by verified links. found: (num, norm); keyed: blocks() by num."""
+    met = met_lines(keyed)
+    masks = cut(marks(found), "line-masks")
+    words = F.split("norm", " ")
     bucket = Window.partitionBy("key").orderBy("sim", "num")
-    # the three small columns pass the shuffle as one
-    packed = F.shiftleft(F.col("n").cast("long"), PLACE_BITS + 8).bitwiseOR(F.shiftleft(F.coalesce("place", F.lit((1 << PLACE_BITS) - 1)).cast("long"), 8)).bitwiseOR(F.col("sim"))
-    keyed = keyed.select("key", "num", packed.alias("packed")).repartition("key")
-    place = F.shiftrightunsigned("packed", 8).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    keyed = keyed.select("key", "num", F.shiftrightunsigned("packed", PLACE_BITS + 8).cast("int").alias("n"), F.when(place < (1 << PLACE_BITS) - 1, place).alias("place"), F.col("packed").bitwiseAND(F.lit(255)).alias("sim"))
     first = F.first(F.struct("num", "n", "place")).over(bucket).alias("first")
     before = F.lag(F.struct("num", "n", "place")).over(bucket).alias("before")
-    members = keyed.select("key", "num", "n", "place", first, before, F.lead("num").over(bucket).alias("after"))
-    members = cut(members.where("before is not null or after is not null").drop("after"), "members")
-    star = None
+    large = met.where("key is not null").select("key", "num", *unpacked("packed"))
+    members = cut(large.join(masks.select("num", "sim"), "num").select("key", "num", "n", "place", first, before), "members")
+    star = met.where("key is null").select(F.least("num", "num_b").alias("num_a"), F.greatest("num", "num_b").alias("num_b"), "star")
     for other in ("first", "before"):
         sides = [F.col(c).alias(f"{c}_a") for c in ("num", "n", "place")] + [F.col(f"{other}.{c}").alias(f"{c}_b") for c in ("num", "n", "place")]
         some = members.where(F.col(f"{other}.num") != F.col("num")).select(*sides).where(fitting("a", "b"))
-        star = some if star is None else star.union(some)
-    words = F.split("norm", " ")
-    masks = cut(found.select("num", *[bits_of(words, k).alias(f"mask{k}") for k in range(2)], F.size(words).alias("words"), spaced(F.col("norm")).alias("spaced")), "line-masks")
+        star = star.union(some.select(F.least("num_a", "num_b"), F.greatest("num_a", "num_b"), F.lit(True)))
+    told_by = masks.drop("sim")
 
     def told_apart(s: str) -> DataFrame:
-        return masks.select(*[F.col(c).alias(f"{c}_{s}") for c in masks.columns])
+        return told_by.select(*[F.col(c).alias(f"{c}_{s}") for c in told_by.columns])
 
     def missing(a: str, b: str) -> Column:
         return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"mask{k}_{a}").bitwiseAND(F.bitwise_not(F.col(f"mask{k}_{b}")))) for k in range(2)])
@@ -290,10 +316,12 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
         return links
 
     # pairs pass the shuffles once each, before what their lines have
-    star = star.select(F.least("num_a", "num_b").alias("num_a"), F.greatest("num_a", "num_b").alias("num_b")).distinct()
-    links = verified(star.join(told_apart("a"), "num_a").join(told_apart("b"), "num_b").where(possible))
-    # then the pairs of a bucket that are not connected yet: lines outside the bucket's main component lead, few in the first turn and 16
-    # times as many in each further one, as a hash names them
+    once = star.groupBy("num_a", "num_b").agg(F.max("star").alias("star"))
+    paired = cut(once.join(told_apart("a"), "num_a").join(told_apart("b"), "num_b").where(possible).select("num_a", "num_b", "star"), "pairs")
+    drop_written(met)
+    links = verified(paired.where("star"))
+    # then the pairs that are not connected yet: those of small buckets, and in larger ones lines outside the bucket's main component lead, few
+    # in the first turn and 16 times as many in each further one, as a hash names them
     parts = components(links)
     labels = cut(masks.select("num").join(parts, F.col("num") == F.col("node"), "left").select("num", F.coalesce("component", "num").alias("part"), F.col("component").isNotNull().alias("linked")), "labels")
     drop_written(parts)
@@ -306,14 +334,17 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
     slot = F.floor(F.log2(draw * 15 / LEADERS + 1) / 4).alias("slot")
     asked = cut(now.join(mixed.where("parts > 1"), "key").where("part <> top and not led").select("key", "num", "n", "place", slot), "asked")
     last = asked.agg(F.max("slot")).first()[0]
-    for turn in range(0 if last is None else last + 1):
+    of_a, of_b = (labels.select(F.col("num").alias(f"num_{s}"), F.col("part").alias(f"part_{s}")) for s in "ab")
+    rest = paired.where("not star").join(of_a, "num_a").join(of_b, "num_b").where("part_a <> part_b").select("num_a", "num_b")
+    for turn in range(1 if last is None else last + 1):
         # what tells lines apart comes with their places, so that of the pairs in a bucket only possible ones leave it
-        leaders, told = asked.where(F.col("slot") == turn), labels.drop("linked").join(masks, "num")
-        own = ("num", "n", "place", "part", *masks.columns[1:])
+        leaders, told = asked.where(F.col("slot") == turn), labels.drop("linked").join(told_by, "num")
+        own = ("num", "n", "place", "part", *told_by.columns[1:])
         x = leaders.join(told, "num").select("key", *[F.col(c).alias(f"{c}_a") for c in own])
-        met = may_be_among(places.where("not led"), "key", leaders.select(F.col("key").alias("num")))
-        y = met.join(told, "num").select("key", *[F.col(c).alias(f"{c}_b") for c in own])
-        more = verified(x.join(y, "key").where((F.col("part_a") != F.col("part_b")) & fitting("a", "b") & possible))
+        near_by = may_be_among(places.where("not led"), "key", leaders.select(F.col("key").alias("num")))
+        y = near_by.join(told, "num").select("key", *[F.col(c).alias(f"{c}_b") for c in own])
+        pairs = x.join(y, "key").where((F.col("part_a") != F.col("part_b")) & fitting("a", "b") & possible).select("num_a", "num_b")
+        more = verified(rest if last is None else rest.union(pairs) if turn == 0 else pairs)
         if more.limit(1).count():
             # labels grow together where new links join them
             of_a, of_b = (labels.select(F.col("num").alias(s), F.col("part").alias(f"part_{s}")) for s in "ab")
@@ -322,7 +353,7 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
             drop_written(old)
             drop_written(grown)
         drop_written(more)
-    for done in (members, masks, asked):
+    for done in (members, masks, paired, asked):
         drop_written(done)
     return labels.where("linked").select("num", F.col("part").alias("component"))
 
