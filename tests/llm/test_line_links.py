@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_line_dedup import brute, similar_pairs, word_distance
 from tidemark.llm import line_dedup
 
@@ -129,3 +131,31 @@ def test_small_buckets_are_done_at_once(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SMALL", 2)
     assert check(spark, lines) == dropped
     assert rows["members"] > 0
+
+
+def test_common_pairs_of_rare_words_come_last(spark):
+    """Two words that stand nowhere but together, in all lines, are rarer than the others, but their pair is the commonest: it is no line's block."""
+    rng = random.Random(47)
+    lines = [" ".join([*(rng.choice(WORDS) for _ in range(20)), "near", "by", *(rng.choice(WORDS) for _ in range(20))]) for _ in range(400)]
+    found = line_dedup.distinct_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert line_dedup.blocks(found).groupBy("key").count().agg({"count": "max"}).first()[0] < 100
+
+
+WORDS = [f"{a}{b}{c}" for a in "kst" for b in "aeiou" for c in "mn"]
+
+
+def test_script_is_never_less_than_the_distance(spark):
+    """Changes and characters of the way that link tests try first, against distances by brute force, for words changed, added and left out."""
+    rng = random.Random(48)
+    pairs = []
+    for _ in range(60):
+        words = [rng.choice(WORDS[:12]) for _ in range(rng.randint(1, 14))]
+        pairs.append((" ".join(words), " ".join(edited(rng, words, rng.randint(0, 5), ["change", "insert", "delete"], lambda: rng.choice(["x", *WORDS])))))
+    cost = line_dedup.script(F.split("a", " "), F.split("b", " "))
+    close = 0
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", cost.alias("cost"), line_dedup.linked(F.col("a"), F.col("b")).alias("ok")).collect():
+        changes, chars = r["cost"] >> 40, r["cost"] & (1 << 40) - 1
+        assert changes >= word_distance(r["a"].split(" "), r["b"].split(" ")) and chars >= word_distance(r["a"], r["b"])
+        assert r["ok"] == linked([(r["a"], r["b"])])[0]
+        close += changes == word_distance(r["a"].split(" "), r["b"].split(" "))
+    assert close > 30
