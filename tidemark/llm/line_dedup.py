@@ -18,9 +18,9 @@ stays in its document; every other occurrence goes.
 3. Then the lines of each larger bucket that are in another component than most of the bucket are compared with all lines of other components, LEADERS
    of them in the first turn and 16 times as many in each further one, with components anew after each turn. Every pair of a bucket is so compared or connected, in small and large ones alike.
    A pair whose block stands at places that no allowed number of changes brings together is not compared there: the block that links it stands at fitting ones.
-4. One way to change the words of a line to those of the other goes first: where its changes and their characters are few enough, so is the distance. Then
-   the distance in words, being far cheaper than in characters: a word is a sign there (one of SIGNS, by its hash; words of one sign only bring
-   lines closer, which the characters then decide). That in characters is taken between what is left without the common beginning and end. Where that is over PIECE * 2 characters, pieces of
+4. The distance in words goes first, being far cheaper than in characters: a word is a sign there (one of SIGNS, by its hash; words of one sign only bring
+   lines closer, which the characters then decide). Then one way to change the words of a line to those of the other: where its changes and their characters
+   are few enough, so is the distance. That in characters is taken between what is left without the common beginning and end. Where that is over PIECE * 2 characters, pieces of
    WORDS words (of PIECE characters in scripts without blanks) are compared one by one and their distances added: never less than the
    true distance, so enough to link; where it is not, the true distance decides.
 
@@ -225,23 +225,23 @@ def script(v: Column, w: Column) -> Column:
     return F.when(small, F.shiftleft(F.shiftrightunsigned(packed, 24), 40).bitwiseOR(packed.bitwiseAND(F.lit((1 << 24) - 1)))).otherwise(F.lit((1 << 62)))
 
 
-def linked(a: Column, b: Column) -> Column:
-    """Whether two lines are linked. One way to change the words goes first, which tells most near copies; then signs, then characters."""
+def linked(a: Column, b: Column, signs_a: Column | None = None, signs_b: Column | None = None) -> Column:
+    """Whether two lines are linked; signs(): of their words, where they are at hand. Signs tell most lines apart; one way to change the words tells most
+    near copies; characters decide the others."""
     chars = F.greatest(F.length(a), F.length(b))
 
     def named(value: Column, judged: Callable[[Column], Column]) -> Column:
         """One-element arrays name values without stating them again."""
         return F.get(F.transform(F.array(value), judged), F.lit(0))
 
-    def by_signs(v: Column, w: Column) -> Column:
-        longest = F.greatest(*[F.array_max(F.transform(x, F.length)) for x in (v, w)])
-        apart = F.when(spaced(a) | spaced(b), F.call_function("levenshtein", signs(v), signs(w), (F.greatest(F.size(v), F.size(w)) / EDIT_SHARE).cast("int")))
-        # each change of a word costs at most its length and a blank; one more change than counted allows for two words of one sign
-        return named(apart, lambda d: F.when(d < 0, False).when((d + 1) * (longest + 1) * EDIT_SHARE <= chars, True).otherwise(near(a, b)))
-
     def judged(v: Column, w: Column) -> Column:
+        longest = F.greatest(*[F.array_max(F.transform(x, F.length)) for x in (v, w)])
         few = lambda c: (F.shiftrightunsigned(c, 40) * EDIT_SHARE <= F.greatest(F.size(v), F.size(w))) & (c.bitwiseAND(F.lit((1 << 40) - 1)) * EDIT_SHARE <= chars)
-        return named(script(v, w), few) | by_signs(v, w)
+        of_a, of_b = (signs(x) if given is None else given for x, given in ((v, signs_a), (w, signs_b)))
+        apart = F.when(spaced(a) | spaced(b), F.call_function("levenshtein", of_a, of_b, (F.greatest(F.size(v), F.size(w)) / EDIT_SHARE).cast("int")))
+        # each change of a word costs at most its length and a blank; one more change than counted allows for two words of one sign
+        sure = lambda d: F.coalesce((d + 1) * (longest + 1) * EDIT_SHARE <= chars, F.lit(False))
+        return named(apart, lambda d: F.when(d < 0, False).otherwise(sure(d) | named(script(v, w), few) | near(a, b)))
 
     return named(F.split(a, " "), lambda v: named(F.split(b, " "), lambda w: judged(v, w)))
 
@@ -351,9 +351,10 @@ def similar_lines(found: DataFrame, keyed: DataFrame) -> DataFrame:
         links = None
         if pairs.limit(1).count():
             both = pairs.select(F.col("num_a").alias("num")).union(pairs.select("num_b"))
-            held = cut(may_be_among(found, "num", both), "line-texts", compression="zstd")
-            x, y = (held.select(F.col("num").alias(f"num_{s}"), F.col("norm").alias(f"norm_{s}")) for s in "ab")
-            told = pairs.join(x, "num_a").join(y, "num_b").where(linked(F.col("norm_a"), F.col("norm_b")))
+            held = may_be_among(found, "num", both).select("num", "norm", signs(F.split("norm", " ")).alias("signs"))
+            held = cut(held, "line-texts", compression="zstd")
+            x, y = (held.select(*[F.col(c).alias(f"{c}_{s}") for c in ("num", "norm", "signs")]) for s in "ab")
+            told = pairs.join(x, "num_a").join(y, "num_b").where(linked(F.col("norm_a"), F.col("norm_b"), F.col("signs_a"), F.col("signs_b")))
             links = cut(told.select(F.col("num_a").alias("a"), F.col("num_b").alias("b")), "links")
             drop_written(held)
         drop_written(pairs)
